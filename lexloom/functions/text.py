@@ -126,14 +126,36 @@ def iso_date(text: Column | str) -> Column:
     return F.date_format(F.coalesce(*tries), "yyyy-MM-dd")
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    An expression named inside a lambda is computed again for every element; a bound one is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_ignore_case(values: Column | str) -> Column:
-    """Keep the first spelling of each value, in order."""
-    col = as_col(values)
-    keys = F.transform(col, lambda v: F.lower(v))
-    return F.filter(
-        col, lambda v, i: F.array_position(keys, F.lower(v)) == (i + 1).cast("long")
+    """Keep the first spelling of each value, in order. Sorts instead of searching, so a long
+    list costs n log n."""
+    keyed = F.array_sort(
+        F.transform(
+            as_col(values),
+            lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("at"), v.alias("value")),
+        )
     )
 
+    def firsts(ordered: Column) -> Column:
+        kept = F.filter(
+            ordered,
+            lambda o, i: (i == 0) | (o["key"] != F.get(ordered, F.greatest(i - 1, F.lit(0)))["key"]),
+        )
+        back = F.array_sort(
+            F.transform(kept, lambda o: F.struct(o["at"].alias("at"), o["value"].alias("value")))
+        )
+        return F.transform(back, lambda o: o["value"])
+
+    return bind(keyed, firsts)
+
 
 def token_set(text: Column | str) -> Column:
     """Distinct lower-case ASCII tokens of three characters or more."""
@@ -144,9 +166,12 @@ def token_set(text: Column | str) -> Column:
 
 def fraction_of(part: Column, whole: Column) -> Column:
     """Share of ``whole`` that also occurs in ``part``; 0.0 for an empty ``whole``."""
-    return F.when(
-        F.size(whole) > 0, F.size(F.array_intersect(part, whole)) / F.size(whole)
-    ).otherwise(F.lit(0.0))
+    return bind(
+        whole,
+        lambda w: F.when(
+            F.size(w) > 0, F.size(F.array_intersect(part, w)) / F.size(w)
+        ).otherwise(F.lit(0.0)),
+    )
 
 
 def round_even(value: Column | str, digits: int) -> Column:

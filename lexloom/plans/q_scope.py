@@ -362,16 +362,12 @@ def best_preferences(t):
 
 
 @query(
-    "K4", ("drafts",),
-    """SELECT document_id, draft_id, CAST(row_number() OVER (ORDER BY created_at DESC, draft_id)
-       AS BIGINT) AS place FROM drafts WHERE tenant_id = 'BUILDING'
-       QUALIFY place <= 200""",
+    "K4", ("edits",),
+    """SELECT edit_id, CAST(row_number() OVER (PARTITION BY document_id
+       ORDER BY created_at DESC, edit_id) AS BIGINT) AS place FROM edits""",
 )
-def newest_drafts(t):
+def newest_first(t):
     from pyspark.sql import Window
 
-    rows = t.drafts.where("tenant_id = 'BUILDING'").orderBy(F.desc("created_at"), "draft_id").limit(200)
-    order = Window.orderBy(F.desc("created_at"), "draft_id")
-    return rows.select(
-        "document_id", "draft_id", F.row_number().over(order).cast("long").alias("place")
-    )
+    order = Window.partitionBy("document_id").orderBy(F.desc("created_at"), "edit_id")
+    return t.edits.select("edit_id", F.row_number().over(order).cast("long").alias("place"))

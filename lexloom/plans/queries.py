@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lexloom.plans import q_scope  # noqa: F401
+from lexloom.plans import q_scope, q_text  # noqa: F401
 from lexloom.plans.registry import REGISTRY  # noqa: F401

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans.tables import check_sql, table, view
+from lexloom.plans.tables import VIEWS, check_sql, table, view
+from lexloom.session import spread
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +31,11 @@ class Inputs:
         self.spark = spark
         self.sf_dir = sf_dir
 
-    def __getattr__(self, name: str) -> DataFrame:
-        from lexloom.plans.tables import VIEWS
+    def spread(self, name: str) -> DataFrame:
+        """A table dealt out over all cores, for expensive work per row."""
+        return spread(getattr(self, name))
 
+    def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return view(self.spark, self.sf_dir, name)
         return table(self.spark, self.sf_dir, name)

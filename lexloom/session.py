@@ -46,6 +46,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly when the input has fewer partitions than there are cores.
+
+    For expensive per-row work on a few large files; input in many files is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; looks at no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
