@@ -7,6 +7,8 @@ with the number of different values and not with the number of chunks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,20 @@ def mentions(text: Column) -> Column:
         ),
     )
 
-    def numbered(values: Column) -> Column:
-        return F.transform(values, lambda m, i: m.withField("at", i))
+    low = F.lower(text)
+
+    def numbered(values: Column, *needed: str) -> Column:
+        """Matches with their place; a text without any of the needed words is not matched."""
+        possible = reduce(lambda a, b: a | b, [low.contains(n) for n in needed])
+        placed = F.transform(values, lambda m, i: m.withField("at", i)).cast(_MENTION)
+        return F.coalesce(F.when(possible, placed), F.array().cast(_MENTION))
 
-    both = F.concat(numbered(laws), numbered(meanings), numbered(dates), numbered(amounts))
-    return F.coalesce(both, F.array().cast(_MENTION))
+    return F.concat(
+        numbered(laws, "governed", "construed", "subject"),
+        numbered(meanings, '"'),
+        numbered(dates, "date", "signed"),
+        numbered(amounts, "fee", "payment", "price", "value", "salary"),
+    )
 
 
 def distinct_statements(

@@ -210,7 +210,7 @@ def dimension_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def dense_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
     """Cosine of two dense vectors per row; a zero vector counts as length one."""
     if left.empty:

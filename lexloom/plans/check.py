@@ -33,10 +33,12 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
     took = time.time() - start
     if q.check is None:
         return f"rows-only  {len(got):7d} rows {took:6.2f}s"
+    start = time.time()
     rel = con.sql(q.check)
     want, names = rel.fetchall(), list(rel.columns)
     if sorted(df.columns) != sorted(names):
         return f"COLUMNS {sorted(df.columns)} vs {sorted(names)}"
+    sql_took = time.time() - start
     kinds = dict(zip(names, [str(t) for t in rel.types]))
     same = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     odd = [
@@ -44,11 +46,12 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
     ]
     a, b = _rows(got, df.columns), _rows(want, names)
     if a != b:
-        left = [r for r in a if r not in set(b)][:3]
-        right = [r for r in b if r not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        left = [r for r in a if r not in sb][:3]
+        right = [r for r in b if r not in sa][:3]
         return f"DIFF {len(a)} vs {len(b)} rows\n   spark {left}\n   check {right}"
     note = f" TYPES {odd}" if odd else ""
-    return f"ok         {len(a):7d} rows {took:6.2f}s{note}"
+    return f"ok         {len(a):7d} rows {took:6.2f}s (check {sql_took:5.2f}s){note}"
 
 
 def main() -> None:

@@ -543,7 +543,7 @@ def _conflict_check(kind: str, seeds: str = "") -> str:
 
 
 def _conflicts_of(t, kind: str, seeds=None):
-    rows = conflicts.find_conflicts(t.contract_lines, terms=seeds).where(
+    rows = conflicts.find_conflicts(t.spread("contract_lines"), terms=seeds).where(
         F.col("conflict_type") == kind
     )
     joined = F.array_join(F.transform("chunk_indices", lambda i: i.cast("string")), ",")
@@ -586,7 +586,7 @@ _ORDER = (
              string_agg(description, ' | ' ORDER BY {_ORDER}) AS items FROM conf GROUP BY 1""",
 )
 def conflict_report(t):
-    report = conflicts.conflict_report(conflicts.find_conflicts(t.contract_lines))
+    report = conflicts.conflict_report(conflicts.find_conflicts(t.spread("contract_lines")))
     return report.withColumn(
         "items", F.array_join(F.transform("items", lambda i: i["description"]), " | ")
     )
@@ -611,7 +611,7 @@ def conflicts_with_cache(t):
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.when(F.col("o_orderstatus") == "F", F.array(item)).alias("conflicts"),
     )
-    rows = conflicts.report_with_cache(reports, t.contract_lines)
+    rows = conflicts.report_with_cache(reports, t.spread("contract_lines"))
     return rows.select("document_id", "conflict_type", "description")
 
 
@@ -624,7 +624,7 @@ def conflicts_with_cache(t):
            FROM conf GROUP BY 1""",
 )
 def conflicts_block(t):
-    report = conflicts.conflict_report(conflicts.find_conflicts(t.contract_lines))
+    report = conflicts.conflict_report(conflicts.find_conflicts(t.spread("contract_lines")))
     return report.select("document_id", conflicts.conflicts_block(F.col("items")).alias("block"))
 
 
@@ -727,7 +727,10 @@ _FIELD_VALUES = {
     "legal_notice": ("o_orderpriority = '2-HIGH'", {
         "notice_type": "'CEASE AND DESIST'",
         "issuing_party": "concat('Firm ', c_nationkey)",
-        "receiving_party": "concat('p the sale of lot ', o_custkey)",
+        "receiving_party": (
+            "CASE WHEN signed_on LIKE 'October%' THEN substr(signed_on, 5) "
+            "ELSE concat('p the sale of lot ', o_custkey) END"
+        ),
         "issue_date": "signed_on",
         "response_deadline": "signed_on",
         "jurisdiction": "NULL",
