@@ -106,11 +106,16 @@ def score_fields(rows: DataFrame, cross: Column | None = None) -> DataFrame:
     ).drop("_empty", "_fit", "_cross", "_raw")
 
 
+def mean_confidence(value: str = "confidence") -> Column:
+    """Mean of four-digit values; the decimal sum does not depend on the order of rows."""
+    return F.sum(F.col(value).cast("decimal(20,4)")).cast("double") / F.count(value)
+
+
 def score_documents(scored: DataFrame, key: str = "document_id") -> DataFrame:
     """Document confidence: fields, classifier, scan and coverage of required fields."""
     w = fv.DOCUMENT_WEIGHTS
     sums = scored.groupBy(key).agg(
-        F.avg("confidence").alias("mean_field"),
+        mean_confidence().alias("mean_field"),
         F.count_if(F.col("required") & ~is_empty()).alias("present"),
         F.count_if("required").alias("required"),
         F.max("clf_conf").alias("clf_conf"),

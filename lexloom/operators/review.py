@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import round_even
+from lexloom.operators.confidence import mean_confidence
 
 
 def with_validation_reason(scored: DataFrame, results: DataFrame, key: str = "document_id"):
@@ -109,7 +110,7 @@ def documents_after_review(
     means = (
         apply_decisions(fields, tasks, decisions, key)
         .groupBy(key)
-        .agg(F.avg("confidence").alias("mean"))
+        .agg(mean_confidence().alias("mean"))
     )
     joined = documents.join(open_tasks, key, "left").join(means, key, "left")
     touched = F.coalesce("touched", F.lit(False))

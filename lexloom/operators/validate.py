@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv
-from lexloom.functions.text import as_col, currency_amount, iso_date, strip
+from lexloom.functions.text import as_col, bind, currency_amount, iso_date, strip
 
 
 def _result(normalized: Column, valid: Column, reason: Column) -> Column:
@@ -27,32 +27,40 @@ def _blank(value: Column) -> Column:
 
 def check_date(value: Column | str) -> Column:
     raw = as_col(value)
-    iso = iso_date(raw)
     told = F.concat(
         F.lit("unrecognised date format: "), _quoted(strip(F.coalesce(raw, F.lit(""))))
     )
-    return _result(
-        F.coalesce(iso, raw), iso.isNotNull(), F.when(iso.isNotNull(), "ok").otherwise(told)
+    return bind(
+        iso_date(raw),
+        lambda iso: _result(
+            F.coalesce(iso, raw), iso.isNotNull(), F.when(iso.isNotNull(), "ok").otherwise(told)
+        ),
     )
 
 
 def check_amount(value: Column | str, field: str) -> Column:
     raw = as_col(value)
-    number = currency_amount(raw)
-    reason = (
-        F.when(raw.isNull(), f"{field} is missing")
-        .when(
-            number.isNull(),
-            F.concat(F.lit(f"{field}: cannot parse "), _quoted(raw), F.lit(" as amount")),
+
+    def judged(number: Column) -> Column:
+        reason = (
+            F.when(raw.isNull(), f"{field} is missing")
+            .when(
+                number.isNull(),
+                F.concat(F.lit(f"{field}: cannot parse "), _quoted(raw), F.lit(" as amount")),
+            )
+            .when(number < 0, F.concat(F.lit(f"{field}: negative amount "), number.cast("string")))
+            .when(
+                number > fv.LARGEST_AMOUNT,
+                F.concat(F.lit(f"{field}: suspiciously large "), F.format_number(number, 2)),
+            )
+            .otherwise("ok")
         )
-        .when(number < 0, F.concat(F.lit(f"{field}: negative amount "), number.cast("string")))
-        .when(
-            number > fv.LARGEST_AMOUNT,
-            F.concat(F.lit(f"{field}: suspiciously large "), F.format_number(number, 2)),
+        return bind(
+            reason,
+            lambda told: _result(F.coalesce(number.cast("string"), raw), told == "ok", told),
         )
-        .otherwise("ok")
-    )
-    return _result(F.coalesce(number.cast("string"), raw), reason == "ok", reason)
+
+    return bind(currency_amount(raw), judged)
 
 
 def check_invoice_number(value: Column | str) -> Column:
@@ -119,23 +127,30 @@ def _percent(value: Column) -> Column:
 
 def check_total(subtotal: Column, tax: Column, total: Column, tolerance: float = 0.05) -> Column:
     """Subtotal plus tax against the total, relative to the total."""
-    computed = subtotal + tax
-    error = F.abs(computed - total) / F.nullif(total, F.lit(0.0))
-    missing = subtotal.isNull() | tax.isNull() | total.isNull()
-    reason = (
-        F.when(missing, "skip (incomplete)")
-        .when(total == 0, "total is zero")
-        .when(
-            error > tolerance,
-            F.concat(
-                F.lit("subtotal("), subtotal.cast("string"), F.lit(") + tax("), tax.cast("string"),
-                F.lit(") = "), _fixed(computed, 2), F.lit(" but total = "), _fixed(total, 2),
-                F.lit(" (error "), _percent(error), F.lit(")"),
-            ),
+
+    def judged(x: Column) -> Column:
+        sub, add, whole = x["subtotal"], x["tax"], x["total"]
+        error = F.abs(sub + add - whole) / F.nullif(whole, F.lit(0.0))
+        reason = (
+            F.when(sub.isNull() | add.isNull() | whole.isNull(), "skip (incomplete)")
+            .when(whole == 0, "total is zero")
+            .when(
+                error > tolerance,
+                F.concat(
+                    F.lit("subtotal("), sub.cast("string"), F.lit(") + tax("), add.cast("string"),
+                    F.lit(") = "), _fixed(sub + add, 2), F.lit(" but total = "), _fixed(whole, 2),
+                    F.lit(" (error "), _percent(error), F.lit(")"),
+                ),
+            )
+            .otherwise("ok")
         )
-        .otherwise("ok")
+        return bind(
+            reason, lambda told: _result(F.lit(None), told.isin("ok", "skip (incomplete)"), told)
+        )
+
+    return bind(
+        F.struct(subtotal.alias("subtotal"), tax.alias("tax"), total.alias("total")), judged
     )
-    return _result(F.lit(None), reason.isin("ok", "skip (incomplete)"), reason)
 
 
 def check_balances(
@@ -146,40 +161,55 @@ def check_balances(
     tolerance: float = 0.02,
 ) -> Column:
     """Closing against available, and opening plus movements against closing."""
-    scale = F.abs(F.nullif(closing, F.lit(0.0)))
-    gap = F.abs(closing - available) / scale
-    first = F.when(
-        gap > tolerance,
-        F.concat(
-            F.lit("closing("), closing.cast("string"), F.lit(") vs available("),
-            available.cast("string"), F.lit("): "), _percent(gap), F.lit(" discrepancy"),
-        ),
-    )
-    notes = [first]
-    if net is not None:
-        computed = opening + net
-        drift = F.abs(computed - closing) / scale
-        notes.append(
+
+    def judged(x: Column) -> Column:
+        first, last, free, moved = x["opening"], x["closing"], x["available"], x["net"]
+        scale = F.abs(F.nullif(last, F.lit(0.0)))
+        gap = F.abs(last - free) / scale
+        computed = first + moved
+        drift = F.abs(computed - last) / scale
+        told = F.concat_ws(
+            "; ",
+            F.when(
+                gap > tolerance,
+                F.concat(
+                    F.lit("closing("), last.cast("string"), F.lit(") vs available("),
+                    free.cast("string"), F.lit("): "), _percent(gap), F.lit(" discrepancy"),
+                ),
+            ),
             F.when(
                 drift > tolerance,
                 F.concat(
-                    F.lit("opening("), opening.cast("string"), F.lit(") + net("), _fixed(net, 2),
+                    F.lit("opening("), first.cast("string"), F.lit(") + net("), _fixed(moved, 2),
                     F.lit(") = "), _fixed(computed, 2), F.lit(" vs closing("),
-                    closing.cast("string"), F.lit("): "), _percent(drift),
+                    last.cast("string"), F.lit("): "), _percent(drift),
                 ),
-            )
+            ),
+        )
+        return bind(
+            told, lambda t: _result(F.lit(None), t == "", F.when(t == "", "ok").otherwise(t))
         )
-    told = F.concat_ws("; ", *notes)
-    return _result(F.lit(None), told == "", F.when(told == "", "ok").otherwise(told))
+
+    moved = F.lit(None).cast("double") if net is None else net
+    return bind(
+        F.struct(
+            opening.alias("opening"), closing.alias("closing"), available.alias("available"),
+            moved.alias("net"),
+        ),
+        judged,
+    )
 
 
 def _named(field: str, raw: Column, result: Column) -> Column:
-    return F.struct(
-        F.lit(field).alias("field"),
-        raw.cast("string").alias("raw_value"),
-        result["normalized_value"].alias("normalized_value"),
-        result["valid"].alias("valid"),
-        result["reason"].alias("reason"),
+    return bind(
+        result,
+        lambda r: F.struct(
+            F.lit(field).alias("field"),
+            raw.cast("string").alias("raw_value"),
+            r["normalized_value"].alias("normalized_value"),
+            r["valid"].alias("valid"),
+            r["reason"].alias("reason"),
+        ),
     )
 
 

@@ -65,13 +65,13 @@ def document_texts(t):
     "S8", (),
     f"""WITH {_WORDS_SQL}
         SELECT d.doc_id, coalesce(avg < 0.5::DOUBLE, false) AS rerouted,
-          sha256(CASE WHEN avg < 0.5::DOUBLE THEN upper(dc.text) ELSE coalesce(dc.text, '') END) AS digest,
+          sha256(CASE WHEN avg < 0.5::DOUBLE THEN concat('second reading: ', dc.text) ELSE coalesce(dc.text, '') END) AS digest,
           coalesce(avg, 0::DOUBLE) AS average_confidence
         FROM documents d LEFT JOIN dc ON d.doc_id = dc.doc_id""",
 )
 def rerouted_scans(t):
     first = words.document_texts(words.page_texts(_words(t)))
-    second = first.withColumn("text", F.upper("text"))
+    second = first.withColumn("text", F.concat(F.lit("second reading: "), "text"))
     rows = words.route_low_confidence(t.documents, first, second, threshold=0.5)
     return rows.select(
         "doc_id", "rerouted", F.sha2("text", 256).alias("digest"), "average_confidence"
