@@ -44,7 +44,9 @@ def hash_weights(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     Equal tokens are counted before any hashing, and partial sums run before the shuffle.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    tokens = df.select(*keys, F.explode(words(F.lower(F.col(text)))).alias("token"))
+    tokens = df.select(
+        *keys, F.explode_outer(words(F.lower(F.col(text)))).alias("token")
+    ).where(F.col("token").isNotNull())
     return (
         tokens.select(
             *keys, token_dimension(F.col("token")).alias("dim"), token_sign(F.col("token")).alias("s")

@@ -134,6 +134,15 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unpack(df, keys: list, array: Column, present: str):
+    """One row per struct of an array whose field ``present`` is never NULL.
+
+    The outer form with a filter behind it: for the plain form the optimizer adds a size test in
+    front, which computes an expensive array a second time.
+    """
+    return df.select(*keys, F.inline_outer(array)).where(F.col(present).isNotNull())
+
+
 def distinct_ignore_case(values: Column | str) -> Column:
     """Keep the first spelling of each value, in order. Sorts instead of searching, so a long
     list costs n log n."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv
-from lexloom.functions.text import collapse, strip, strip_chars
+from lexloom.functions.text import collapse, strip, strip_chars, unpack
 
 _MENTION = "array<struct<kind:string,label:string,value:string,at:int>>"
 _KINDS = ["governing_law", "defined_term", "date", "amount"]
@@ -97,11 +97,8 @@ def distinct_statements(
     ``terms`` seeds document-level definitions (doc, term, definition); a seed counts as a
     statement before all chunks, yet lists no chunk.
     """
-    found = chunks.select(
-        F.col(doc).alias("document_id"),
-        F.col(index).cast("int").alias("idx"),
-        F.inline(mentions(F.col(text))),
-    )
+    keys = [F.col(doc).alias("document_id"), F.col(index).cast("int").alias("idx")]
+    found = unpack(chunks, keys, mentions(F.col(text)), "kind")
     if terms is not None:
         seeds = terms.select(
             F.col(doc).alias("document_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import collapse, fraction_of, round_even, token_set
+from lexloom.functions.text import bind, collapse, fraction_of, round_even, token_set
 from lexloom.session import is_small
 
 _SHINGLE = 3
@@ -46,27 +46,35 @@ def _contained(outer: Column, inner: Column) -> Column:
 
 def _shingles(text: Column) -> Column:
     """Hashes of every run of three tokens."""
-    tokens = F.split(text, " ")
-    count = F.size(tokens) - (_SHINGLE - 1)
-    return F.when(
-        count > 0,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), count),
-                lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, _SHINGLE), " ")),
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(tokens: Column) -> Column:
+        count = F.size(tokens) - (_SHINGLE - 1)
+        return F.when(
+            count > 0,
+            F.array_distinct(
+                F.transform(
+                    F.slice(tokens, 1, F.greatest(count, F.lit(0))),
+                    lambda w, i: F.xxhash64(
+                        w, *[F.get(tokens, i + k) for k in range(1, _SHINGLE)]
+                    ),
+                )
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.split(text, " "), runs)
 
 
 def _anchor(text: Column) -> Column:
     """One run of three *inner* tokens: it is whole wherever the text occurs."""
-    tokens = F.split(text, " ")
-    middle = F.floor((F.size(tokens) - _SHINGLE) / 2).cast("int") + 1
-    return F.when(
-        F.size(tokens) >= _SHINGLE + 2,
-        F.xxhash64(F.array_join(F.slice(tokens, F.greatest(middle, F.lit(2)), _SHINGLE), " ")),
-    )
+
+    def middle(tokens: Column) -> Column:
+        at = F.greatest(F.floor((F.size(tokens) - _SHINGLE) / 2).cast("int"), F.lit(1))
+        return F.when(
+            F.size(tokens) >= _SHINGLE + 2,
+            F.xxhash64(*[F.get(tokens, at + k) for k in range(_SHINGLE)]),
+        )
+
+    return bind(F.split(text, " "), middle)
 
 
 def text_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -78,7 +86,8 @@ def text_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     one or two tokens, compared directly (they may lie inside a word).
     """
     longer = right.select("id", "norm", _anchor(F.col("norm")).alias("h")).where("h IS NOT NULL")
-    places = left.select(F.col("id").alias("left_id"), F.explode(_shingles(F.col("norm"))).alias("h"))
+    places = left.select(F.col("id").alias("left_id"), F.explode_outer(_shingles(F.col("norm"))).alias("h"))
+    places = places.where(F.col("h").isNotNull())
     hits = places.join(
         longer.select(F.col("id").alias("right_id"), F.col("norm").alias("inner"), "h"), "h"
     ).select("left_id", "right_id", "inner")
@@ -281,17 +290,23 @@ def evidence_support(content: Column | str, source: Column | str) -> Column:
     """Share of sentences with at least half of their tokens in the evidence; 1.0 when the text
     says that it is unsupported."""
     content = F.col(content) if isinstance(content, str) else content
-    have = token_set(source)
-    parts = F.filter(
-        F.split(content, r"(?U)(?<=[.!?])\s+"), lambda s: F.btrim(s) != ""
-    )
-    good = F.filter(
-        parts, lambda s: (F.size(token_set(s)) > 0) & (fraction_of(have, token_set(s)) >= 0.5)
-    )
-    return (
-        F.when(content.contains("[UNSUPPORTED:"), 1.0)
-        .when(F.size(parts) > 0, F.size(good) / F.size(parts))
-        .otherwise(0.0)
+
+    def supported(have: Column) -> Column:
+        def enough(sentence: Column) -> Column:
+            return bind(
+                token_set(sentence),
+                lambda own: (F.size(own) > 0)
+                & (F.size(F.array_intersect(have, own)) / F.greatest(F.size(own), F.lit(1)) >= 0.5),
+            )
+
+        parts = F.filter(F.split(content, r"(?U)(?<=[.!?])\s+"), lambda s: F.btrim(s) != "")
+        return bind(
+            parts,
+            lambda ps: F.when(F.size(ps) > 0, F.size(F.filter(ps, enough)) / F.size(ps)).otherwise(0.0),
+        )
+
+    return F.when(content.contains("[UNSUPPORTED:"), 1.0).otherwise(
+        bind(token_set(source), supported)
     )
 
 

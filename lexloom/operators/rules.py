@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv
+from lexloom.functions.text import unpack
 from lexloom.operators.sections import text_lines
 
 
@@ -37,8 +38,7 @@ def scan_lines(
             ]
         )
     )
-    return (
-        text_lines(df, key, text)
-        .select(key, (F.col("line_no") + 1).alias("line_no"), F.inline(found))
-        .dropDuplicates([key, "line_no", "severity", "issue"])
+    rows = unpack(
+        text_lines(df, key, text), [key, (F.col("line_no") + 1).alias("line_no")], found, "issue"
     )
+    return rows.dropDuplicates([key, "line_no", "severity", "issue"])

@@ -24,7 +24,8 @@ def header_text(line: Column) -> Column:
 
 def text_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per line of a text with ``line_no`` from 0; line breaks are ``\\n``."""
-    return df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+    lines = F.posexplode_outer(F.split(F.col(text), "\n")).alias("line_no", "line")
+    return df.select(key, lines).where(F.col("line").isNotNull())
 
 
 def section_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -261,5 +261,5 @@ def validate_documents(df: DataFrame, key: str = "document_id") -> DataFrame:
     return df.select(
         key,
         "document_type",
-        F.posexplode(validation_results("fields", "document_type")).alias("position", "r"),
-    ).select(key, "document_type", "position", "r.*")
+        F.posexplode_outer(validation_results("fields", "document_type")).alias("position", "r"),
+    ).where("r IS NOT NULL").select(key, "document_type", "position", "r.*")
