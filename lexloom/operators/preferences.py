@@ -152,7 +152,8 @@ class _RuleSet:
             self.rules.append({**row, "vector": vector})
             return
         given = row["confidence"]
-        confidence = float(given) if given else fv.DEFAULT_RULE_CONFIDENCE
+        known = given is not None and given == given and given != 0  # NULL arrives as NaN
+        confidence = float(given) if known else fv.DEFAULT_RULE_CONFIDENCE
         twin = self._twin(vector)
         if twin is None:
             self.rules.append(

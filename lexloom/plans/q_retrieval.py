@@ -157,13 +157,13 @@ def annotated_chunks(t):
     """WITH c AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
           unnest(string_split(text, chr(10))) AS line, lang FROM documents)
         SELECT doc_id, line_no::BIGINT AS line_no,
-          CASE WHEN lang = 'en' THEN upper(line) ELSE line END AS line FROM c""",
+          CASE WHEN lang = 'en' THEN concat('new: ', line) ELSE line END AS line FROM c""",
 )
 def replaced_chunks(t):
     """English documents are embedded anew; the other documents keep their chunks."""
     old = sections.text_lines(t.documents, "doc_id")
     new = sections.text_lines(t.documents.where("lang = 'en'"), "doc_id").withColumn(
-        "line", F.upper("line")
+        "line", F.concat(F.lit("new: "), "line")
     )
     rows = chunks.replace_chunks(old, new, "doc_id")
     return rows.withColumn("line_no", F.col("line_no").cast("long"))

@@ -167,6 +167,18 @@ def turn_overlap(t):
     )
 
 
+@query(
+    "X3", (),
+    """SELECT doc_id, coalesce(NULLIF(regexp_extract(text, 'token = "([a-f0-9]+)"|([a-z0-9.]+@[a-z0-9.]+)', 1), ''),
+         NULLIF(regexp_extract(text, 'token = "([a-f0-9]+)"|([a-z0-9.]+@[a-z0-9.]+)', 2), '')) AS value
+       FROM documents""",
+)
+def first_group_search(t):
+    """The token or the mail address that comes first in each document."""
+    pattern = r'token = "([a-f0-9]+)"|([a-z0-9.]+@[a-z0-9.]+)'
+    return t.documents.select("doc_id", tx.search("text", pattern, 2, "Ud").alias("value"))
+
+
 @query("X1")
 def repaired_text(t):
     return t.spread("documents").select(
