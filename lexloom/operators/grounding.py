@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv
-from lexloom.functions.text import as_col, round_even, strip, word_total
+from lexloom.functions.text import as_col, bind, round_even, strip, word_total
 
 
 def sentences(content: Column | str) -> Column:
@@ -22,28 +22,38 @@ def tokens(text: Column) -> Column:
 def qualifies(sentence: Column) -> Column:
     """Eight words or more, one of them a capitalised word of over two letters or a legal noun."""
     nouns = F.array(*[F.lit(n) for n in fv.GROUNDING_NOUNS])
-    parts = tokens(sentence)
-    capital = F.exists(parts, lambda w: (F.length(w) > 2) & w.rlike(r"\A\p{Lu}"))
-    return (F.size(parts) >= 8) & (
-        capital | F.arrays_overlap(F.transform(parts, lambda w: F.lower(w)), nouns)
-    )
+
+    def enough(parts: Column) -> Column:
+        capital = F.exists(parts, lambda w: (F.length(w) > 2) & w.rlike(r"\A\p{Lu}"))
+        return (F.size(parts) >= 8) & (
+            capital | F.arrays_overlap(F.transform(parts, lambda w: F.lower(w)), nouns)
+        )
+
+    return bind(tokens(sentence), enough)
 
 
 def grounding_counts(content: Column | str) -> Column:
     """Struct of qualifying and grounded sentences."""
-    kept = F.filter(sentences(F.coalesce(as_col(content), F.lit(""))), qualifies)
-    cited = F.filter(
-        kept,
-        lambda s: s.rlike("(?iU)" + fv.GROUNDING_CITATION)
-        & ~s.rlike("(?i)" + fv.GROUNDING_UNSUPPORTED),
-    )
-    return F.struct(F.size(kept).alias("qualifying"), F.size(cited).alias("grounded"))
+
+    def counts(kept: Column) -> Column:
+        cited = F.filter(
+            kept,
+            lambda s: s.rlike("(?iU)" + fv.GROUNDING_CITATION)
+            & ~s.rlike("(?i)" + fv.GROUNDING_UNSUPPORTED),
+        )
+        return F.struct(F.size(kept).alias("qualifying"), F.size(cited).alias("grounded"))
+
+    return bind(F.filter(sentences(F.coalesce(as_col(content), F.lit(""))), qualifies), counts)
 
 
 def grounding_score(content: Column | str) -> Column:
     """Share of qualifying sentences with a citation; 1.0 when none qualifies."""
-    n = grounding_counts(content)
-    return F.when(n["qualifying"] > 0, round_even(n["grounded"] / n["qualifying"], 2)).otherwise(1.0)
+    return bind(
+        grounding_counts(content),
+        lambda n: F.when(
+            n["qualifying"] > 0, round_even(n["grounded"] / n["qualifying"], 2)
+        ).otherwise(1.0),
+    )
 
 
 def grounding_words(content: Column | str) -> Column:

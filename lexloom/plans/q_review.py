@@ -29,7 +29,7 @@ def _field_map(t):
         "available_balance": F.col("subtotal_text"),
     }
     entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in names.items()])
-    return t.invoices.select(
+    return t.spread("invoices").select(
         "document_id", "document_type", "subtotal", "tax", "total",
         F.map_from_entries(entries).alias("fields"),
     )
@@ -116,7 +116,7 @@ _NAMES = ["invoice_number", "due_date", "subtotal", "tax", "total_amount"]
 
 def _scored_fields(t):
     """Long field table of all invoices, with scan and classifier confidences from columns."""
-    docs = t.invoices.withColumns(
+    docs = t.spread("invoices").withColumns(
         {
             "ocr_conf": F.col("l_discount") * 10,
             "clf_conf": F.col("l_linenumber") / 8,

@@ -81,7 +81,7 @@ def test_jurisdiction(one):
 
 
 def test_terms(one):
-    text = '"Lender" means First Bank of Ohio. "lender" means Second Bank; sold to Acme Corp (the "Buyer").'
+    text = '"Lender" means First Bank of Ohio; "lender" means Second Bank; sold to Acme Corp (the "Buyer").'
     got = one(text, lambda c: terms.last_wins(terms.term_candidates(c)))
     assert [(p["term"], p["definition"]) for p in got] == [
         ("Buyer", "Acme Corp"), ("Lender", "First Bank of Ohio"),
