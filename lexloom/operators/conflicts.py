@@ -35,6 +35,15 @@ def _two_groups(text: Column, pattern: str, build) -> Column:
     )
 
 
+def _parts(text: Column, pattern: str, build) -> Column:
+    """Both groups of every match, with one scan of the text: the groups are read again from the
+    match itself, which is exact for a pattern that does not look beyond its match."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: build(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)),
+    )
+
+
 def _mention(kind: str, label: Column, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), label.alias("label"), value.alias("value"))
 
@@ -56,12 +65,12 @@ def mentions(text: Column) -> Column:
         ),
         lambda m: (F.length(m["label"]) >= 2) & (F.length(m["value"]) >= 5),
     )
-    dates = _two_groups(
+    dates = _parts(
         text,
         "(?iUd)" + fv.LABELLED_DATE,
         lambda label, d: _mention("date", normal_value(label), strip(d)),
     )
-    amounts = _two_groups(
+    amounts = _parts(
         text,
         "(?iUd)" + fv.LABELLED_AMOUNT,
         lambda label, a: _mention(

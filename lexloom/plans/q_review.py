@@ -634,7 +634,7 @@ def drafts_after_edits(t):
 
 @query("R10 T3")
 def draft_prompts(t):
-    """Prompts of all English and French documents with their conflicts and sources."""
+    """Prompts of all documents with their whole text as the one source."""
     docs = t.documents.select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.when(F.col("lang") == "en", "contract").otherwise("legal_notice").alias("document_type"),
