@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +59,17 @@ def spread(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; looks at no more than ``rows + 1`` of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of the application, once."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "lexloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, "lexloom"))
+    _shipped.add(app)
