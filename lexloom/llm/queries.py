@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.session import ship
+from lexloom.session import shared_folder, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.warc import read_records, write_archives
+
+    folder = shared_folder(spark, "warc")
+    index = write_archives(_table(spark, sf_dir, "pages"), folder)
+    return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.url_filter import judged, labelled_urls, trained
 
@@ -53,7 +61,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
-_PLANS = [op2_decontamination, op6_url_filter, op8_packing, op9_exact_dedup]
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.sharding import sharded
+
+    return sharded(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+_PLANS = [op2_decontamination, op4_warc, op6_url_filter, op8_packing, op9_exact_dedup, op10_sharding]
 
 
 def _shipped(plan):
