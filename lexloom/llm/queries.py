@@ -12,6 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.language import held_out, languages, trained
+
+    docs = _table(spark, sf_dir, "documents")
+    model = trained(docs.filter(~held_out(F.col("doc_id"))))
+    return languages(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.decontaminate import contamination
 
@@ -69,7 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLANS = [op2_decontamination, op4_warc, op6_url_filter, op8_packing, op9_exact_dedup, op10_sharding]
+_PLANS = [op1_language, op2_decontamination, op4_warc, op6_url_filter, op8_packing, op9_exact_dedup, op10_sharding]
 
 
 def _shipped(plan):
