@@ -57,6 +57,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), rules, trained(labelled_urls(spark)))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.jaccard import similar
+
+    return similar(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +85,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLANS = [op1_language, op2_decontamination, op4_warc, op6_url_filter, op8_packing, op9_exact_dedup, op10_sharding]
+_PLANS = [op1_language, op2_decontamination, op4_warc, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding]
 
 
 def _shipped(plan):
