@@ -89,3 +89,48 @@ def frame(schema: pa.Schema, **columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in ((f.name, columns[f.name]) for f in schema)],
         schema=schema,
     )
+
+
+def bounded_runs(batches, names: list[str], most: int, unique: int):
+    """Distinct rows of sorted batches with the size of their group, counted up to ``most``.
+
+    Rows are sorted by, and distinct in, the first ``unique`` columns; the first one is the group.
+    At most ``most`` rows of a group are held back until its size is known.
+    """
+    held: list[np.ndarray] | None = None
+    full, last = None, None
+
+    def distinct(rows):
+        keep = np.zeros(len(rows[0]), bool)
+        for k in range(unique):
+            keep[1:] |= rows[k][1:] != rows[k][:-1]
+        keep[:1] = last is None or any(rows[k][0] != last[k] for k in range(unique))
+        return [r[keep] for r in rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(n).to_numpy() for n in names]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+            held = None
+        rows = distinct(rows)
+        if full is not None and len(rows[0]):
+            lead = int((rows[0] == full).sum())
+            if lead:
+                yield [r[:lead] for r in rows], np.full(lead, most)
+                last = tuple(r[lead - 1] for r in rows)
+                rows = [r[lead:] for r in rows]
+        if not len(rows[0]):
+            continue
+        full, last = None, None
+        tail = int(np.searchsorted(rows[0], rows[0][-1]))
+        if tail:
+            _, which, count = np.unique(rows[0][:tail], return_inverse=True, return_counts=True)
+            yield [r[:tail] for r in rows], np.minimum(count, most)[which]
+        held = [r[tail:] for r in rows]
+        if len(held[0]) >= most:
+            yield held, np.full(len(held[0]), most)
+            full, last, held = held[0][-1], tuple(r[-1] for r in held), None
+    if held is not None:
+        yield held, np.full(len(held[0]), len(held[0]))

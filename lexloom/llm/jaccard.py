@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Rolling, signed, slices, utf8
+from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8
 from lexloom.llm.components import components
 from lexloom.session import cut_lineage
 
 EXTRA = 32
+#: Shingles of more classes are all equally frequent, which is an order too.
+MOST_COUNTED = 50_000
 _SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -151,16 +153,11 @@ def _together(parts, keys):
 
 
 def _counted(batches):
-    for token, owner, n in _runs(batches, ["token", "class", "n"]):
-        keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner, n = token[keep], owner[keep], n[keep]
-        _, which, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = count[which] > 1
+    for (token, owner, n), df in bounded_runs(batches, ["token", "class", "n"], MOST_COUNTED, 2):
+        often = df > 1
         if often.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[often]) for x in (token, owner, n)] + [pa.array(count[which][often])],
-                names=["token", "class", "n", "df"],
+                [pa.array(x[often]) for x in (token, owner, n)] + [pa.array(df[often])], names=["token", "class", "n", "df"]
             )
 
 

@@ -36,6 +36,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.long_matches import without_long_matches
+
+    return without_long_matches(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.warc import read_records, write_archives
 
@@ -85,7 +91,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLANS = [op1_language, op2_decontamination, op4_warc, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding]
+_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding]
 
 
 def _shipped(plan):
