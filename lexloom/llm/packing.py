@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from itertools import chain, filterfalse
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -64,53 +65,78 @@ class OpenBins:
         return number, self.room - free
 
 
+#: Letters that byte-level vocabularies write for bytes: printable ones stand for themselves.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_LETTER = {b: chr(b if b in _PRINTED else 256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
+
+
 class WordIds:
     """Ids of a text by way of its words, which the tokenizer never joins across a blank.
 
-    Little-endian 32-bit ids of each word are kept, of at most ``limit`` words as written and as
-    many in lower case; when full, a table starts anew.
+    Little-endian 32-bit ids are kept of the last ``limit`` to ``2 * limit`` distinct words as
+    written, from their second occurrence on, and of at most ``limit`` without their case and
+    closing marks.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 400_000) -> None:
+    def __init__(self, tokenizer_file: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
         self.seen: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _parts(self, word: str) -> tuple[str, str]:
-        """A word as a run of letters in lower case and closing marks, where that gives the same ids."""
+        self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {"": b""}
+        self.met = bytearray(1 << 24)
+        self.n_met = 0
+
+    def _encoded(self, part: str) -> bytes:
+        # A run of Latin letters is one piece of the tokenizer's split, so its model can take it as it is.
+        if part.isalpha() and max(part) < "\u0250":
+            if not part.isascii():
+                part = self.tokenizer.normalizer.normalize_str(part)
+            if part.isalpha():
+                letters = part if part.isascii() else "".join(map(_LETTER.__getitem__, part.encode()))
+                return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, part: str) -> bytes:
+        found = self.plain.get(part)
+        if found is None:
+            if len(self.plain) >= self.limit:
+                self.plain = {"": b""}
+            found = self.plain[part] = self._encoded(part)
+        return found
+
+    def _learn(self, word: str) -> bytes:
         core = word.rstrip(_MARKS)
-        if core.isalpha() and core.isascii():
-            return core.lower(), word[len(core) :]
-        return word, ""
-
-    def learn(self, words) -> None:
-        parts = {w: self._parts(w) for w in words}
-        if len(self.seen) + len(parts) > self.limit:
-            self.seen = {}
-        new = {p for pair in parts.values() for p in pair if p and p not in self.plain}
-        if len(self.plain) + len(new) > self.limit:
-            self.plain = {}
-            new = {p for pair in parts.values() for p in pair if p}
-        new = list(new)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.plain[p] = array("I", e.ids).tobytes()
-        self.plain[""] = b""
-        for w, (core, marks) in parts.items():
-            self.seen[w] = self.plain[core] + self.plain[marks]
+        if core.isascii() and core.isalpha():
+            return self._plain(core.lower()) + self._plain(word[len(core) :])
+        if core != word and core.isalpha():  # letters and closing marks are split apart
+            return self._plain(core) + self._plain(word[len(core) :])
+        return self._plain(word)
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.seen.keys()
-        if new:
-            self.learn(new)
-            if any(w not in self.seen for words in split for w in words):  # the table started anew
-                self.learn(set().union(*split))
+        if len(self.seen) > self.limit:
+            self.seen, self.older = {}, self.seen
+        once = []
+        for word in set(filterfalse(self.seen.__contains__, chain.from_iterable(split))):
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._learn(word)
+                if not self.met[(at := hash(word) & 0xFFFFFF)]:
+                    self.met[at] = 1
+                    once.append(word)
+            self.seen[word] = ids
         get = self.seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [b"".join(map(get, words)) for words in split]
+        for word in once:
+            del self.seen[word]
+        self.n_met += len(once)
+        if self.n_met > 1 << 22:
+            self.met, self.n_met = bytearray(1 << 24), 0
+        return found
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -123,7 +149,7 @@ def _pack(tokenizer_file: str, room: int, open_bins: int):
         ids_of = _tokenizers[tokenizer_file]
         bins = OpenBins(room, open_bins, TaskContext.get().partitionId() << 36)
         size = 4 * room
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             docs = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             pieces = []
