@@ -50,6 +50,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.html_text import page_texts
+
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.url_filter import judged, labelled_urls, trained
 
@@ -91,7 +97,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding]
+_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding]
 
 
 def _shipped(plan):
