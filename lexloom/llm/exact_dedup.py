@@ -112,11 +112,14 @@ def _combine(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
-def exact_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_groups(docs: DataFrame, salts: int = 64, hot_rows: int = 1000) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Contents with at least ``hot_rows`` rows, and a thousandth of all, are salted.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    least = max(1000, texts.count() // 1000)
+    least = max(hot_rows, texts.count() // 1000)
     hot = (
         texts.select("text").mapInArrow(_digests, "digest string")
         .groupBy("digest").count().filter(F.col("count") >= least).select("digest", F.lit(True).alias("hot"))
