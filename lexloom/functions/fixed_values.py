@@ -623,3 +623,289 @@ UNQUOTED_SECRET_RULE = (
     [r"(?i)\b(api[_-]?key|secret|token|password)\b\s*[:=]\s*[A-Za-z0-9_\-]{16,}"],
     ["os.getenv", "secrets."],
 )
+
+# ---- fields of the per-type extractors: patterns, needles and clean-up that must match ----------
+# field: (kind, rule), see operators/extract_classes.py for the kinds. Case is ignored.
+
+_NAMED = r"[A-Z][A-Za-z0-9 &,\.\-]+"
+_PERSON = r"[A-Z][A-Za-z .,'-]+"
+_SECTION = (
+    r"(?s)(?:^|\n)\s*(?:[IVX]+\.\s*)?(?:%s)\s*(.*?)"
+    r"(?=\n\s*(?:[IVX]+\.\s*)?[A-Z][A-Z ,]{4,80}\n|\n\s*COUNT\s+|\z)"
+)
+_SENTENCES = r"(?<=[.;])\s+|\(\w\)\s+"
+_CAPTION = (
+    r"(?s)([A-Z][A-Z0-9 .,'&-]{3,120}),?\s+Plaintiff,?\s+(?:v\.?|vs\.?|ve)\s+"
+    r"(.+?),?\s+Defendants?\b"
+)
+_CAPTION_COURT = r"\A.*\bDISTRICT\s+OF\s+[A-Z]+\s+"
+_CLAIMS = {
+    "find": [
+        (r"(?:^|\n)\s*COUNT\s+((?:I|II|III|IV|V|VI|VII|VIII|IX|X|\d+)[^\n]{0,180})", 1),
+        (
+            r"(?:^|\n)\s*(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|SIXTH|SEVENTH|EIGHTH|NINTH|TENTH)?\s*"
+            r"CAUSE\s+OF\s+ACTION\s*[:#-]?\s*([^\n]{8,180})",
+            1,
+        ),
+    ],
+    "trim": " :-",
+    "longer_than": 5,
+    "also": {
+        "search": [
+            r"COMPLAINT\s+FOR\s+(.+?)"
+            r"(?:DEMAND\s+FOR\s+JURY\s+TRIAL|JURY\s+TRIAL\s+DEMANDED|PRELIMINARY\s+STATEMENT)"
+        ],
+        "split": r",\s*|\s+AND\s+",
+        "part_longer_than": 8,
+        "trim": " ,.;",
+        "drop": r"\A(?:and|or)\s+",
+        "longer_than": 5,
+    },
+    "distinct": "ignore case",
+}
+CLASS_FIELDS = {
+    "contract": {
+        "effective_date": ("first", [r"effective\s+(?:as\s+of\s+)?date\s*[:#]?\s*([A-Za-z0-9,\-\/ ]+)"]),
+        "party_a": (
+            "first",
+            [
+                r"(?:between|party\s+a|first\s+party)\s*[:#]?\s*([A-Za-z0-9 &,\.\-]+?)"
+                r"(?=\s+and\s+[A-Z]|\s*,\s*a\s+[A-Za-z]|$)"
+            ],
+        ),
+        "party_b": (
+            "first",
+            [
+                r"(?:corporation|company|llc|inc|ltd)[^,\n]{0,20}and\s+([A-Z][A-Za-z ,\.\-]+?)"
+                r"(?=\s*[,\(]|\s*$|\n)",
+                r"(?:party\s+b|second\s+party)\s*[:#]?\s*([A-Za-z0-9 &,\.\-]+)",
+            ],
+        ),
+        "parties": (
+            "people",
+            {
+                "fields": ["party_a", "party_b"],
+                "pattern": r"\b(grantor|grantee|plaintiff|defendant|licensor|licensee)\b\s*[:\-]?\s*" + f"({_NAMED})",
+                "trim": " .,",
+            },
+        ),
+        "governing_law": (
+            "first",
+            [
+                r"laws?\s+of\s+(?:the\s+state\s+of\s+)?([A-Z][A-Za-z ]+?)(?=[\.,;\n]|$)",
+                r"governing\s+law\s*[:#]?\s*(?:[^\n]{0,80}?laws?\s+of\s+(?:the\s+state\s+of\s+)?)?"
+                r"([A-Z][A-Za-z ]+?)(?=[\.,;\n]|$)",
+            ],
+        ),
+        "termination_date": ("first", [rf"termination\s+date\s*[:#]?\s*((?:{_DATE}))"]),
+        "contract_value": (
+            "first",
+            [r"(?:contract\s+value|total\s+value|consideration)\s*[:#]?\s*([$€£]?\s?[\d,]+(?:\.\d{2})?)"],
+        ),
+        "consideration": (
+            "first",
+            [
+                r"(?:contract\s+value|total\s+value|consideration)\s*[:#]?\s*([$€£]?\s?[\d,]+(?:\.\d{2})?)",
+                r"(good\s+and\s+valuable\s+consideration|consideration\s+of\s+[$€£]?\s?[\d,]+(?:\.\d{2})?)",
+            ],
+        ),
+        "payment_terms": (
+            "first",
+            [
+                r"(?s)(payment\s+terms?\s*[:#]?\s*(?:.{0,240}?))"
+                r"(?:\n\s*\n|termination|confidentiality|$)"
+            ],
+        ),
+        "notice_period": ("first", [r"(\d{1,3})\s+days?\s+(?:prior\s+)?(?:written\s+)?notice"]),
+        "confidentiality_clause": ("clause", (["confidentiality", "confidential"], 100)),
+        "ip_ownership": ("snippet", (["intellectual property", "ip ownership", "work product"], 220)),
+        "indemnification": ("clause", (["indemnification", "indemnify", "hold harmless"], 220)),
+        "dispute_resolution": ("snippet", (["arbitration", "mediation", "dispute resolution", "litigation"], 220)),
+        "signatures": (
+            "signatures",
+            {
+                "pattern": r"(?:signature|signed\s+by|by)\s*[:_\- ]+\s*([A-Z][A-Za-z .,'-]{2,80})"
+                r"(?:\s+date\s*[:_\- ]+\s*([A-Za-z0-9,/\- ]{4,40}))?",
+                "trim": " .,",
+            },
+        ),
+    },
+    "legal_complaint": {
+        "case_caption": (
+            "first",
+            [
+                r"([A-Z][A-Za-z0-9 &,.'\-]+,\s*Plaintiffs?.{0,120}?[A-Z][A-Za-z0-9 &,.'\-]+,\s*Defendants?)",
+                r"\b([A-Z][A-Za-z0-9 &,.'\-]+ v\.? [A-Z][A-Za-z0-9 &,.'\-]+)\b",
+            ],
+        ),
+        "case_number": (
+            "first",
+            [
+                r"\bCase\s+(\d+:\d{2}-cv-\d{3,6}-[A-Z]+)\b",
+                r"\b(\d{2}-[A-Z]-\d{3,6})\s+Case\s+No\.?\b",
+                r"(?:civil\s+action|case|docket)\s*(?:no\.?|number|#)\s*[:#]?\s*"
+                r"((?:\d+:\d{2}-cv-\d{3,6}-[A-Z]+)|(?:\d{2}-[A-Z]-\d{3,6})|[A-Z0-9:\-\/\.]+)",
+            ],
+        ),
+        "court": (
+            "titled",
+            {
+                "pattern": r"\b(UNITED\s+STATES\s+DISTRICT\s+court\S*)\s*:?\s*([A-Z ]+)(?=\s+[A-Z][A-Z .,'-]+,\s+Plaintiff)",
+                "group": 2,
+                "trim": " ,:",
+                "narrow": r"\b((?:EASTERN|WESTERN|NORTHERN|SOUTHERN|MIDDLE|CENTRAL)\s+DISTRICT\s+OF\s+[A-Z]+)\b",
+                "title": "UNITED STATES DISTRICT COURT, ",
+                "else": [r"((?:UNITED\s+STATES\s+)?DISTRICT\s+COURT[^\\n]{0,120}|[A-Z][A-Za-z ,]+ Court)"],
+            },
+        ),
+        "plaintiffs": (
+            "list",
+            [
+                {"once": _CAPTION, "group": 1, "trim": " ,;.", "drop": _CAPTION_COURT},
+                {
+                    "find": [(r"([A-Z][A-Za-z0-9 &,.'\-]{2,160}),?\s+(?:plaintiff|plaintiffs)\b", 1)],
+                    "trim": " ,;", "but": ["", "and"], "distinct": "ignore case",
+                },
+            ],
+        ),
+        "defendants": (
+            "list",
+            [
+                {
+                    "once": _CAPTION, "group": 2, "trim": " ,;.", "drop": _CAPTION_COURT,
+                    "split": r",\s+(?-i:and)\s+(?=(?-i:[A-Z]))|,\s+(?-i:or),\s+(?-i:in\s+the\s+alternative),\s+",
+                    "part_longer_than": 3, "distinct": "ignore case",
+                },
+                {
+                    "find": [(r"([A-Z][A-Za-z0-9 &,.'\-]{2,160}),?\s+(?:defendant|defendants)\b", 1)],
+                    "trim": " ,;", "but": ["", "and"], "distinct": "ignore case",
+                },
+            ],
+        ),
+        "filing_date": ("first", [rf"(?:filed|dated)\s*[:#]?\s*({_DATE})"]),
+        "claims": ("list", [_CLAIMS]),
+        "causes_of_action": ("list", [_CLAIMS]),
+        "jurisdiction": (
+            "bases",
+            {
+                "bases": [
+                    (r"\b28\s+U\.S\.C\.?\s+§+\s*1331\b", "Federal question jurisdiction under 28 U.S.C. § 1331"),
+                    (r"\b28\s+U\.S\.C\.?\s+§+\s*1343\b", "Civil rights jurisdiction under 28 U.S.C. § 1343"),
+                ],
+                "else": {"once": _SECTION % "jurisdiction|jurisdiction and venue", "group": 1, "split": _SENTENCES, "part_longer_than": 20, "trim": " ;"},
+            },
+        ),
+        "venue": (
+            "quoted",
+            {
+                "pattern": r"\b28\s+U\.S\.C\.?\s+§+\s*1391(?:\([a-z]\))?",
+                "title": "Venue alleged under ",
+                "else": {"once": _SECTION % "venue|jurisdiction and venue", "group": 1, "split": _SENTENCES, "part_longer_than": 20, "trim": " ;"},
+            },
+        ),
+        "statutes": (
+            "list",
+            [
+                {
+                    "find": [
+                        (r"\b\d+\s+U\.S\.C\.?\s+§+\s*[\w\-.()]+", 0),
+                        (r"\b\d+\s+C\.F\.R\.?\s+§+\s*[\w\-.()]+", 0),
+                        (r"\b[A-Z][A-Za-z ]{2,80}\s+Act\b", 0),
+                        (r"\bFederal\s+Rule\s+of\s+Civil\s+Procedure\s+\d+", 0),
+                    ],
+                    "cut": r"(?s)(?:\n\s*\n|\n\s*(?-i:[A-Z][A-Z ,]{4,80})\n).*",
+                    "trim": " ,.;:", "but": [""], "distinct": "ignore case",
+                }
+            ],
+        ),
+        "relief_sought": (
+            "list",
+            [
+                {
+                    "once": _SECTION % "prayer for relief|relief requested|request for relief|wherefore", "group": 1,
+                    "split": _SENTENCES, "part_longer_than": 20, "trim": " ;",
+                },
+                {
+                    "once": r"(?s)\bWHEREFORE\b,?\s*(?:Plaintiffs?|Petitioners?)?\s*(?:respectfully\s+)?(?:requests?|prays?)\s+(.*?)"
+                    r"(?=\n\s*(?:JURY\s+DEMAND|DEMAND\s+FOR\s+JURY|DATED|Respectfully submitted|$))",
+                    "group": 1, "split": r";\s+|\(\w\)\s+|\n\s*\d+\.\s+", "part_longer_than": 20, "trim": " ;.",
+                },
+            ],
+        ),
+        "jury_demand": (
+            "flag",
+            r"\b(?:jury\s+trial\s+demand(?:ed)?|demand\s+for\s+jury\s+trial|demands?\s+a\s+jury\s+trial|jury\s+demand)\b",
+        ),
+    },
+    "legal_notice": {
+        "notice_type": (
+            "word",
+            [
+                ("cease and desist", "cease_and_desist"), ("demand", "demand"), ("summons", "summons"),
+                ("subpoena", "subpoena"), ("termination", "termination"),
+            ],
+        ),
+        "issuing_party": ("first", [rf"(?:from|issuing party)\s*[:#]?\s*({_NAMED})"]),
+        "receiving_party": ("first", [rf"(?:to|receiving party)\s*[:#]?\s*({_NAMED})"]),
+        "issue_date": ("first", [r"(?:date|issue date)\s*[:#]?\s*([A-Za-z0-9,\-/ ]+)"]),
+        "response_deadline": ("first", [r"(?:response deadline|respond by|deadline)\s*[:#]?\s*([A-Za-z0-9,\-/ ]+)"]),
+        "jurisdiction": ("first", [r"jurisdiction\s*[:#]?\s*([A-Za-z ,]+)"]),
+        "referenced_documents": (
+            "list",
+            [
+                {
+                    "find": [
+                        (r"\b(?:case|contract|agreement|exhibit|schedule|document)\s+(?:no\.?|number|[A-Z])?\s*[:#]?\s*([A-Z0-9\-\/]{3,})", 1)
+                    ],
+                    "distinct": "sorted",
+                }
+            ],
+        ),
+        "required_actions": ("list", [{"find": [(r"\b(?:must|shall|required to|demand that you)\s+([^.;\n]{8,180})", 1)]}]),
+    },
+    "case_brief": {
+        "case_name": ("first", [rf"(?:case name|caption)\s*[:#]?\s*({_NAMED} v\.? {_NAMED})", rf"\b({_NAMED} v\.? {_NAMED})\b"]),
+        "case_number": ("first", [r"(?:case|docket)\s*(?:no\.?|number|#)\s*[:#]?\s*([A-Z0-9\-\/:]+)"]),
+        "court": ("first", [r"(?:court)\s*[:#]?\s*([A-Z][A-Za-z ,\.\-]+)"]),
+        "jurisdiction": ("first", [r"jurisdiction\s*[:#]?\s*([A-Za-z ,]+)"]),
+        "filing_date": ("first", [r"filing\s+date\s*[:#]?\s*([A-Za-z0-9,\-/ ]+)"]),
+        "decision_date": ("first", [r"decision\s+date\s*[:#]?\s*([A-Za-z0-9,\-/ ]+)"]),
+        "plaintiff": ("first", [rf"plaintiff\s*[:#]?\s*({_NAMED})"]),
+        "defendant": ("first", [rf"defendant\s*[:#]?\s*({_NAMED})"]),
+        "legal_issues": (
+            "list",
+            [
+                {
+                    "once": rf"(?s){heading}\s*[:#]?\s*(.*?)(?:\n\s*\n|holding|facts|analysis|$)", "group": 1,
+                    "raw": True, "split": r"\n|;|\?", "part_longer_than": 8, "trim": " -;\n\t",
+                }
+                for heading in ("legal issues", "issues presented", "questions presented")
+            ],
+        ),
+        "holding": ("first", [r"holding\s*[:#]?\s*([^\\n]{10,500})"]),
+        "cited_statutes": (
+            "list",
+            [
+                {
+                    "find": [
+                        (r"\b\d+\s+U\.S\.C\.?\s+§?\s*[\w\-\.]+", 0),
+                        (r"\b[A-Z][A-Za-z ]+\s+Code\s+§?\s*[\w\-\.]+", 0),
+                        (r"\bsection\s+\d+[A-Za-z0-9\.\-]*", 0),
+                    ],
+                    "raw": True, "distinct": "sorted",
+                }
+            ],
+        ),
+    },
+    "affidavit": {
+        "declarant_name": (
+            "first",
+            [rf"(?:affidavit|declaration)\s+of\s+({_PERSON})", rf"(?:affiant|declarant|deponent)\s*[:#]?\s*({_PERSON})"],
+        ),
+        "declarant_role": ("first", [r"(?:capacity|role|title)\s*[:#]?\s*([A-Za-z ,.'-]+)"]),
+        "notary_name": ("first", [rf"notary\s+(?:public\s+)?(?:name)?\s*[:#]?\s*({_PERSON})"]),
+        "notary_jurisdiction": ("first", [r"(?:state|county|jurisdiction)\s+of\s+([A-Z][A-Za-z ,.'-]+)"]),
+        "execution_date": ("first", [r"(?:executed|sworn|signed|dated)\s+(?:on\s+)?([A-Za-z0-9,\-/ ]+)"]),
+        "statement_summary": ("snippet", (["declare", "sworn"], 350)),
+    },
+}

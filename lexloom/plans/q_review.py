@@ -373,10 +373,10 @@ def class_extractors(t):
        FROM legal_texts WHERE o_orderpriority = '3-MEDIUM'""",
 )
 def contract_class_fields(t):
-    from lexloom.operators.extract_classes import contract_fields
+    from lexloom.operators.extract_classes import class_fields
 
     rows = t.spread("legal_texts").where("o_orderpriority = '3-MEDIUM'")
-    rows = rows.select("document_id", contract_fields("text").alias("f"))
+    rows = rows.select("document_id", class_fields("text", "contract").alias("f"))
     return rows.select(
         "document_id", "f.effective_date", "f.party_a", "f.party_b", "f.governing_law",
         "f.contract_value", F.array_join("f.signatures.name", "; ").alias("signers"),
@@ -392,10 +392,10 @@ def contract_class_fields(t):
        FROM legal_texts WHERE o_orderpriority = '1-URGENT'""",
 )
 def complaint_class_fields(t):
-    from lexloom.operators.extract_classes import complaint_fields
+    from lexloom.operators.extract_classes import class_fields
 
     rows = t.spread("legal_texts").where("o_orderpriority = '1-URGENT'")
-    rows = rows.select("document_id", complaint_fields("text").alias("f"))
+    rows = rows.select("document_id", class_fields("text", "legal_complaint").alias("f"))
     return rows.select(
         "document_id", "f.case_number", "f.filing_date", "f.jurisdiction", "f.venue",
         F.array_join("f.claims", "; ").alias("claims"), "f.jury_demand",
@@ -409,10 +409,10 @@ def complaint_class_fields(t):
        FROM legal_texts WHERE o_orderpriority = '2-HIGH'""",
 )
 def notice_class_fields(t):
-    from lexloom.operators.extract_classes import notice_fields
+    from lexloom.operators.extract_classes import class_fields
 
     rows = t.spread("legal_texts").where("o_orderpriority = '2-HIGH'")
-    rows = rows.select("document_id", notice_fields("text").alias("f"))
+    rows = rows.select("document_id", class_fields("text", "legal_notice").alias("f"))
     return rows.select(
         "document_id", "f.notice_type", "f.issuing_party", "f.response_deadline",
         F.array_join("f.required_actions", "; ").alias("actions"),
@@ -427,7 +427,7 @@ def notice_class_fields(t):
        FROM part""",
 )
 def brief_class_fields(t):
-    from lexloom.operators.extract_classes import brief_fields
+    from lexloom.operators.extract_classes import class_fields
 
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     text = F.concat(
@@ -435,7 +435,7 @@ def brief_class_fields(t):
         F.lit("\nLegal issues: Whether the sale was void? Whether notice was given?\n\nUnder 42 U.S.C. "),
         size, F.lit("\nSee section "), key, F.lit("\n"),
     )
-    rows = t.part.select("p_partkey", brief_fields(text).alias("f"))
+    rows = t.part.select("p_partkey", class_fields(text, "case_brief").alias("f"))
     return rows.select(
         "p_partkey", "f.case_name", "f.case_number",
         F.array_join("f.legal_issues", "; ").alias("legal_issues"),
@@ -449,10 +449,10 @@ def brief_class_fields(t):
        FROM legal_texts WHERE o_orderpriority = '5-LOW'""",
 )
 def affidavit_class_fields(t):
-    from lexloom.operators.extract_classes import affidavit_fields
+    from lexloom.operators.extract_classes import class_fields
 
     rows = t.spread("legal_texts").where("o_orderpriority = '5-LOW'")
-    rows = rows.select("document_id", affidavit_fields("text").alias("f"))
+    rows = rows.select("document_id", class_fields("text", "affidavit").alias("f"))
     return rows.select("document_id", "f.declarant_name", "f.declarant_role", "f.notary_jurisdiction")
 
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
 from lexloom.operators import grounding, jurisdiction, terms
-from lexloom.operators.extract_classes import complaint_fields, contract_fields
+from lexloom.operators.extract_classes import EXTRACTORS
 
 
 def test_repair(one):
@@ -101,12 +101,20 @@ def test_class_extractors(one):
     got = one(
         "Effective Date: May 1, 2020\nThis Agreement is between Acme Inc and Beta LLC\n"
         "governed by the laws of the State of Ohio.\nGrantor: Jo Doe\n",
-        contract_fields,
+        EXTRACTORS["contract"],
     )
     assert got["effective_date"] == "May 1, 2020"
     assert got["party_a"] == "Acme Inc"
     assert got["governing_law"] == "Ohio"
-    got = one("JO DOE, Plaintiff, v. ACME CORP, and BETA LLC, Defendants.\nCOUNT I fraud", complaint_fields)
+    got = one("JO DOE, Plaintiff, v. ACME CORP, and BETA LLC, Defendants.\nCOUNT I fraud", EXTRACTORS["legal_complaint"])
     assert got["plaintiffs"] == ["JO DOE"]
     assert got["defendants"] == ["ACME CORP", "BETA LLC"]
     assert got["claims"] == ["I fraud"]
+
+
+def test_class_extractor_lists_are_whole(one):
+    demands = "\n".join(f"You must return item number {i} soon." for i in range(30))
+    got = one(f"Cease and desist.\nFrom: Firm\n{demands}", EXTRACTORS["legal_notice"])
+    assert len(got["required_actions"]) == 30 and got["notice_type"] == "cease_and_desist"
+    got = one("28 U.S.C. § 1391 " + " ".join(f"{i} U.S.C. § {i}5," for i in range(1, 40)), EXTRACTORS["legal_complaint"])
+    assert len(got["statutes"]) == 40 and got["venue"] == "Venue alleged under 28 U.S.C. § 1391"
