@@ -5,17 +5,19 @@ Two shapes of work:
 * *inside a document* - queries meet the chunks of their own document in an equi join; each pair is
   scored in its row. The join is skew-split by AQE, and ``row_number <= k`` keeps k rows per task
   before the shuffle (WindowGroupLimit), so a document of any size never sits in one task whole.
-* *whole corpus* - a small, size-checked query set travels to the chunks; every Arrow batch keeps its
-  own best k per query, so only candidates are shuffled. A larger query set is joined on the
-  dimensions instead.
+* *whole corpus* - the queries travel to the chunks in blocks of bounded size; every task keeps exactly
+  its best k per query, so only that many candidates are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +27,8 @@ from lexloom.functions.hashing import (
     as_map, query_text, sparse_dot, sparse_embedding, squared_norm,
 )
 from lexloom.functions.text import join_expansion, round_even
-from lexloom.session import is_small
 
-MAX_BROADCAST_QUERIES = 2000
+BLOCK_QUERIES = 2000
 
 
 def expand_queries(
@@ -126,90 +127,82 @@ def retrieve_many_documents(
     )
 
 
-def _local_top_k(queries: list[tuple[str, dict[int, int], int]], k: int):
-    ids = [q[0] for q in queries]
-    matrix = np.zeros((fv.EMBEDDING_DIMENSIONS, len(queries)), dtype=np.float64)
+_SCORED = T.StructType(
+    [
+        T.StructField("query_id", T.StringType()),
+        T.StructField("chunk_id", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+    ]
+)
+
+
+def _dense(vectors: pa.Array, width: int) -> np.ndarray:
+    """Rows of a matrix from lists of (dim, w)."""
+    out = np.zeros((len(vectors), width))
+    flat = vectors.flatten()
+    row = np.repeat(np.arange(len(vectors)), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
+    np.add.at(out, (row, flat.field("dim").to_numpy()), flat.field("w").to_numpy())
+    return out
+
+
+def _first_k(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k, the smaller id first among equal scores."""
+    if len(score) > k:
+        floor = np.partition(score, len(score) - k)[len(score) - k]
+        sure = np.flatnonzero(score > floor)
+        tied = np.flatnonzero(score == floor)
+        tied = tied[np.argsort(ids[tied], kind="stable")][: k - len(sure)]
+        places = np.concatenate([sure, tied])
+    else:
+        places = np.arange(len(score))
+    return places[np.lexsort((ids[places], -score[places]))]
+
+
+def _task_top_k(queries: list[tuple[str, dict[int, int], int]], k: int):
+    """The best k of a task per query; no more than that is held or sent on."""
+    matrix = np.zeros((fv.EMBEDDING_DIMENSIONS, len(queries)))
     for j, (_, vec, _) in enumerate(queries):
-        for dim, w in vec.items():
-            matrix[dim, j] = w
+        matrix[list(vec), j] = list(vec.values())
     qnorm = np.array([float(q[2]) for q in queries])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, object)) for _ in queries]
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            dense = np.zeros((len(pdf), fv.EMBEDDING_DIMENSIONS), dtype=np.float64)
-            for i, vec in enumerate(pdf["vec"]):
-                for entry in vec:
-                    dense[i, entry["dim"]] = entry["w"]
-            norm2 = pdf["norm2"].to_numpy(dtype=np.float64)
-            product = np.outer(norm2, qnorm)
+            product = np.outer(batch.column("norm2").to_numpy().astype(np.float64), qnorm)
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.where(product > 0, (dense @ matrix) / np.sqrt(product), 0.0)
-            chunk_ids = pdf["chunk_id"].to_numpy()
-            for j, query_id in enumerate(ids):
-                column = score[:, j]
-                if len(column) > k:
-                    # Everything not below the k-th score stays, so ties are settled later.
-                    floor = np.partition(column, len(column) - k)[len(column) - k]
-                    keep = np.flatnonzero(column >= floor)
-                else:
-                    keep = np.arange(len(column))
-                yield pd.DataFrame(
-                    {"query_id": query_id, "chunk_id": chunk_ids[keep], "score": column[keep]}
-                )
+                score = np.where(product > 0, (_dense(batch.column("vec"), len(matrix)) @ matrix) / np.sqrt(product), 0.0)
+            ids = np.array(batch.column("chunk_id").to_pylist(), object)
+            for j, (held, names) in enumerate(best):
+                mine = _first_k(score[:, j], ids, k)
+                both, every = np.concatenate([held, score[mine, j]]), np.concatenate([names, ids[mine]])
+                keep = _first_k(both, every, k)
+                best[j] = both[keep], every[keep]
+        for (query_id, _, _), (held, names) in zip(queries, best):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_id] * len(held), pa.string()), pa.array(names, pa.string()), pa.array(held)],
+                names=["query_id", "chunk_id", "score"],
+            )
 
     return run
 
 
-def corpus_top_k(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int,
-    max_queries: int = MAX_BROADCAST_QUERIES,
-) -> DataFrame:
-    """Best k chunks of the whole corpus per query: (query_id, chunk_id, score, rank)."""
+def corpus_top_k(chunks: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """Best k chunks of the whole corpus per query: (query_id, chunk_id, score, rank).
+
+    All pairs are scored whatever the number of queries: they stream through the driver in blocks, and
+    each block is one pass over the chunks. A pair without a common dimension scores 0.0.
+    """
     slim = chunks.select("chunk_id", "vec", "norm2")
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "qvec", "qnorm2")
-    if is_small(asked, max_queries):
-        local = [
-            (r["query_id"], {e["dim"]: e["w"] for e in r["qvec"]}, r["qnorm2"])
-            for r in asked.limit(max_queries).collect()
-        ]
-        schema = T.StructType(
-            [
-                T.StructField("query_id", T.StringType()),
-                T.StructField("chunk_id", T.StringType()),
-                T.StructField("score", T.DoubleType()),
-            ]
-        )
-        scored = slim.mapInPandas(_local_top_k(local, k), schema) if local else None
-        if scored is None:
-            scored = slim.sparkSession.createDataFrame([], schema)
-    else:
-        scored = dimension_scores(slim, asked)
+    scored = slim.sparkSession.createDataFrame([], _SCORED)
+    rows = ((r["query_id"], {e["dim"]: e["w"] for e in r["qvec"] or ()}, r["qnorm2"] or 0) for r in asked.toLocalIterator())
+    while block := list(islice(rows, block_queries)):
+        scored = scored.unionByName(slim.mapInArrow(_task_top_k(block, k), _SCORED))
     return top_k(scored, ["query_id"], k, None, ["chunk_id"])
 
 
-def dimension_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores of all pairs with a dimension in common, on built-in operators.
-
-    Partial sums run before the shuffle; AQE splits a dimension that is hot.
-    """
-    left = chunks.select("chunk_id", "norm2", F.inline("vec")).withColumnRenamed("w", "cw")
-    right = queries.select("query_id", "qnorm2", F.inline("qvec")).withColumnRenamed("w", "qw")
-    dots = (
-        left.join(right, "dim")
-        .groupBy("query_id", "chunk_id", "norm2", "qnorm2")
-        .agg(F.sum((F.col("cw") * F.col("qw")).cast("long")).alias("dot"))
-    )
-    return dots.select(
-        "query_id",
-        "chunk_id",
-        cosine_of(F.col("dot"), F.col("norm2"), F.col("qnorm2")).alias("score"),
-    )
-
-
 @F.pandas_udf(T.DoubleType())
 def dense_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
     """Cosine of two dense vectors per row; a zero vector counts as length one."""
@@ -263,9 +256,14 @@ def keyword_support(
 
 
 def union_first(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``first``, and those of ``second`` whose key is new."""
-    extra = second.join(first.select(*keys), keys, "left_anti")
-    return first.unionByName(extra.select(*first.columns))
+    """Rows of ``first``, and those of ``second`` whose key is new. Both are read once.
+
+    Keys are distinct within each input.
+    """
+    rest = [c for c in first.columns if c not in keys]
+    both = first.withColumn("_from", F.lit(0)).unionByName(second.select(*first.columns).withColumn("_from", F.lit(1)))
+    chosen = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), "_from").alias("_row")) if rest else both.select(*keys).distinct()
+    return chosen.select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in first.columns])
 
 
 def select_diverse(
@@ -276,72 +274,71 @@ def select_diverse(
 ) -> DataFrame:
     """At most two chunks per stretch of 20 first, by score; if short of k, the others by score.
 
-    A document with no more than k candidates keeps them all in score order. Only rows that can be
-    chosen reach the final step: the first k of the whole document and the best two per stretch.
+    A document with no more than k candidates keeps them all in score order. All steps are windows
+    over the candidates of a document, so they share one shuffle of one input.
     """
     stretch = F.floor(F.greatest(F.col("chunk_index"), F.lit(0)) / window)
     order = [F.desc("score"), "chunk_index", "chunk_id"]
-    sizes = candidates.groupBy("document_id").agg((F.count("*") <= k).alias("_few"))
-    ranked = candidates.withColumn("_stretch", stretch).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("document_id", "_stretch").orderBy(*order))
+    whole = Window.partitionBy("document_id")
+    ranked = candidates.withColumn("_stretch", stretch).withColumns(
+        {
+            "_all": F.count(F.lit(1)).over(whole),
+            "_rn": F.row_number().over(Window.partitionBy("document_id", "_stretch").orderBy(*order)),
+        }
     )
-    late = F.when(F.col("_few"), F.lit(0)).otherwise((F.col("_rn") > per_window).cast("int"))
-    placed = ranked.join(sizes, "document_id").withColumn("_late", late)
-    final = Window.partitionBy("document_id").orderBy("_late", *order)
+    late = F.when(F.col("_all") <= k, F.lit(0)).otherwise((F.col("_rn") > per_window).cast("int"))
+    placed = ranked.withColumn("_late", late)
     return (
-        placed.withColumn("position", F.row_number().over(final))
+        placed.withColumn("position", F.row_number().over(whole.orderBy("_late", *order)))
         .where(F.col("position") <= k)
-        .drop("_stretch", "_rn", "_few", "_late")
+        .drop("_stretch", "_rn", "_all", "_late")
     )
 
 
-def draft_query_table(spark, templates: dict | None = None) -> DataFrame:
-    """Section queries of every draft template: (draft_type, query_no, query). Config-sized."""
+def draft_queries(draft_type: Column, document_type: Column, templates: dict | None = None) -> Column:
+    """Queries of a draft: those of its template's sections, else those of its two types."""
     templates = templates or fv.DRAFT_TEMPLATES
-    rows = [
-        (name, i, query)
-        for name, (_, sections) in templates.items()
-        for i, (_, _, _, query) in enumerate(sections)
-        if query
-    ]
-    return spark.createDataFrame(rows, "draft_type string, query_no int, query string")
 
+    def listed(values) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
-def fallback_queries(draft_type: str, document_type: str) -> list[str]:
-    """Queries of a draft type that has no template."""
-    return [
-        *fv.DRAFT_QUERIES.get(draft_type, [draft_type.replace("_", " ")]),
-        *fv.DOCUMENT_TYPE_QUERIES.get(document_type, []),
-    ]
+    def chosen(table: dict, key: Column, default: Column) -> Column:
+        out = default
+        for name, values in table.items():
+            out = F.when(key == name, listed(values)).otherwise(out)
+        return out
+
+    by_section = {name: [q for _, _, _, q in sections if q] for name, (_, sections) in templates.items()}
+    spoken = F.array(F.replace(draft_type, F.lit("_"), F.lit(" ")))
+    fallback = F.concat(chosen(fv.DRAFT_QUERIES, draft_type, spoken), chosen(fv.DOCUMENT_TYPE_QUERIES, document_type, listed([])))
+    return chosen(by_section, draft_type, fallback)
 
 
 def draft_candidates(
     chunks: DataFrame,
     documents: DataFrame,
-    section_queries: DataFrame,
     tags: DataFrame | None = None,
     max_chunks: int = fv.DRAFT_MAX_CHUNKS,
+    templates: dict | None = None,
 ) -> DataFrame:
     """Evidence for the drafts of all documents in one job.
 
-    ``documents`` has (document_id, document_type, draft_type); ``section_queries`` has
-    (draft_type, query_no, query). Every query keeps max(5 k, 30) chunks per document, a chunk
-    keeps its best score, keyword support joins in, and the diverse selection makes the result.
+    ``documents`` has (document_id, document_type, draft_type). Every query keeps max(5 k, 30) chunks
+    per document, a chunk keeps its best score, keyword support joins in, and the diverse selection
+    makes the result. Chunks are scored once.
     """
-    encoded = encode_queries(section_queries)
-    asked = documents.select("document_id", "draft_type").join(
-        encoded.withColumn("query_id", F.concat_ws("#", "draft_type", "query_no")), "draft_type"
-    )
+    kinds = documents.select("draft_type", "document_type").distinct()
+    listed = kinds.select("*", F.posexplode(draft_queries(F.col("draft_type"), F.col("document_type"), templates)).alias("query_no", "query"))
+    encoded = encode_queries(listed).drop("query")
+    asked = documents.select("document_id", "draft_type", "document_type").join(encoded, ["draft_type", "document_type"])
+    asked = asked.select(F.col("query_no").cast("string").alias("query_id"), "document_id", "qvec", "qnorm2")
     slim = chunks.select("chunk_id", "document_id", "chunk_index", "jurisdiction", "vec", "norm2")
-    scored = score_within_documents(
-        slim, asked.select("query_id", "document_id", "qvec", "qnorm2"), tags=tags
-    ).drop("vec", "norm2")
+    scored = score_within_documents(slim, asked, tags=tags).drop("vec", "norm2")
     best = top_k(
         scored, ["query_id", "document_id"], max(max_chunks * 5, 30), 0.0, ["chunk_index", "chunk_id"]
     )
-    number = F.element_at(F.split("query_id", "#"), -1).cast("int")
     per_chunk = best_per_chunk(
-        best.withColumns({"query_no": number, "score": round_even("score", 4)})
+        best.withColumns({"query_no": F.col("query_id").cast("int"), "score": round_even("score", 4)})
     ).select("document_id", "chunk_id", "chunk_index", "score")
     support = keyword_support(chunks, documents).select(*per_chunk.columns)
     return select_diverse(union_first(per_chunk, support, ["document_id", "chunk_id"]), max_chunks)

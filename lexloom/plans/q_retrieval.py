@@ -266,14 +266,17 @@ def corpus_top_k(t):
 
 @query(
     "K5 J6 R8", (),
-    f"""WITH {_CORPUS_SQL}, hit AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id
-          ORDER BY score DESC, s.chunk_id) AS r FROM scored s JOIN dots d
-          ON s.query_id = d.query_id AND s.chunk_id = d.chunk_id)
-        SELECT query_id, chunk_id, score, CAST(r AS BIGINT) AS rank FROM hit WHERE r <= 10""",
+    "WITH "
+    + _CORPUS_SQL.replace("FROM q_norm q CROSS", "FROM (SELECT id, n2 FROM q_norm UNION ALL SELECT 'empty', 0) q CROSS")
+    + " SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10",
 )
-def corpus_top_k_by_dimension(t):
-    """The form for query sets that are too large to send to every task."""
-    best = retrieve.corpus_top_k(_whole_documents(t), _benchmark_queries(t), 10, max_queries=0)
+def corpus_top_k_in_blocks(t):
+    """Three blocks of queries or more, and one query without any word."""
+    asked = _benchmark_queries(t).select("query_id", "qvec", "qnorm2")
+    empty = t.benchmark.limit(1).select(
+        F.lit("empty").alias("query_id"), F.slice(F.lit(None).cast(asked.schema["qvec"].dataType), 1, 1).alias("qvec"), F.lit(0).alias("qnorm2")
+    )
+    best = retrieve.corpus_top_k(_whole_documents(t), asked.unionByName(empty), 10, block_queries=15)
     return best.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -547,7 +550,7 @@ def draft_evidence(t):
     stored = cut_lineage(
         rows.select("chunk_id", "document_id", "chunk_index", "jurisdiction", "text", "vec", "norm2")
     )
-    return retrieve.draft_candidates(stored, docs, retrieve.draft_query_table(t.spark))
+    return retrieve.draft_candidates(stored, docs)
 
 
 # ---- gold and metrics ---------------------------------------------------------------------------

@@ -173,7 +173,7 @@ def test_corpus_paths_agree(spark):
         spark.createDataFrame([("q1", "alpha 3"), ("q2", "gamma 1 beta")], "query_id string, query string")
     )
     a = retrieve.corpus_top_k(chunks, queries, 5).collect()
-    b = retrieve.corpus_top_k(chunks, queries, 5, max_queries=0).collect()
+    b = retrieve.corpus_top_k(chunks, queries, 5, block_queries=1).collect()
     assert {tuple(r) for r in a} == {tuple(r) for r in b}
 
 
