@@ -24,7 +24,7 @@ def normal_value(value: Column) -> Column:
 
 
 def clean_meaning(value: Column) -> Column:
-    return F.substring(strip_chars(collapse(value), " .,;:'\""), 1, 200)
+    return strip_chars(collapse(value), " .,;:'\"")
 
 
 def _two_groups(text: Column, pattern: str, build) -> Column:
@@ -126,7 +126,8 @@ def distinct_statements(
 
 def find_conflicts(chunks: DataFrame, **options) -> DataFrame:
     """One row per contradiction: (document_id, conflict_type, description, chunk_indices,
-    severity, field, position). ``position`` gives the report order."""
+    severity, field, values, position). The description names the first few values, ``values`` all;
+    ``position`` gives the report order."""
     values = distinct_statements(chunks, **options)
     # A label with one single value cannot conflict: drop it before anything is collected.
     grouped = values.groupBy("document_id", "kind", "label").agg(
@@ -178,6 +179,7 @@ def find_conflicts(chunks: DataFrame, **options) -> DataFrame:
         "chunk_indices",
         severity.alias("severity"),
         F.when(kind != "defined_term", kind).alias("field"),
+        shown.alias("values"),
         F.struct(order.alias("kind"), F.element_at("seen", 1)["first"].alias("first")).alias(
             "position"
         ),
@@ -187,7 +189,7 @@ def find_conflicts(chunks: DataFrame, **options) -> DataFrame:
 def conflict_report(conflicts: DataFrame) -> DataFrame:
     """Per document: number of conflicts, whether one is severe, and the items in report order."""
     item = F.struct(
-        "position", "conflict_type", "description", "chunk_indices", "severity", "field"
+        "position", "conflict_type", "description", "chunk_indices", "severity", "field", "values"
     )
     return conflicts.groupBy("document_id").agg(
         F.count("*").alias("conflict_count"),

@@ -111,16 +111,12 @@ def _short_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         F.col("norm").alias("inner"),
         F.element_at(F.split("norm", " "), 2).alias("token"),
     )
+    # Ids alone go through the joins; the text is fetched for what was hit.
+    outer = left.select(F.col("id").alias("left_id"), F.col("norm").alias("outer"))
     left_tokens = left.select(
-        F.col("id").alias("left_id"),
-        F.col("norm").alias("outer"),
-        F.explode(F.array_distinct(F.split("norm", " "))).alias("token"),
-    )
-    by_token = (
-        left_tokens.join(middle, "token")
-        .where(_contained(F.col("outer"), F.col("inner")))
-        .select("left_id", "right_id")
+        F.col("id").alias("left_id"), F.explode(F.array_distinct(F.split("norm", " "))).alias("token")
     )
+    by_token = left_tokens.join(middle, "token").select("left_id", "right_id", "inner")
     short = right.where((tokens < 3) & (F.col("norm") != "")).select(
         F.col("id").alias("right_id"), F.col("norm").alias("inner")
     )
@@ -129,7 +125,6 @@ def _short_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     keyed = short.select("right_id", "inner", run.alias("n"), F.substring("inner", F.lit(1), run).alias("g"))
     runs = left.select(
         F.col("id").alias("left_id"),
-        F.col("norm").alias("outer"),
         F.explode(
             F.array_distinct(
                 F.flatten(
@@ -140,13 +135,10 @@ def _short_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
                 )
             )
         ).alias("g"),
-    ).where("outer <> ''")
-    by_run = (
-        runs.join(keyed, "g")
-        .where(_contained(F.col("outer"), F.col("inner")))
-        .select("left_id", "right_id")
-    )
-    return by_token.unionByName(by_run)
+    ).where("g <> ''")
+    by_run = runs.join(keyed, "g").select("left_id", "right_id", "inner")
+    hits = by_token.unionByName(by_run).join(outer, "left_id")
+    return hits.where(_contained(F.col("outer"), F.col("inner"))).select("left_id", "right_id")
 
 
 def match_gold(chunks: DataFrame, gold: DataFrame, both_ways: bool = True) -> DataFrame:

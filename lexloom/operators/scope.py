@@ -36,10 +36,10 @@ def count_documents(documents, tenant=None, status=None, document_type=None) ->
 def list_documents(
     documents: DataFrame, tenant=None, status=None, document_type=None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
-    """One page, newest first (at most 200 rows)."""
+    """One page of ``limit`` rows, newest first."""
     rows = _listed(documents, tenant, status, document_type)
     ordered = rows.orderBy(F.desc("created_at"), "document_id")
-    return ordered.offset(offset).limit(min(limit, 200))
+    return ordered.offset(offset).limit(limit)
 
 
 def search_documents(

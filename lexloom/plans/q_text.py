@@ -316,8 +316,8 @@ def classified_with_near_matches(t):
 # ---- entities -----------------------------------------------------------------------------------
 
 
-def _entity_sql(label: str, pattern: str, limit: int, confidence: float) -> str:
-    found = f"regexp_extract_all(t, {_sql_text(pattern)})[1:{limit}]"
+def _entity_sql(label: str, pattern: str, confidence: float) -> str:
+    found = f"regexp_extract_all(t, {_sql_text(pattern)})"
     return f"""SELECT doc_id, '{label}' AS label, unnest({found}) AS entity,
         CAST(generate_subscripts({found}, 1) - 1 AS BIGINT) AS position,
         {confidence}::DOUBLE AS confidence FROM d"""
@@ -328,9 +328,9 @@ def _entity_sql(label: str, pattern: str, limit: int, confidence: float) -> str:
     f"WITH d AS (SELECT doc_id, {_ASCII} AS t FROM documents) "
     + " UNION ALL ".join(
         [
-            _entity_sql("ACCOUNT_OR_ID", fv.ENTITY_NUMBER, 20, 0.7),
-            _entity_sql("AMOUNT", fv.ENTITY_AMOUNT, 20, 0.7),
-            _entity_sql("DATE", "(?i)" + fv.ENTITY_DATE, 10, 0.8),
+            _entity_sql("ACCOUNT_OR_ID", fv.ENTITY_NUMBER, 0.7),
+            _entity_sql("AMOUNT", fv.ENTITY_AMOUNT, 0.7),
+            _entity_sql("DATE", "(?i)" + fv.ENTITY_DATE, 0.8),
         ]
     ),
 )
@@ -540,7 +540,8 @@ _SEEN = """
           string_agg(value, ' vs. $' ORDER BY r) FILTER (r <= 3), '.') END AS description,
       any_value(chunk_indices) AS chunk_indices,
       CASE WHEN kind IN ('governing_law', 'amount') THEN 'high' ELSE 'medium' END AS severity,
-      CASE WHEN kind <> 'defined_term' THEN kind END AS field
+      CASE WHEN kind <> 'defined_term' THEN kind END AS field,
+      string_agg(value, ' || ' ORDER BY r) AS all_values
     FROM ranked JOIN idx ON ranked.document_id = idx.document_id WHERE n >= 2
     GROUP BY ranked.document_id, kind)"""
 _SEED_ROWS = """UNION ALL SELECT document_id, 'defined_term', 'service level', definition, -1
@@ -550,7 +551,7 @@ _SEED_ROWS = """UNION ALL SELECT document_id, 'defined_term', 'service level', d
 def _conflict_check(kind: str, seeds: str = "") -> str:
     return (
         "WITH " + _SEEN.format(seeds=seeds)
-        + f" SELECT document_id, description, chunk_indices, severity, field FROM conf WHERE conflict_type = '{kind}'"
+        + f" SELECT document_id, description, chunk_indices, severity, field, all_values FROM conf WHERE conflict_type = '{kind}'"
     )
 
 
@@ -560,7 +561,8 @@ def _conflicts_of(t, kind: str, seeds=None):
     )
     joined = F.array_join(F.transform("chunk_indices", lambda i: i.cast("string")), ",")
     return rows.select(
-        "document_id", "description", joined.alias("chunk_indices"), "severity", "field"
+        "document_id", "description", joined.alias("chunk_indices"), "severity", "field",
+        F.array_join("values", " || ").alias("all_values"),
     )
 
 

@@ -48,12 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly when the input has fewer partitions than there are cores.
+    """Rows dealt out evenly when the input has fewer files than there are cores.
 
-    For expensive per-row work on a few large files; input in many files is left where it is.
+    For expensive per-row work on a few files of one row group each, which a reader cannot split. Only
+    the file list is looked at, no job runs; input in many files is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
