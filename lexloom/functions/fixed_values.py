@@ -31,7 +31,6 @@ KEYWORD_SUPPORT_PER_TERM = 3
 PREFERENCES_PER_DRAFT = 5
 FEW_SHOT_PAIRS = 2
 DEDUP_THRESHOLD = 0.85
-DEDUP_CANDIDATES = 50
 DEFAULT_RULE_CONFIDENCE = 0.8
 DEFAULT_EFFECTIVENESS = 0.5
 EFFECTIVENESS_GAIN = 0.10

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv
 from lexloom.functions.text import strip, words
+from lexloom.operators.components import components
 
 
 def is_trivial_edit(original: Column | str, edited: Column | str) -> Column:
@@ -134,99 +136,93 @@ def update_effectiveness(
     ).drop("step")
 
 
-_RULE_SCHEMA = (
-    "tenant_id string, document_type string, preference_id string, preference_text string, "
-    "source_edit_id string, confidence double, application_count long, effectiveness_score double"
-)
-
-
-class _RuleSet:
-    """Rules of one (tenant, type) group; holds kept rules only, never the incoming rows."""
-
-    def __init__(self) -> None:
-        self.rules: list[dict] = []
-
-    def place(self, row: dict) -> None:
-        vector = row.pop("vector")
-        if row["existing"]:
-            self.rules.append({**row, "vector": vector})
-            return
-        given = row["confidence"]
-        known = given is not None and given == given and given != 0  # NULL arrives as NaN
-        confidence = float(given) if known else fv.DEFAULT_RULE_CONFIDENCE
-        twin = self._twin(vector)
-        if twin is None:
-            self.rules.append(
-                {
-                    **row, "vector": vector, "confidence": confidence, "application_count": 0,
-                    "effectiveness_score": fv.DEFAULT_EFFECTIVENESS,
-                }
-            )
-        elif confidence > twin["confidence"]:
-            twin.update(
-                preference_text=row["preference_text"], vector=vector, confidence=confidence
-            )
+_ALIKE = "a string, b string"
+
 
-    def _twin(self, vector: np.ndarray) -> dict | None:
-        ranked = sorted(
-            self.rules,
-            key=lambda r: (-(r["application_count"] * 0.6 + r["confidence"] * 0.4), r["preference_id"]),
-        )[: fv.DEDUP_CANDIDATES]
-        length = float(np.linalg.norm(vector)) or 1.0
-        for rule in ranked:
-            own = float(np.linalg.norm(rule["vector"])) or 1.0
-            if float(vector @ rule["vector"]) / (length * own) >= fv.DEDUP_THRESHOLD:
-                return rule
-        return None
-
-    def rows(self) -> pd.DataFrame:
-        return pd.DataFrame(
-            [{k: v for k, v in r.items() if k not in ("vector", "existing")} for r in self.rules]
-        )
-
-
-def _merge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in _RULE_SCHEMA.split(", ")]
-    group, rules = None, _RuleSet()
-    for pdf in batches:
-        for row in pdf.to_dict("records"):
-            key = (row["tenant_id"], row["document_type"])
-            if key != group:
-                if rules.rules:
-                    yield rules.rows()[names]
-                group, rules = key, _RuleSet()
-            row.pop("created_at")
-            row["vector"] = np.asarray(row["vector"], dtype=np.float64)
-            for name in ("tenant_id", "source_edit_id"):
-                if row[name] is None or row[name] != row[name]:
-                    row[name] = None
-            rules.place(row)
-    if rules.rules:
-        yield rules.rows()[names]
-
-
-def merge_rules(existing: DataFrame, learned: DataFrame) -> DataFrame:
+def _alike(queries: list[tuple[str, str, list[float]]], threshold: float):
+    """Edges (a, b) that connect rules to the queries of their group that they are similar to.
+
+    A row gets one edge, to its first query; what else it connects is kept as links between the
+    queries of the block and sent at the end. So a task sends rows + queries edges, not all pairs.
+    """
+    ids = [q[0] for q in queries]
+    groups = np.array([q[1] for q in queries], object)
+    matrix = np.array([q[2] for q in queries], np.float64)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), np.finfo(float).tiny)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent = list(range(len(ids)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.array(batch.column("vector").to_pylist(), np.float64)
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), np.finfo(float).tiny)
+            near = (rows @ matrix.T >= threshold) & (np.array(batch.column("grp").to_pylist(), object)[:, None] == groups)
+            names, a, b = batch.column("preference_id").to_pylist(), [], []
+            for i in np.flatnonzero(near.any(1)):
+                first, *others = np.flatnonzero(near[i]).tolist()
+                a.append(names[i])
+                b.append(ids[first])
+                for other in others:
+                    parent[root(other)] = root(first)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+        ends = [ids[root(i)] for i in range(len(ids))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ends, pa.string())], names=["a", "b"])
+
+    return run
+
+
+def merge_rules(existing: DataFrame, learned: DataFrame, threshold: float = fv.DEDUP_THRESHOLD, block: int = 1000) -> DataFrame:
     """Existing and newly learned rules with near duplicates merged.
 
-    A new rule is compared with the 50 best rules of its tenant and type, in order of arrival, and
-    rules inserted before it are among them; this is sequential per group by definition. Rows are
-    therefore only *sorted* by group and time: a task streams through its rows in Arrow batches
-    and remembers the kept rules alone. Vectors come precomputed from parallel tasks.
+    Learned rules are compared with all rules of their tenant and type, ``block`` of them at a time;
+    similar ones are connected, and each connected group with a learned rule is merged: into the best
+    existing rule (by use and confidence), which takes over the text of the most confident learned one
+    if that is more confident than itself, else into the earliest learned rule with that text. Other
+    existing rules stay. The result does not depend on the order of arrival within a run.
 
     Both tables: (tenant_id, document_type, preference_id, preference_text, source_edit_id, vector,
-    confidence, application_count, effectiveness_score, created_at).
+    confidence, application_count, effectiveness_score, created_at); preference_id is unique.
     """
-    columns = [
-        "tenant_id", "document_type", "preference_id", "preference_text", "source_edit_id",
-        "vector", "confidence", "application_count", "effectiveness_score", "created_at", "existing",
-    ]
-    both = existing.withColumn("existing", F.lit(True)).select(*columns)
-    fresh = learned.where(F.coalesce("preference_text", F.lit("")) != "")
-    both = both.unionByName(fresh.withColumn("existing", F.lit(False)).select(*columns))
-    ordered = both.repartition("tenant_id", "document_type").sortWithinPartitions(
-        "tenant_id", "document_type", F.desc("existing"), "created_at", "preference_id"
+    columns = ["tenant_id", "document_type", "preference_id", "preference_text", "source_edit_id", "confidence", "application_count", "effectiveness_score"]
+    group = F.to_json(F.struct("tenant_id", "document_type"))
+    given = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, F.lit(fv.DEFAULT_RULE_CONFIDENCE)).otherwise(F.col("confidence"))
+    fresh = learned.where(F.coalesce("preference_text", F.lit("")) != "").withColumns({"confidence": given, "stored": F.lit(False)})
+    both = existing.withColumn("stored", F.lit(True)).unionByName(fresh).withColumn("grp", group)
+    slim = both.select("preference_id", "grp", F.col("vector").cast("array<double>").alias("vector"))
+    rows = iter(slim.join(fresh.select("preference_id"), "preference_id", "left_semi").toLocalIterator())
+    edges = slim.sparkSession.createDataFrame([], _ALIKE)
+    while asked := [(r["preference_id"], r["grp"], r["vector"]) for r in islice(rows, block)]:
+        edges = edges.unionByName(slim.mapInArrow(_alike(asked, threshold), _ALIKE))
+    placed = both.drop("vector").join(components(edges), F.col("preference_id") == F.col("node"), "left")
+    placed = placed.withColumn("component", F.coalesce("component", "preference_id"))
+    ahead = F.struct(-_score(), F.col("preference_id"))
+    early = F.struct("created_at", "preference_id")
+    sure = F.struct(-F.col("confidence"), F.col("created_at"), F.col("preference_id"))
+    best = placed.groupBy("component").agg(
+        F.min_by("preference_id", F.when(F.col("stored"), ahead)).alias("stored_id"),
+        F.min_by("preference_id", F.when(~F.col("stored"), early)).alias("new_id"),
+        F.min_by(F.struct("preference_text", "confidence"), F.when(~F.col("stored"), sure)).alias("best"),
+    )
+    joined = placed.join(best, "component").where(F.col("stored") | (F.col("stored_id").isNull() & (F.col("preference_id") == F.col("new_id"))))
+    better = F.col("best").isNotNull() & (
+        ~F.col("stored") | ((F.col("preference_id") == F.col("stored_id")) & (F.col("best.confidence") > F.coalesce("confidence", F.lit(0.0))))
     )
-    return ordered.mapInPandas(_merge_sorted, _RULE_SCHEMA)
+    return joined.withColumns(
+        {
+            "preference_text": F.when(better, F.col("best.preference_text")).otherwise(F.col("preference_text")),
+            "confidence": F.when(better, F.col("best.confidence")).otherwise(F.col("confidence")),
+            "application_count": F.when(F.col("stored"), F.col("application_count")).otherwise(F.lit(0)),
+            "effectiveness_score": F.when(F.col("stored"), F.col("effectiveness_score")).otherwise(F.lit(fv.DEFAULT_EFFECTIVENESS)),
+        }
+    ).select(*columns)
 
 
 def learned_rules(edits: DataFrame, replies: DataFrame) -> DataFrame:
