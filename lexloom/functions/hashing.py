@@ -41,15 +41,17 @@ def token_sign(token: Column) -> Column:
 def hash_weights(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """Long form on built-in functions only: one row per key and non-zero dimension.
 
-    Equal tokens are counted before any hashing, and partial sums run before the shuffle.
+    Equal tokens are counted first, with partial counts before the shuffle, so each distinct token of
+    a key is digested once.
     """
     keys = [key] if isinstance(key, str) else list(key)
     tokens = df.select(
         *keys, F.explode_outer(words(F.lower(F.col(text)))).alias("token")
     ).where(F.col("token").isNotNull())
+    counted = tokens.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
     return (
-        tokens.select(
-            *keys, token_dimension(F.col("token")).alias("dim"), token_sign(F.col("token")).alias("s")
+        counted.select(
+            *keys, token_dimension(F.col("token")).alias("dim"), (token_sign(F.col("token")) * F.col("n")).alias("s")
         )
         .groupBy(*keys, "dim")
         .agg(F.sum("s").alias("w"))

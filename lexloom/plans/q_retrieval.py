@@ -209,15 +209,26 @@ def row_local_embedding(t):
     )
 
 
-@query("R5")
+_LETTERS = "etaoinsh"
+
+
+@query(
+    "R5", (),
+    f"""WITH n AS (SELECT doc_id, [{", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in _LETTERS)}] AS v
+          FROM documents)
+        SELECT doc_id, CAST(unnest(range(len(v))) AS BIGINT) AS position,
+          CAST(CAST(unnest(list_transform(v, lambda x: x / CASE WHEN list_sum(list_transform(v, lambda y: y * y)) > 0
+            THEN sqrt(list_sum(list_transform(v, lambda y: y * y))) ELSE 1::DOUBLE END)) AS FLOAT) AS DOUBLE) AS weight FROM n""",
+)
 def plugged_in_encoder(t):
     """The plug-in with a small stand-in model: letter counts, scaled to unit length."""
 
     def load():
-        return lambda texts: [[float(x.count(c)) for c in "etaoinsh"] for x in texts]
+        return lambda texts: [[float(x.count(c)) for c in _LETTERS] for x in texts]
 
     encode = hashing.encoder_udf(load)
-    return t.spread("documents").select("doc_id", encode(F.col("text")).alias("embedding"))
+    rows = t.spread("documents").select("doc_id", F.posexplode(encode(F.col("text"))).alias("position", "weight"))
+    return rows.select("doc_id", F.col("position").cast("long").alias("position"), F.col("weight").cast("double").alias("weight"))
 
 
 # ---- retrieval ----------------------------------------------------------------------------------
@@ -553,6 +564,68 @@ def draft_evidence(t):
     return retrieve.draft_candidates(stored, docs)
 
 
+_DRAFT_KINDS = [*sorted(fv.DRAFT_TEMPLATES), "settlement_offer", "internal_note"]
+
+
+def _draft_queries_sql() -> str:
+    """Rows (draft_type, document_type, query_no, text) of all types in the query below."""
+    rows = []
+    for draft in _DRAFT_KINDS:
+        for kind in ("legal_complaint", "contract"):
+            if draft in fv.DRAFT_TEMPLATES:
+                asked = [q for _, _, _, q in fv.DRAFT_TEMPLATES[draft][1] if q]
+            else:
+                asked = [*fv.DRAFT_QUERIES.get(draft, [draft.replace("_", " ")]), *fv.DOCUMENT_TYPE_QUERIES.get(kind, [])]
+            rows += [f"('{draft}', '{kind}', {i}, '" + fv.QUERY_INSTRUCTION.replace("'", "''") + q.replace("'", "''") + "')" for i, q in enumerate(asked)]
+    return ", ".join(rows)
+
+
+@query(
+    "R9", (),
+    f"""WITH {_LINE_CHUNKS}, qv AS (SELECT *, concat(draft_type, '#', document_type, '#', no) AS qid FROM
+          (VALUES {_draft_queries_sql()}) v(draft_type, document_type, no, text)),"""
+    + _weights_sql("keyed", "chunk_id", "text", "c") + "," + _weights_sql("qv", "qid", "text", "q")
+    + f""",
+      dd AS (SELECT CAST(doc_id AS VARCHAR) AS document_id,
+          CASE WHEN lang = 'en' THEN 'legal_complaint' ELSE 'contract' END AS document_type,
+          [{", ".join(f"'{k}'" for k in _DRAFT_KINDS)}][doc_id % {len(_DRAFT_KINDS)} + 1] AS draft_type FROM documents),
+      asked AS (SELECT document_id, qid, no FROM dd JOIN qv USING (draft_type, document_type)),
+      pairs AS (SELECT a.document_id, qid, no, chunk_id, chunk_index FROM asked a JOIN keyed k ON a.document_id = k.document_id),
+      dots AS (SELECT p.qid, p.chunk_id, sum(c.w * q.w) AS dot FROM pairs p JOIN c ON c.id = p.chunk_id
+          JOIN q ON q.id = p.qid AND q.dim = c.dim GROUP BY 1, 2),
+      scored AS (SELECT p.*, CASE WHEN cn.n2 > 0 AND qn.n2 > 0 THEN CAST(coalesce(dot, 0) AS DOUBLE)
+            / sqrt(CAST(cn.n2 AS DOUBLE) * CAST(qn.n2 AS DOUBLE)) ELSE 0::DOUBLE END AS score
+          FROM pairs p LEFT JOIN dots d ON p.qid = d.qid AND p.chunk_id = d.chunk_id
+          LEFT JOIN c_norm cn ON cn.id = p.chunk_id LEFT JOIN q_norm qn ON qn.id = p.qid),
+      best AS (SELECT *, row_number() OVER (PARTITION BY qid, document_id ORDER BY score DESC, chunk_index, chunk_id) AS r
+          FROM scored WHERE score >= 0),
+      per AS (SELECT document_id, chunk_id, chunk_index, max(CAST(printf('%.4f', score) AS DOUBLE)) AS score
+          FROM best WHERE r <= 50 GROUP BY 1, 2, 3),
+      terms AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(fv.KEYWORD_SUPPORT_TERMS))}) v(no, term)),
+      hits AS (SELECT k.document_id, chunk_id, chunk_index, row_number() OVER (PARTITION BY k.document_id, terms.no ORDER BY chunk_index) AS r
+          FROM keyed k JOIN dd ON dd.document_id = k.document_id AND document_type = 'legal_complaint'
+          JOIN terms ON contains(lower(text), term)),
+      cand AS (SELECT * FROM per UNION ALL SELECT DISTINCT document_id, chunk_id, chunk_index, 0.5::DOUBLE FROM hits
+          WHERE r <= 3 AND chunk_id NOT IN (SELECT chunk_id FROM per)),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS n, row_number() OVER (PARTITION BY document_id,
+          chunk_index // 20 ORDER BY score DESC, chunk_index, chunk_id) AS r FROM cand),
+      placed AS (SELECT document_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY document_id ORDER BY
+          CASE WHEN n > 10 AND r > 2 THEN 1 ELSE 0 END, score DESC, chunk_index, chunk_id) AS BIGINT) AS position FROM sized)
+      SELECT * FROM placed WHERE position <= 10""",
+)
+def draft_evidence_lines(t):
+    """Evidence for drafts over the lines of all documents; two draft types have no template."""
+    kinds = F.array(*[F.lit(k) for k in _DRAFT_KINDS])
+    docs = t.documents.select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.when(F.col("lang") == "en", "legal_complaint").otherwise("contract").alias("document_type"),
+        F.element_at(kinds, (F.col("doc_id") % len(_DRAFT_KINDS) + 1).cast("int")).alias("draft_type"),
+    )
+    lines = chunks.add_embedding(_line_chunks(t).withColumn("jurisdiction", F.lit(None).cast("string")))
+    rows = retrieve.draft_candidates(lines, docs)
+    return rows.select("document_id", "chunk_id", "score", F.col("position").cast("long").alias("position"))
+
+
 # ---- gold and metrics ---------------------------------------------------------------------------
 
 _GOLD_SQL = """
