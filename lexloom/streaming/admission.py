@@ -36,9 +36,17 @@ def admit_batch(events: DataFrame, key: str, limit: int) -> DataFrame:
     ).drop("_n")
 
 
+def undecided(events: DataFrame, decided: DataFrame) -> DataFrame:
+    """Events a stream never decided because they came after the watermark of their minute.
+
+    To be written to a side table after a run, so that late rows are counted and can be replayed.
+    """
+    return events.join(decided.select("event_id"), "event_id", "left_anti")
+
+
 def admit_stream(events: DataFrame, key: str, limit: int, delay: str = "2 minutes") -> DataFrame:
     """The same on a stream, in order of arrival. State is one number per key and minute and
-    expires once the watermark has passed the minute."""
+    expires once the watermark has passed the minute. Later rows are left out; see ``undecided``."""
 
     def decide(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState

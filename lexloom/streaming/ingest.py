@@ -48,15 +48,19 @@ def latest_in_batch(batch: DataFrame, key: str = "document_id", version: str = "
 
 def store_batch(out: str) -> Callable[[DataFrame, int], None]:
     def store(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_unreadable(batch)
-        rows = latest_in_batch(good)
-        typed = extract_fields(classify(rows))
-        folder = f"batch={batch_id:012d}"
-        typed.drop("text").write.mode("overwrite").parquet(f"{out}/documents/{folder}")
-        chunk_documents(rows, "document_id", keep=["version"]).write.mode("overwrite").parquet(
-            f"{out}/chunks/{folder}"
-        )
-        bad.write.mode("overwrite").parquet(f"{out}/quarantine/{folder}")
+        batch = batch.persist()  # three tables are written from it
+        try:
+            good, bad = split_unreadable(batch)
+            rows = latest_in_batch(good)
+            typed = extract_fields(classify(rows))
+            folder = f"batch={batch_id:012d}"
+            typed.drop("text").write.mode("overwrite").parquet(f"{out}/documents/{folder}")
+            chunk_documents(rows, "document_id", keep=["version"]).write.mode("overwrite").parquet(
+                f"{out}/chunks/{folder}"
+            )
+            bad.write.mode("overwrite").parquet(f"{out}/quarantine/{folder}")
+        finally:
+            batch.unpersist()
 
     return store
 
