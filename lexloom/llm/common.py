@@ -56,23 +56,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODE = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
-_INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
 class Rolling:
-    """Polynomial hash modulo 2^64 of every substring of a byte array, from prefix sums."""
+    """Polynomial hash modulo 2^64 of every substring of a byte array, from prefix sums.
 
-    def __init__(self, data: np.ndarray) -> None:
+    Hashes of another ``seed`` are independent of those of the first.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 0) -> None:
         n = len(data)
-        self.down = np.full(n + 1, _INVERSE)
+        factor = MULTIPLIER if not seed else mixed(np.array([seed], np.uint64))[0] | np.uint64(5)
+        self.down = np.full(n + 1, np.uint64(pow(int(factor), -1, 1 << 64)))
         self.down[0] = 1
         np.multiply.accumulate(self.down, out=self.down)
-        up = np.full(n, MULTIPLIER)
+        up = np.full(n, factor)
         if n:
             up[0] = 1
             np.multiply.accumulate(up, out=up)
+        codes = _BYTE_CODE if not seed else mixed(_BYTE_CODE + np.uint64(seed))
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up, out=self.sums[1:])
+        np.cumsum(codes[data] * up, out=self.sums[1:])
 
     def of(self, start, stop) -> np.ndarray:
         """Hashes of ``data[start:stop]`` for arrays (or equally long slices) of bounds."""
@@ -134,3 +138,31 @@ def bounded_runs(batches, names: list[str], most: int, unique: int):
             full, last, held = held[0][-1], tuple(r[-1] for r in held), None
     if held is not None:
         yield held, np.full(len(held[0]), len(held[0]))
+
+
+def whole_groups(batches, keys: list[str]):
+    """Batches of rows sorted by ``keys[0]``, cut at its changes: whole groups, many at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(keys[0]).to_numpy()
+        edge = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+        if held and (edge or held[-1].column(keys[0])[-1].as_py() != key[0]):
+            if held[-1].column(keys[0])[-1].as_py() != key[0]:
+                yield _together(held, keys)
+                held = []
+                if edge:
+                    yield _together([batch.slice(0, edge)], keys)
+            else:
+                yield _together([*held, batch.slice(0, edge)], keys)
+                held = []
+        elif edge:
+            yield _together([batch.slice(0, edge)], keys)
+        held.append(batch.slice(edge))
+    if held:
+        yield _together(held, keys)
+
+
+def _together(parts, keys):
+    return [np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in keys]

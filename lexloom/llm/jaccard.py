@@ -11,11 +11,13 @@ Under any common order of shingles, partners share l shingles in their first n -
    candidate. The l with the least estimated cost of postings and verifications is taken. Dropping the
    EXTRA - l most frequent shingles cannot lose a partner: of the EXTRA shared ones, the l rarest stay.
    Passages that many documents share are frequent, and so stay out of most prefixes.
-3. Stars: in each posting list the members that share enough with its smallest class are verified
-   against it, so a group of near copies costs one verification for each member, not for each pair.
-4. The rest: in posting lists that still hold several components, all pairs across components with
-   compatible sizes that share l shingles and were not verified are. Nothing is capped; pairs of
-   texts known to be connected are all that is left out.
+3. Stars: in each posting list the members that share enough with the class with the fewest unique
+   shingles, the likely origin, are verified against it. A group of near copies costs one verification
+   for each member, not for each pair.
+4. The rest: in posting lists that still hold several components, pairs across components are compared
+   by odd sketches: each shingle flips one bit, so sketches that differ in more bits than two similar
+   sets can differ in shingles rule a pair out for certain. Pairs that remain and share l shingles are
+   verified. Nothing is capped: what is left out is connected already, or cannot be similar.
 
 Shingles are 64-bit hashes; verification counts whole sets. A text with fewer words than a shingle is
 one shingle; without words or text it has none and links with nothing. Null ids count as larger than
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8
+from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8, whole_groups
 from lexloom.llm.components import components
 from lexloom.session import cut_lineage
 
-EXTRA = 32
+EXTRA = 128
+#: 64-bit words of a sketch.
+WORDS = 16
 #: Shingles of more classes are all equally frequent, which is an order too.
 MOST_COUNTED = 50_000
 _SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -85,6 +89,12 @@ def _class_of(found: np.ndarray, salt: int) -> tuple[int, int]:
     return int.from_bytes(code[:8], "little", signed=True), int.from_bytes(code[8:], "little", signed=True)
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """An odd sketch: each element flips one of 64 x WORDS bits."""
+    bits = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def _needed(n, num: int, den: int):
     return -(-num * n // den)
 
@@ -95,8 +105,13 @@ def _members(size: int, salt: int):
             sets = shingle_sets(batch.column("text"), size)
             codes = [_class_of(s, salt) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*codes))],
-                names=["doc_id", "n", "class", "twin"],
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    *(pa.array(c, pa.int64()) for c in zip(*codes)),
+                    pa.array([_sketch(s) for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "n", "class", "twin", "sketch"],
             )
 
     return run
@@ -124,34 +139,6 @@ def _extended(size: int, num: int, den: int, salt: int):
     return run
 
 
-def _runs(batches, keys: list[str]):
-    """Batches of rows sorted by ``keys[0]``, cut at its changes: whole groups, many at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(keys[0]).to_numpy()
-        edge = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-        if held and (edge or held[-1].column(keys[0])[-1].as_py() != key[0]):
-            if held[-1].column(keys[0])[-1].as_py() != key[0]:
-                yield _together(held, keys)
-                held = []
-                if edge:
-                    yield _together([batch.slice(0, edge)], keys)
-            else:
-                yield _together([*held, batch.slice(0, edge)], keys)
-                held = []
-        elif edge:
-            yield _together([batch.slice(0, edge)], keys)
-        held.append(batch.slice(edge))
-    if held:
-        yield _together(held, keys)
-
-
-def _together(parts, keys):
-    return [np.concatenate([p.column(k).to_numpy() for p in parts]) for k in keys]
-
-
 def _counted(batches):
     for (token, owner, n), df in bounded_runs(batches, ["token", "class", "n"], MOST_COUNTED, 2):
         often = df > 1
@@ -163,11 +150,11 @@ def _counted(batches):
 
 def _adapted(num: int, den: int, verify: float):
     def run(batches):
-        for owner, token, n, df in _runs(batches, ["class", "token", "n", "df"]):
+        for owner, token, n, df in whole_groups(batches, ["class", "token", "n", "df"]):
             order = np.lexsort((token, df, owner))
             owner, token, n, df = owner[order], token[order], n[order], df[order]
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            kept, need = [], []
+            kept, need, unique = [], [], []
             for a, b in zip(starts, np.append(starts[1:], len(owner))):
                 size = int(n[a])
                 enough = int(_needed(size, num, den))
@@ -180,49 +167,74 @@ def _adapted(num: int, den: int, verify: float):
                 best = int(np.argmin(cost))
                 kept.append(np.arange(a, a + take[best]))
                 need.append(np.full(take[best], l[best], np.int32))
+                unique.append(np.full(take[best], rare, np.int32))
             at = np.concatenate(kept)
             if len(at):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[at]), pa.array(owner[at]), pa.array(n[at]), pa.array(np.concatenate(need))],
-                    names=["token", "class", "n", "need"],
+                    [pa.array(token[at]), pa.array(owner[at]), pa.array(n[at]), pa.array(np.concatenate(need)), pa.array(np.concatenate(unique))],
+                    names=["token", "class", "n", "need", "rare"],
                 )
 
     return run
 
 
-def _crossing(num: int, den: int, most: int = 1 << 18):
-    """Pairs of different components with compatible sizes in each posting list, smaller class first."""
+def _combined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows (a, b, need, shared) with those of one pair added up."""
+    a, b, need, shared = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((b, a))
+    a, b, need, shared = a[order], b[order], need[order], shared[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, int)
+    return [a[first], b[first], need[first], np.add.reduceat(shared, first) if len(a) else shared]
+
+
+def _crossing(num: int, den: int, most: int = 1 << 16, held: int = 1 << 19):
+    """Pairs of different components that may be similar, smaller class first, with the number of
+    shingles they share in the posting lists of the task. At most about ``held`` rows are held back."""
 
     def run(batches):
-        for token, owner, n, need, part in _runs(batches, ["token", "class", "n", "need", "component"]):
+        found, size = [], 0
+        for token, owner, n, need, part, sketch in whole_groups(batches, ["token", "class", "n", "need", "component", "sketch"]):
             order = np.lexsort((n, token))
-            token, owner, n, need, part = (x[order] for x in (token, owner, n, need, part))
+            token, owner, n, need, part = (x[order] for x in (token, owner, n.astype(np.int64), need, part))
+            sketch = np.frombuffer(b"".join(sketch[order]), np.uint64).reshape(-1, WORDS)
             group = np.cumsum(np.append(False, token[1:] != token[:-1]))
             # Partners of a row stand behind it, up to the last of its list with a compatible size.
             span = int(n.max()) * den // num + 2
-            reach = np.searchsorted(group * span + n, group * span + np.minimum(n.astype(np.int64) * den // num, span - 1), side="right")
-            count = reach - np.arange(len(n)) - 1
+            reach = np.searchsorted(group * span + n, group * span + np.minimum(n * den // num, span - 1), side="right")
+            count = np.maximum(reach - np.arange(len(n)) - 1, 0)
+            total = np.cumsum(count)
             at = 0
             while at < len(n):
-                to = at + 1
-                total = count[at]
-                while to < len(n) and total + count[to] <= most:
-                    total += count[to]
-                    to += 1
+                done = total[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(total, done + most, side="right")))
                 a = np.repeat(np.arange(at, to), count[at:to])
-                b = np.arange(len(a)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to]) + a + 1
+                b = np.arange(len(a)) - np.repeat(total[at:to] - count[at:to] - done, count[at:to]) + a + 1
+                at = to
                 apart = part[a] != part[b]
                 a, b = a[apart], b[apart]
-                at = to
+                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                able = differ * (den + num) <= (n[a] + n[b]) * (den - num)
+                a, b = a[able], b[able]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(owner[a], owner[b])), pa.array(np.maximum(owner[a], owner[b])), pa.array(np.minimum(need[a], need[b]))],
-                        names=["a", "b", "need"],
-                    )
+                    low, high = np.minimum(owner[a], owner[b]), np.maximum(owner[a], owner[b])
+                    found.append([low, high, np.minimum(need[a], need[b]), np.ones(len(a), np.int64)])
+                    size += len(a)
+                if size > held:
+                    found = [_combined(found)]
+                    size = len(found[0][0])
+                    if size > held // 2:
+                        yield _pairs(found[0])
+                        found, size = [], 0
+        if found:
+            yield _pairs(_combined(found))
 
     return run
 
 
+def _pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["a", "b", "need", "shared"])
+
+
 def _texts(size: int, salt: int):
     def run(batches):
         seen: set[int] = set()
@@ -266,8 +278,8 @@ def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verif
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     salt = 0
     while True:
-        members = cut_lineage(texts.mapInArrow(_members(size, salt), "doc_id long, n long, class long, twin long"))
-        classes = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("twin").alias("t"), F.max("twin").alias("u"))
+        members = cut_lineage(texts.mapInArrow(_members(size, salt), "doc_id long, n long, class long, twin long, sketch binary"))
+        classes = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("twin").alias("t"), F.max("twin").alias("u"), F.first("sketch").alias("sketch"))
         classes = cut_lineage(classes)
         if classes.filter("t <> u").isEmpty():
             break
@@ -279,7 +291,7 @@ def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verif
     )
     posts = cut_lineage(
         counted.repartition("class").sortWithinPartitions("class").mapInArrow(
-            _adapted(num, den, verify), "token long, class long, n int, need int"
+            _adapted(num, den, verify), "token long, class long, n int, need int, rare int"
         )
     )
     involved = posts.select("class").distinct()
@@ -288,7 +300,7 @@ def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verif
     )
     linked = F.col("common") * den >= F.col("both") * num
 
-    heads = posts.groupBy("token").agg(F.min_by(F.struct("class", "n", "need"), "class").alias("head"))
+    heads = posts.groupBy("token").agg(F.min_by(F.struct("class", "n", "need"), F.struct("rare", "class")).alias("head"))
     fits = (F.col("n") * den >= F.col("head.n") * num) & (F.col("head.n") * den >= F.col("n") * num)
     stars = (
         posts.join(heads, "token").filter((F.col("class") != F.col("head.class")) & fits)
@@ -306,9 +318,9 @@ def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verif
     placed = cut_lineage(placed)
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
     rest = (
-        placed.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token")
-        .mapInArrow(_crossing(num, den), "a long, b long, need int")
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+        placed.join(mixed, "token", "left_semi").join(classes.select("class", "sketch"), "class").repartition("token").sortWithinPartitions("token")
+        .mapInArrow(_crossing(num, den), "a long, b long, need int, shared long")
+        .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
         .filter("shared >= need").join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     )
     late = cut_lineage(_verify(rest, found, size)).filter(linked).select("a", "b")
