@@ -371,3 +371,63 @@ def newest_first(t):
 
     order = Window.partitionBy("document_id").orderBy(F.desc("created_at"), "edit_id")
     return t.edits.select("edit_id", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(
+    "K4", ("edits",),
+    """SELECT edit_id AS draft_id, created_at::VARCHAR AS created_at FROM edits WHERE document_id = '7'""",
+)
+def drafts_of_one_document(t):
+    from lexloom.operators import drafts
+
+    rows = drafts.drafts_of_document(t.edits.drop("draft_id").withColumnRenamed("edit_id", "draft_id"), "7")
+    return rows.select("draft_id", F.col("created_at").cast("string").alias("created_at"))
+
+
+_WORD_LE = ", ".join(f"({b})" for b in fv.WORD_CONFIDENCE_BUCKETS)
+
+
+@query(
+    "A6", (),
+    f"""SELECT CAST(CAST(b AS DOUBLE) AS VARCHAR) AS le,
+               count(CASE WHEN l_quantity / 50 <= CAST(b AS DOUBLE) THEN 1 END) AS n
+        FROM lineitem CROSS JOIN (VALUES {_WORD_LE}) v(b) GROUP BY 1
+        UNION ALL SELECT '+Inf', count(l_quantity) FROM lineitem""",
+)
+def word_confidence_cumulative(t):
+    rows = t.lineitem.select((F.col("l_quantity") / 50).alias("confidence"))
+    return analytics.cumulative_histogram(rows, "confidence", fv.WORD_CONFIDENCE_BUCKETS)
+
+
+@query(
+    "F3", (),
+    """SELECT CAST(l_orderkey AS VARCHAR) AS document_id,
+         coalesce(string_agg(CASE WHEN l_quantity < 25 THEN concat('field_', l_linenumber) END, ','
+           ORDER BY l_linenumber), '') AS fields FROM lineitem GROUP BY 1""",
+)
+def low_confidence_fields(t):
+    field = F.struct(
+        F.concat(F.lit("field_"), F.col("l_linenumber").cast("string")).alias("name"),
+        (F.col("l_quantity") < 25).alias("requires_review"),
+    )
+    held = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("document_id")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber"), field.alias("f")))).alias("fs")
+    )
+    rows = scope.review_fields(held.select("document_id", F.transform("fs", lambda x: x["f"]).alias("field_confidences")))
+    names = F.transform("low_confidence_fields", lambda f: f["name"])
+    return rows.select("document_id", F.array_join(names, ",").alias("fields"))
+
+
+@query(
+    "V7", ("tasks",),
+    """SELECT task_id, document_id, status FROM tasks
+         WHERE document_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')
+       UNION ALL SELECT concat('new-', o_orderkey), CAST(o_orderkey AS VARCHAR), 'pending'
+         FROM orders WHERE o_orderstatus = 'P'""",
+)
+def tasks_after_reprocessing(t):
+    from lexloom.operators import review
+
+    again = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("document_id"))
+    fresh = again.select(F.concat(F.lit("new-"), "document_id").alias("task_id"), "document_id", F.lit("pending").alias("status"))
+    return review.replace_tasks(t.tasks.select("task_id", "document_id", "status"), fresh, again)
