@@ -27,10 +27,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8
+from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8, whole_groups
 from lexloom.session import cut_lineage
 
 LENGTH = 100
@@ -118,46 +119,74 @@ def _fresh_texts(batches):
         )
 
 
+def _joined(first: np.ndarray, last: np.ndarray, owner: np.ndarray):
+    """Ranges of one owner that follow on each other, as one."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != last[:-1] + 1) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return first[at], last[np.append(at[1:], len(first)) - 1] if len(at) else last, owner[at]
+
+
+def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte strings ``data[first : first + size]``."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])])
+
+
 def _segments(length: int, gram: int):
     """Rows come by place in the corpus, so an equal segment that was seen stands earlier."""
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: dict[int, int] = {}
         for batch in slices(batches):
             data, ends = utf8(batch.column("text"))
             found = _windows(data, ends, length, gram)
             if found is None:
                 continue
-            docs, codes, places = (batch.column(k).to_pylist() for k in ("doc_id", "class", "places"))
-            whole = data.tobytes()
             text, first, last, key, roll = found
-            bounds = np.searchsorted(text, np.arange(len(ends)))
-            out = []
-            for i, chosen in enumerate(places):
-                base = int(ends[i])
-                hot = {p["start"]: p["hot"] for p in chosen}
-                for a in range(bounds[i], bounds[i + 1]):
-                    start = int(first[a]) - base
-                    if start not in hot:
-                        continue
-                    width = int(last[a] - first[a]) + 1
-                    if hot[start]:
-                        at = np.arange(int(first[a]), int(last[a]) + 1)
-                        parts = zip(signed(roll.of(at, at + length)).tolist(), at.tolist(), [1] * width)
-                    else:
-                        parts = [(int(signed(key[a : a + 1])[0]), int(first[a]), width)]
-                    for mark, place, wide in parts:
-                        segment = whole[place : place + wide + length - 1]
-                        code = hashlib.blake2b(segment, digest_size=12).digest()
-                        if code in seen:
-                            out.append((codes[i], docs[i], codes[i], place - base, wide, None))
-                        else:
-                            seen.add(code)
-                            out.append((mark, docs[i], codes[i], place - base, wide, segment))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            other = Rolling(data, 1)
+            # The anchors that are repeated, and those of them that are hot.
+            places = batch.column("places")
+            flat = places.flatten()
+            row = np.repeat(np.arange(len(places)), pc.list_value_length(places).to_numpy())
+            wanted = ends[row] + flat.field("start").to_numpy()
+            order = np.argsort(wanted)
+            wanted, is_hot = wanted[order], flat.field("hot").to_numpy(zero_copy_only=False)[order]
+            at = np.searchsorted(wanted, first)
+            hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == first)
+            text, first, last, key, hot = text[hit], first[hit], last[hit], key[hit], is_hot[at[hit]]
+            # Hot ones become single windows under the hash of the whole window.
+            times = np.where(hot, last - first + 1, 1)
+            part = np.repeat(np.arange(len(first)), times)
+            step = np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)
+            text, hot, key = text[part], hot[part], key[part]
+            first = first[part] + step
+            last = np.where(hot, first, last[part])
+            size = last - first + length
+            code = roll.of(first, first + size)
+            key = np.where(hot, code, key)
+            twin = other.of(first, first + size)
+            _, lead, group = np.unique(code, return_index=True, return_inverse=True)
+            fresh = np.zeros(len(code), bool)
+            fresh[lead] = [seen.setdefault(c, t) == t and known for c, t, known in zip(
+                code[lead].tolist(), twin[lead].tolist(), [c not in seen for c in code[lead].tolist()])]
+            gone = ~fresh & (np.array([seen[c] for c in code[lead].tolist()], np.uint64)[group] == twin) if len(code) else fresh
+            codes = batch.column("class").to_numpy()
+            docs = batch.column("doc_id").to_numpy()
+            a, b, owner = _joined(first[gone], last[gone], text[gone])
+            stay = np.flatnonzero(~gone)
+            columns = [
+                np.concatenate([codes[owner], signed(key[stay])]),
+                np.concatenate([docs[owner], docs[text[stay]]]),
+                np.concatenate([codes[owner], codes[text[stay]]]),
+                np.concatenate([a - ends[owner], first[stay] - ends[text[stay]]]).astype(np.int32),
+                np.concatenate([b - a + 1, last[stay] - first[stay] + 1]).astype(np.int32),
+            ]
+            strings = pa.concat_arrays([pa.nulls(len(a), pa.binary()), _gathered(data, first[stay], size[stay])])
+            if len(strings):
                 names = [c.split()[0] for c in _SEGMENT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), strings], names=names)
 
     return run
 
@@ -255,56 +284,42 @@ def repeated_places(strings: list[bytes], length: int) -> np.ndarray:
 def _marked(length: int, block: int):
     """Rows (class, first, last) of windows to go, from segments sorted by key."""
 
-    def close(rows):
-        # Earlier segments first: of equal ones the first stays.
-        rows.sort(key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
-        strings, owners, marks = {}, [], []
-        for _, _, owner, start, width, segment in rows:
-            if segment in strings:
-                marks.append((owner, start, start + width - 1))
-            else:
-                strings[segment] = len(owners)
-                owners.append((owner, start))
-        strings = list(strings)
+    def index(docs, owners, starts, widths, segments):
+        """Marks within whole groups of segments, the earlier ones first: of equal ones the first stays."""
+        order = np.lexsort((starts, owners, docs))
+        docs, owners, starts, widths, segments = (x[order] for x in (docs, owners, starts, widths, segments))
+        where: dict[bytes, int] = {}
+        again = np.array([where.setdefault(s, i) != i for i, s in enumerate(segments)])
+        marks = [(owners[again], starts[again], starts[again] + widths[again] - 1)]
+        strings, kept = list(where), np.flatnonzero(~again)
         if len(strings) > 1:
             at = repeated_places(strings, length)
-            ends = np.cumsum([len(s) + 1 for s in strings])
+            size = np.array([len(s) + 1 for s in strings])
+            ends = np.cumsum(size)
             which = np.searchsorted(ends, at, side="right")
-            new = np.append(True, (at[1:] != at[:-1] + 1) | (which[1:] != which[:-1])) if len(at) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            for a, b in zip(first, last):
-                i = which[a]
-                owner, start = owners[i]
-                base = start - (int(ends[i]) - len(strings[i]) - 1)
-                marks.append((owner, int(at[a]) + base, int(at[b]) + base))
-        return marks
+            a, b, which = _joined(at, at, which)
+            shift = starts[kept[which]] - (ends - size)[which]
+            marks.append((owners[kept[which]], a + shift, b + shift))
+        return [np.concatenate(x) for x in zip(*marks)]
 
     def run(batches):
-        names = [c.split()[0] for c in _SEGMENT.split(", ")]
-        rows, size, before = [], 0, None
-
-        def batch_of(marks):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*marks), (pa.int64(), pa.int32(), pa.int32()))], names=["class", "first", "last"]
-            )
-
-        for batch in batches:
-            marks = []
-            for row in zip(*(batch.column(k).to_pylist() for k in names)):
-                if row[5] is None:
-                    marks.append((row[2], row[3], row[3] + row[4] - 1))
-                    continue
-                if size >= block and row[0] != before:
-                    marks += close(rows)
-                    rows, size = [], 0
-                before = row[0]
-                rows.append(row)
-                size += len(row[5])
-            if marks:
-                yield batch_of(marks)
-        if rows and (marks := close(rows)):
-            yield batch_of(marks)
+        for key, docs, owners, starts, widths, segments in whole_groups(batches, [c.split()[0] for c in _SEGMENT.split(", ")]):
+            ready = np.array([s is None for s in segments])
+            found = [(owners[ready], starts[ready], starts[ready] + widths[ready] - 1)]
+            key, docs, owners, starts, widths, segments = (x[~ready] for x in (key, docs, owners, starts, widths, segments))
+            sizes = np.cumsum(widths + length)
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+            at = 0
+            while at < len(key):
+                reach = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + block))
+                to = int(np.append(heads, len(key))[np.searchsorted(heads, reach, side="right")]) if reach < len(key) else len(key)
+                found.append(index(*(x[at:to] for x in (docs, owners, starts, widths, segments))))
+                at = to
+            owner, first, last = (np.concatenate(x) for x in zip(*found))
+            if len(owner):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["class", "first", "last"]
+                )
 
     return run
 
