@@ -192,15 +192,3 @@ def chunk_udf(size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP, sectio
             yield batch.map(lambda t: split_text(t, size, overlap, sections))
 
     return chunks
-
-
-@F.udtf(
-    returnType="chunk_index int, page_number int, section_header string, text string, "
-    "char_start int, char_end int, word_count int"
-)
-class ChunkTable:
-    """The same chunks for SQL: ``SELECT … FROM docs, LATERAL text_chunks(docs.text)``."""
-
-    def eval(self, text: str):
-        for c in split_text(text, fv.CHUNK_SIZE, fv.CHUNK_OVERLAP):
-            yield tuple(c.values())

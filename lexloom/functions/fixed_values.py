@@ -369,8 +369,6 @@ STATE_CODE_TAIL = r"\.?\s+(?:Stat\.|Code|Civ\.|CPLR|Rev\.|Admin\.)"
 STATE_BY_NAME = (
     r"\b(?:laws?\s+of\s+(?:the\s+)?state\s+of|state\s+of)\s+([A-Z][A-Za-z ]{2,30})\b"
 )
-JURISDICTION_FIELDS = ["jurisdiction", "venue", "governing_law", "court", "statutes"]
-
 # ---- contradictions -----------------------------------------------------------------------------
 
 GOVERNING_LAW = (

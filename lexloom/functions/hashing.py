@@ -108,20 +108,6 @@ def as_map(sparse: Column | str) -> Column:
     return F.map_from_entries(F.col(sparse) if isinstance(sparse, str) else sparse)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def dense_embedding(sparse: pd.Series) -> pd.Series:
-    """Unit-length vector of all dimensions (all zero for an empty text)."""
-
-    def spread(entries) -> list[float]:
-        out = [0.0] * fv.EMBEDDING_DIMENSIONS
-        norm = math.sqrt(sum(int(e["w"]) ** 2 for e in entries)) or 1.0
-        for e in entries:
-            out[int(e["dim"])] = int(e["w"]) / norm
-        return out
-
-    return sparse.map(spread)
-
-
 def encoder_udf(
     load: Callable[[], Callable[[list[str]], list[list[float]]]],
     batch_size: int = 32,

@@ -58,16 +58,3 @@ def replace_chunks(current: DataFrame, fresh: DataFrame, doc: str = "document_id
     """Replace by document: old chunks of every re-embedded document go, the new ones come."""
     kept = current.join(fresh.select(doc).distinct(), doc, "left_anti")
     return kept.unionByName(fresh.select(*current.columns))
-
-
-def chunk_coverage(df: DataFrame, chunks: DataFrame, doc: str = "doc_id", text: str = "text"):
-    """Invariants per document: first offset, last offset, dense index, longest chunk."""
-    per = chunks.groupBy(F.col("document_id").alias(doc)).agg(
-        F.min("char_start").alias("first_start"),
-        F.max("char_end").alias("last_end"),
-        F.count("*").alias("n"),
-        F.max("chunk_index").alias("top"),
-        F.max(F.length("text")).alias("longest"),
-        F.min(F.col("char_end") - F.col("char_start")).alias("shortest_span"),
-    )
-    return per

@@ -98,15 +98,6 @@ def offered_evidence(cited: Column | str, offered: Column | str) -> Column:
     return F.array_distinct(F.filter(cited, lambda c: F.array_contains(offered, c)))
 
 
-def evidence_rows(sections: DataFrame, offered: DataFrame, key: str = "draft_id") -> DataFrame:
-    """The same on long tables: (draft, chunk_id, first citation), by join instead of arrays."""
-    cited = sections.select(
-        key, "position", F.posexplode("evidence_chunk_ids").alias("at", "chunk_id")
-    )
-    first = cited.groupBy(key, "chunk_id").agg(F.min(F.struct("position", "at")).alias("first"))
-    return first.join(offered.select(key, "chunk_id").distinct(), [key, "chunk_id"])
-
-
 def evidence_chunks(drafts: DataFrame, chunks: DataFrame, key: str = "draft_id") -> DataFrame:
     """Chunks that a draft cites, in reading order."""
     cited = drafts.select(key, F.explode("evidence_chunk_ids").alias("chunk_id")).distinct()

@@ -114,19 +114,6 @@ def failed_deliveries(
     return rows.orderBy(F.desc("created_at"), "failed_id").limit(limit)
 
 
-def mark_replayed(failed: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
-    """Replay flag and time for the listed rows."""
-    chosen = ids.select("failed_id", F.lit(True).alias("_hit")).distinct()
-    joined = failed.join(chosen, "failed_id", "left")
-    hit = F.coalesce("_hit", F.lit(False))
-    return joined.withColumns(
-        {
-            "replayed": hit | F.col("replayed"),
-            "replayed_at": F.when(hit, at).otherwise(F.col("replayed_at")),
-        }
-    ).drop("_hit")
-
-
 def delete_in_scope(preferences: DataFrame, ids: DataFrame, tenant=None) -> DataFrame:
     """Hard delete of the listed preferences, only inside the tenant."""
     doomed = preferences.where(tenant_is(tenant)).join(ids, "preference_id", "left_semi")

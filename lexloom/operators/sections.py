@@ -68,9 +68,3 @@ def section_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         .where("inked")
         .select(key, "header", "char_start", "char_end")
     )
-
-
-def form_feed_page(text: Column, offset: Column) -> Column:
-    """Page at an offset, counting form feeds before it."""
-    head = F.substring(text, F.lit(1), offset)
-    return F.length(head) - F.length(F.replace(head, F.lit("\f"), F.lit(""))) + 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import fixed_values as fv
 from lexloom.functions import text as tx
 from lexloom.operators import (
-    classify, conflicts, extract, extract_classes, jurisdiction, rules, sections, terms,
+    classify, conflicts, extract, jurisdiction, rules, sections, terms,
 )
 from lexloom.plans.registry import query
 from lexloom.session import spread
