@@ -111,6 +111,51 @@ def _shipped(plan):
 QUERIES = {plan.__name__: _shipped(plan) for plan in _PLANS}
 
 CHECKS = {
+    "op3_long_matches": r"""
+        WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+        h AS (SELECT doc_id, hex(raw) AS h, octet_length(raw) AS n FROM b),
+        blk AS (SELECT doc_id, n, j, substr(h, CAST(2000 * j + 1 AS BIGINT), 2198) AS t
+                FROM (SELECT doc_id, h, n, unnest(range(0, (n - 100) // 1000 + 1)) AS j FROM h WHERE n >= 100)),
+        w AS (SELECT doc_id, j * 1000 + o AS i, md5(substr(t, CAST(2 * o + 1 AS BIGINT), 200)) AS g
+              FROM (SELECT doc_id, t, j, unnest(range(0, least(1000, n - 99 - 1000 * j))) AS o FROM blk)),
+        seen AS (SELECT g, min(doc_id) AS doc_id FROM w GROUP BY g HAVING count(*) > 1),
+        first AS (SELECT w.g, w.doc_id, min(i) AS i FROM w JOIN seen ON w.g = seen.g AND w.doc_id = seen.doc_id GROUP BY 1, 2),
+        hit AS (SELECT w.doc_id, w.i FROM w JOIN first f ON w.g = f.g WHERE w.doc_id > f.doc_id OR w.i > f.i),
+        step AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM hit),
+        part AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM step),
+        span AS (SELECT doc_id, k, min(i) AS s, max(i) + 100 AS e FROM part GROUP BY 1, 2),
+        gap AS (SELECT doc_id, k, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS a, s AS z FROM span
+                UNION ALL SELECT h.doc_id, 1000000000, coalesce(max(e), 0), max(h.n) FROM h LEFT JOIN span ON h.doc_id = span.doc_id GROUP BY 1),
+        kept AS (SELECT gap.doc_id, sha256(unhex(string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY k))) AS kept_sha256
+                 FROM gap JOIN h ON h.doc_id = gap.doc_id GROUP BY 1)
+        SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, CAST(coalesce((SELECT sum(e - s) FROM span WHERE span.doc_id = h.doc_id), 0) AS BIGINT) AS n_removed,
+               (SELECT count(*) FROM span WHERE span.doc_id = h.doc_id) AS n_spans, kept_sha256
+        FROM h JOIN kept ON kept.doc_id = h.doc_id""",
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 ((CAST(concat('0x', substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+          SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+                 WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) END)) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT x, y FROM pairs JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y
+                 WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+        edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(y) AS component_id
+        FROM d JOIN reach ON d.doc_id = x LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1""",
     "op9_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
