@@ -83,12 +83,14 @@ def audit_rows(
 def read_corpus(spark: SparkSession, folder: str, include: DataFrame | None = None) -> DataFrame:
     """(corpus_path, text) of all text files below a folder; ``include`` limits it to its paths.
 
-    Undecodable bytes become replacement characters. The include list is a semi join on the path,
-    made before the text is used.
+    Undecodable bytes become replacement characters. Files of other kinds are not opened. The include
+    list is a semi join on the path, made before the text is decoded.
     """
+    either = ["".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in fv.CORPUS_SUFFIXES]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{" + ",".join(either) + "}")
         .load(folder)
     )
     root = folder.rstrip("/") + "/"
@@ -96,8 +98,6 @@ def read_corpus(spark: SparkSession, folder: str, include: DataFrame | None = No
         F.substring_index(F.replace("path", F.lit("\\"), F.lit("/")), root, -1), r"^/+", ""
     )
     listed = files.select(relative.alias("corpus_path"), "content")
-    pattern = r"(?i)\.(" + "|".join(fv.CORPUS_SUFFIXES) + r")$"
-    listed = listed.where(F.col("corpus_path").rlike(pattern))
     if include is not None:
         wanted = include.select(
             F.replace("corpus_path", F.lit("\\"), F.lit("/")).alias("corpus_path")
@@ -153,15 +153,9 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
         F.array(doc),
     )
     records = F.coalesce(as_list(doc), *lists, single)
-    cases = raw.select("stem", F.posexplode(records).alias("no", "r")).where(
-        _starts(F.col("r"), "{")
-    )
     # The number counts the objects of a file only.
-    from pyspark.sql import Window
-
-    cases = cases.withColumn(
-        "no", F.row_number().over(Window.partitionBy("stem").orderBy("no"))
-    )
+    objects = F.filter(records, lambda r: _starts(r, "{"))
+    cases = raw.select("stem", F.posexplode(objects).alias("no", "r")).withColumn("no", F.col("no") + 1)
     r = F.col("r")
 
     def snippet_list(key: str) -> Column:

@@ -37,6 +37,22 @@ def test_benchmark_scan(spark, tmp_path):
     ]
 
 
+def test_benchmark_files_of_one_name(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "tests.json").write_text(json.dumps([{"query": f"{folder}{i}", "answers": ["x"]} for i in range(2)]))
+    rows = files.read_benchmark(spark, str(tmp_path / "*")).collect()
+    assert sorted((r["case_id"], r["query"]) for r in rows) == [("tests-1", "a0"), ("tests-1", "b0"), ("tests-2", "a1"), ("tests-2", "b1")]
+
+
+def test_upload_listing(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.PDF").write_bytes(b"12345")
+    (tmp_path / "y.exe").write_bytes(b"1")
+    got = {r["path"].rpartition("/")[2]: (r["length"], r["content_type"]) for r in files.read_uploads(spark, str(tmp_path)).collect()}
+    assert got == {"x.PDF": (5, "application/pdf"), "y.exe": (1, "application/octet-stream")}
+
+
 def test_intake(spark):
     df = spark.createDataFrame(
         [(1, "image/PNG; x=1"), (60 * 1024 * 1024, "image/png"), (1, "text/plain")], "length long, content_type string"
