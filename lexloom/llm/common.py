@@ -12,7 +12,7 @@ _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 
 
-def slices(batches, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of all batches, cut so that the texts of a slice have at most ``limit`` bytes.
 
     A single longer text is a slice of its own; no text is cut.
@@ -29,6 +29,16 @@ def slices(batches, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.R
             start = stop
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What tasks of one operator keep in a Python worker; those of another operator release it."""
+    for other in [o for o in _caches if o != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other, and the n + 1 offsets between them; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm.common import worker_cache
 from lexloom.session import cut_lineage
 
 WIDTH = 10
@@ -61,22 +62,20 @@ def item_blocks(items: DataFrame, width: int, block_bytes: int) -> Iterator[dict
     yield block
 
 
-_built: dict[str, object] = {}
-
-
 def _automaton(shared):
     """The automaton of a block, built once in each Python worker; only the last one is kept."""
     import ahocorasick
 
     name, patterns = shared.value
-    if name not in _built:
-        _built.clear()
+    built = worker_cache("decontamination")
+    if name not in built:
+        built.clear()
         made = ahocorasick.Automaton()
         for pattern, items in patterns.items():
             made.add_word(pattern, (len(pattern), pattern.count(" ") - 1, items))
         made.make_automaton()
-        _built[name] = made
-    return _built[name]
+        built[name] = made
+    return built[name]
 
 
 def _matches(automaton, words: list[bytes]) -> list[tuple[int, int, str | None]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import slices
+from lexloom.llm.common import slices, worker_cache
 from lexloom.session import cut_lineage
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -37,6 +37,7 @@ def _normal(text: str | None) -> bytes:
 
 
 def _digests(batches):
+    worker_cache("exact dedup")
     for batch in batches:
         texts = batch.column(0)
         yield pa.RecordBatch.from_pydict(

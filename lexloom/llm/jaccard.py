@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8, whole_groups
+from lexloom.llm.common import Rolling, bounded_runs, signed, slices, utf8, whole_groups, worker_cache
 from lexloom.llm.components import components
 from lexloom.session import cut_lineage
 
@@ -101,6 +101,7 @@ def _needed(n, num: int, den: int):
 
 def _members(size: int, salt: int):
     def run(batches):
+        worker_cache("jaccard")
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), size)
             codes = [_class_of(s, salt) if len(s) else (None, None) for s in sets]

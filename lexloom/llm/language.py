@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import Rolling, slices, utf8
+from lexloom.llm.common import Rolling, slices, utf8, worker_cache
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -108,6 +108,7 @@ def words_in(texts: pa.Array) -> Words:
 
 def _counted(batches):
     """Rows (lang, place, n): place is a bucket of n-grams, or BUCKETS + a script."""
+    worker_cache("language")
     total: dict[str, np.ndarray] = {}
     for batch in slices(batches):
         langs = np.array(batch.column("lang").to_pylist(), object)
@@ -212,6 +213,7 @@ def labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray
 
 def _label(shared, switch: float, reach: float):
     def run(batches):
+        worker_cache("language")
         model = shared.value
         langs = np.array([*model.langs, "und"], object)
         for batch in slices(batches):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import slices
+from lexloom.llm.common import slices, worker_cache
 
 ROOM = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -139,17 +139,15 @@ class WordIds:
         return found
 
 
-_tokenizers: dict[str, WordIds] = {}
-
-
 def _pack(tokenizer_file: str, room: int, open_bins: int):
     def run(batches):
-        if tokenizer_file not in _tokenizers:
-            _tokenizers[tokenizer_file] = WordIds(tokenizer_file)
-        ids_of = _tokenizers[tokenizer_file]
+        known = worker_cache("packing")
+        if tokenizer_file not in known:
+            known[tokenizer_file] = WordIds(tokenizer_file)
+        ids_of = known[tokenizer_file]
         bins = OpenBins(room, open_bins, TaskContext.get().partitionId() << 36)
         size = 4 * room
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches):
             docs = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             pieces = []
