@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,28 @@ def slices(batches, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.R
             start = stop
 
 
+IDLE_SECONDS = 2.0
 _caches: dict[str, dict] = {}
+_release: threading.Timer | None = None
 
 
-def worker_cache(owner: str) -> dict:
-    """What tasks of one operator keep in a Python worker; those of another operator release it."""
+@contextmanager
+def worker_cache(owner: str) -> Iterator[dict]:
+    """What tasks of one operator keep in a Python worker from task to task.
+
+    It is released when the worker is idle for a while or takes a task of another operator.
+    """
+    global _release
+    if _release is not None:
+        _release.cancel()
     for other in [o for o in _caches if o != owner]:
         del _caches[other]
-    return _caches.setdefault(owner, {})
+    try:
+        yield _caches.setdefault(owner, {})
+    finally:
+        _release = threading.Timer(IDLE_SECONDS, _caches.clear)
+        _release.daemon = True
+        _release.start()
 
 
 def utf8(texts) -> tuple[np.ndarray, np.ndarray]:

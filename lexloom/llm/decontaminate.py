@@ -62,12 +62,11 @@ def item_blocks(items: DataFrame, width: int, block_bytes: int) -> Iterator[dict
     yield block
 
 
-def _automaton(shared):
+def _automaton(shared, built: dict):
     """The automaton of a block, built once in each Python worker; only the last one is kept."""
     import ahocorasick
 
     name, patterns = shared.value
-    built = worker_cache("decontamination")
     if name not in built:
         built.clear()
         made = ahocorasick.Automaton()
@@ -103,7 +102,10 @@ def _ranges(found) -> list[list[int]]:
 
 def _scan(shared, last: bool):
     def run(batches):
-        automaton = _automaton(shared)
+        with worker_cache("decontamination") as built:
+            yield from scan(batches, _automaton(shared, built))
+
+    def scan(batches, automaton):
         for batch in batches:
             texts = batch.column("text")
             hits = []

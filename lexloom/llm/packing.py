@@ -141,7 +141,10 @@ class WordIds:
 
 def _pack(tokenizer_file: str, room: int, open_bins: int):
     def run(batches):
-        known = worker_cache("packing")
+        with worker_cache("packing") as known:
+            yield from pack(batches, known)
+
+    def pack(batches, known):
         if tokenizer_file not in known:
             known[tokenizer_file] = WordIds(tokenizer_file)
         ids_of = known[tokenizer_file]
