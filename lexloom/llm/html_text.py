@@ -11,9 +11,11 @@
    (by element, role, class and id) go. Where pages mark no article, the template says where it is:
    from the root down to the class that holds most of the slots' text outside links.
 
-Hosts with fewer than ``least_pages`` pages have no template, only step 4 applies to them. Null html is
-empty and has an empty text; a null url has no host. Repeated rows count as pages each; extra columns
-are ignored. Unclosed elements and comments end where an HTML parser would end them, or with the page.
+Pages of a host that show the same text are one page of steps 2 and 3, whatever their addresses: what
+they share is not yet a template. Hosts with fewer than ``least_pages`` such pages have no template, only
+step 4 applies to them. If template texts hold more than half of a page's main text, they
+are its own content (a mirror or an error page with another date) and stay. Null html is empty and has
+an empty text; a null url has no host. Repeated rows get their text each; extra columns are ignored. Unclosed elements and comments end where an HTML parser would end them, or with the page.
 """
 
 from __future__ import annotations
@@ -245,11 +247,14 @@ def _templates(least_tokens: int):
 
 def main_text(source: str, texts: frozenset[str], main: str) -> str:
     """The slots of a page that hold its article, one block to a line."""
-    blocks = [b for b in read_page(source).blocks if not b.out and _text_token(b) not in texts]
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
-    elif main and any(b.path == main or b.path.startswith(main + "/") for b in blocks):
-        blocks = [b for b in blocks if b.path == main or b.path.startswith(main + "/")]
+    shown = [b for b in read_page(source).blocks if not b.out]
+    below = [b for b in shown if b.article]
+    if not below and main:
+        below = [b for b in shown if b.path == main or b.path.startswith(main + "/")]
+    shown = below or shown
+    blocks = [b for b in shown if _text_token(b) not in texts] if texts else shown
+    if 2 * sum(len(b.text) for b in blocks) < sum(len(b.text) for b in shown):
+        blocks = shown
     return "\n".join(b.text for b in blocks)
 
 
@@ -269,6 +274,30 @@ def _extracted(batches) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: What a page does not show: comments, scripts, styles and tags.
+_NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>"
+
+
+def _distinct_pages(rows: DataFrame) -> DataFrame:
+    """One row for each text that a host shows, with ``code``, which follows from the text.
+
+    Digests and ids meet; html is moved only for rows that repeat page_id and url as well.
+    """
+    shown = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), _NOT_SHOWN, " "), r"\s+", " "))
+    rows = rows.filter("host <> ''").withColumn("digest", F.md5(shown))
+    first = F.struct("page_id", "url", "html_code", "rows")
+    kinds = (
+        rows.groupBy("host", "digest", "page_id", "url", F.xxhash64("html").alias("html_code")).agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("host", "digest").agg(F.min(first).alias("first"), F.sum("rows").alias("copies")).filter("copies > 1")
+    )
+    kinds = cut_lineage(kinds.select("host", "digest", "first"))
+    same = [F.col(f"first.{c}").eqNullSafe(F.col(c)) for c in ("page_id", "url")] + [F.col("first.html_code") == F.xxhash64("html")]
+    ours = rows.join(kinds, ["host", "digest"], "left").filter(F.col("first").isNull() | (same[0] & same[1] & same[2]))
+    alone = F.coalesce(F.col("first.rows"), F.lit(1)) == 1
+    kept = ours.filter(alone).drop("first").unionByName(ours.filter(~alone).drop("first").dropDuplicates(["host", "digest"]))
+    return kept.select("host", F.xxhash64("digest").alias("code"), "html")
+
+
 def page_texts(pages: DataFrame, least_pages: int = 10, least_share: float = 0.6, least_tokens: int = 3) -> DataFrame:
     """For each row of ``pages``: page_id, url, text, n_chars."""
     rows = pages.select(
@@ -277,10 +306,10 @@ def page_texts(pages: DataFrame, least_pages: int = 10, least_share: float = 0.6
         F.col("html").cast("string").alias("html"),
         host_of(F.col("url").cast("string")).alias("host"),
     )
-    counts = rows.filter("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= least_pages)
-    code = F.xxhash64("page_id", "url")
+    distinct = _distinct_pages(rows)
+    counts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= least_pages)
     stats = (
-        rows.filter("host <> ''").select("host", code.alias("code"), "html").mapInArrow(_counted, _STATS)
+        distinct.mapInArrow(_counted, _STATS)
         .groupBy("host", "token")
         .agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     )

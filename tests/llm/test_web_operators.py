@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -87,6 +88,19 @@ def test_template_deduction(spark):
     assert page_texts(pages(spark, [])).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Mirror pages, hot copies and repeated rows keep their article."""
+    page = lambda i, stamp="": f"<body><!-- {stamp} --><nav>Menu</nav><article><h1>Head {i}</h1><p>First {i}</p><p>Second {i}</p></article><footer>f</footer>"
+    rows = [(i, f"http://equal.example/{i}", page(0, i)) for i in range(12)]
+    rows += [(100 + i, f"http://hot.example/{i}", page(0 if i < 28 else i)) for i in range(40)]
+    rows += [(200, "http://row.example/1", page(1))] * 12
+    rows += [(300 + i, f"http://dated.example/{i}", page(0) + f"<div>Seen {i}</div>") for i in range(20)]
+    found = page_texts(pages(spark, rows).repartition(3)).collect()
+    assert len(found) == len(rows)
+    want = {i: int(re.search(r"Head (\d+)", html)[1]) for i, _, html in rows}
+    assert all(r.text == f"Head {want[r.page_id]}\nFirst {want[r.page_id]}\nSecond {want[r.page_id]}" for r in found)
+
+
 def test_template_classes_need_several_tokens():
     tokens = [("/b", 1, 0, 0), ("/b|x1", 1, 0, 0), ("/b/p", 1, 900, 0), ("/b/p|y2", 7, 0, 0)]
     assert template_of(tokens, 3) == (["/b|x1"], "/b/p")
