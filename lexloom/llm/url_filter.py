@@ -14,52 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.labelled_urls import LABELLED
+
 BUCKETS = 4096
 SIZES = (2, 3, 4)
 
-#: A small labelled table: 1 blocks, 0 allows.
-LABELLED_URLS = (
-    ("http://best-casino.example/slots/1", 1),
-    ("https://www.casino-royal.example/en/7", 1),
-    ("http://win-casino.example/de/bonus", 1),
-    ("http://m.casino-jackpot.example/fr/12.html", 1),
-    ("https://online-pills.example/order/5", 1),
-    ("http://www.cheap-pills-shop.example/en/31", 1),
-    ("http://pills-discount.example/es/44/", 1),
-    ("https://cheap-meds.example/buy?x=1", 1),
-    ("http://free-bets-now.example/odds/9", 1),
-    ("https://www.bets-free.example/en/108.html", 1),
-    ("http://sports-bets.example/de/77", 1),
-    ("http://ads.tracker.example/click/3", 1),
-    ("https://ads-server.example/track/en/5", 1),
-    ("http://www.track-ads.example/fr/901/", 1),
-    ("http://adtrack.example/pixel/1", 1),
-    ("https://hot-dating.example/xxx/8", 1),
-    ("http://m.xxx-videos.example/en/65", 1),
-    ("http://free-money.example/win/2", 1),
-    ("https://win-prize.example/claim/4", 1),
-    ("http://cheap-loans.example/apply/6", 1),
-    ("http://news.daily.example/en/2024/report", 0),
-    ("https://www.theatre.example/en/12", 0),
-    ("http://blog.thomas.example/de/77.html", 0),
-    ("https://m.station.example/fr/90/", 0),
-    ("http://www.nation-health.example/en/41", 0),
-    ("https://tions.example/es/5", 0),
-    ("http://blog.others.example/en/733/", 0),
-    ("http://m.within.example/de/64", 0),
-    ("https://www.therein.example/fr/8.html", 0),
-    ("http://museum.example/en/collection/7", 0),
-    ("https://blog.library.example/es/302", 0),
-    ("http://www.thousand.example/en/19", 0),
-    ("https://university.example/research/paper/3", 0),
-    ("http://m.another.example/en/58.html", 0),
-    ("http://weather.example/de/berlin", 0),
-    ("https://www.recipes.example/fr/soupe/22", 0),
-    ("http://history.example/en/6124/", 0),
-    ("https://blog.ththat.example/de/271", 0),
-    ("http://www.ththon.example/es/88", 0),
-    ("https://encyclopedia.example/en/wiki/Sea", 0),
-)
+#: A labelled table: 1 blocks, 0 allows.
+LABELLED_URLS = tuple((url, label) for url, label, _ in LABELLED)
 
 
 def host_of(url: Column) -> Column:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 from lexloom.llm.html_text import main_text, page_texts, template_of
+from lexloom.llm.labelled_urls import LABELLED
 from lexloom.llm.url_filter import LABELLED_URLS, judged, labelled_urls, trained
 from lexloom.llm.warc import parsed, payloads, read_records, record, write_archives
 
@@ -160,3 +161,17 @@ def test_url_filter(spark):
     verdicts = {r.page_id: r.verdict for r in found}
     assert verdicts[9] == "block" and verdicts[10] == "allow"
     assert judged(pages(spark, []), RULES, weights).count() == 0
+
+
+def test_labelled_urls(spark):
+    """The table has all usual families and teaches hosts that it does not hold."""
+    given = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()
+    bare = lambda host: re.sub(r"^(www|m|blog|en|shop)\.", "", host)
+    assert not {bare(parts(u)[0]) for u, _ in LABELLED_URLS} & {bare(parts(r.url)[0]) for r in given}
+    assert len(LABELLED_URLS) >= 400 and {"gambling", "betting", "pharmacy", "adult", "ads", "spam"} <= {f for _, y, f in LABELLED if y}
+    blocked = ["http://adult-pics.org/en/12", "http://www.xxx-adult.net/de/7.html", "https://spam-mailer.net/de/7", "http://m.casino-slots.com/fr/90/", "http://buypills.org/es/3"]
+    allowed = ["https://github.com/apache/spark", "http://www.riverside-school.org/en/8", "https://blog.anderson.net/de/31.html", "http://m.weather-centre.com/fr/5"]
+    urls = [(i, u, None) for i, u in enumerate(blocked + allowed)]
+    found = judged(pages(spark, urls), [], trained(labelled_urls(spark))).collect()
+    verdicts = [r.verdict for r in sorted(found, key=lambda r: r.page_id)]
+    assert verdicts[: len(blocked)].count("block") >= 4 and verdicts[len(blocked) :] == ["allow"] * len(allowed)
