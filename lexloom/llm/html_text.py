@@ -8,7 +8,7 @@
    tags, from the root class, once on every page, down to the classes inside its slots. Text blocks in
    a valid class are template; text at any other place fills a slot.
 4. Of the slots, the main text is what is left: slots in menus, headers, footers, forms and the like
-   (by element, role, class and id) go. Where pages mark no article, the template says where it is:
+   (by element, role, class and id) go; names and forms go only where they fit what they hold. Where pages mark no article, the template says where it is:
    from the root down to the class that holds most of the slots' text outside links.
 
 Pages of a host that show the same text are one page of steps 2 and 3, whatever their addresses: what
@@ -21,6 +21,7 @@ an empty text; a null url has no host. Repeated rows get their text each; extra
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +37,8 @@ from lexloom.llm.url_filter import host_of
 from lexloom.session import cut_lineage
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLING = frozenset("class id role hidden aria-hidden style".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe template svg xmp".split())
@@ -45,7 +47,7 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i im
 _ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl".split())
-_NEVER_MAIN = frozenset("head nav aside form footer button select dialog menu object canvas video audio".split()) | _RAW
+_NEVER_MAIN = frozenset("head nav aside footer button select dialog menu object canvas video audio".split()) | _RAW
 _NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _NEVER_NAME = frozenset(
     """ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent
@@ -54,6 +56,11 @@ _NEVER_NAME = frozenset(
     subscribe subscription signup popup modal overlay toolbar pagination pager login search""".split()
 )
 _PAGE_HEAD = frozenset({"header"})
+#: Words that hold readers' or sellers' text whatever its length, if a name says nothing else.
+_FOREIGN = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored cookie cookies consent gdpr comment comments commentlist reply replies respond disqus".split())
+_PLACES = frozenset("area block box container content inner list main section thread wrap wrapper".split())
+#: An element named so holds at most this share of the text that it stands in.
+SMALL = 0.1
 _STATS = "host string, token string, vector long, pages long, chars long, links long"
 _TEMPLATE = "host string, texts array<string>, main string"
 
@@ -65,6 +72,7 @@ class Block:
     links: int
     out: bool
     article: bool
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -73,23 +81,41 @@ class _Element:
     path: str
     out: bool
     article: bool
+    named: tuple[int, ...] = ()
+
+
+@dataclass
+class _Named:
+    """A form, or an element whose name says that it is not main text."""
+
+    path: str
+    foreign: bool
+    inside: tuple[int, ...]
+    article: bool
+    holds_article: bool = False
 
 
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
     tags: dict[str, int] = field(default_factory=dict)
+    named: list[_Named] = field(default_factory=list)
 
 
-def _named(tag: str, attributes: str, article: bool) -> tuple[str, bool]:
-    """A name for the path, and whether the attributes say that this is not main text."""
-    name, out = tag, False
+def _named(tag: str, attributes: str, article: bool) -> tuple[str, bool, bool, bool]:
+    """A name for the path, whether the attributes say that this is not main text, whether its name does,
+    and whether its name says nothing but that it is others' text."""
+    name, out, named, foreign = tag, False, False, False
     if attributes.strip():
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
+            if key not in _TELLING:
+                continue
             if key in ("class", "id"):
-                words = {w.lower() for w in _PARTS.findall(value)}
-                out |= bool(words & _NEVER_NAME) or (not article and bool(words & _PAGE_HEAD))
+                for one in value.split():
+                    words = {w.lower() for w in _PARTS.findall(one)}
+                    named |= bool(words & _NEVER_NAME) or (not article and bool(words & _PAGE_HEAD))
+                    foreign |= bool(words & _FOREIGN) and words <= _NEVER_NAME | _PLACES
                 name += ("." if key == "class" else "#") + re.sub(r"\d+", "0", value)
             elif key == "role":
                 out |= value.lower() in _NEVER_ROLE
@@ -98,10 +124,46 @@ def _named(tag: str, attributes: str, article: bool) -> tuple[str, bool]:
                 out = True
             elif key == "style":
                 out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return name, out
+    return name, out, named, foreign
 
 
-def read_page(source: str) -> _Page:
+def _judge_names(page: _Page, main: str) -> None:
+    """Names and forms decide only where they fit what they hold.
+
+    A named element is no main text if it is small in what it stands in, or if its name says that the
+    text is others'. It does not count where it holds the page's only article or the template's main
+    path, or, whatever its name, nearly all text of the page.
+    """
+    free = any(b.article and not b.out and not b.named for b in page.blocks)
+    free = free or any(b.article and not b.out and not any(page.named[k].holds_article for k in b.named) for b in page.blocks)
+    total, article, held = 0, 0, [0] * len(page.named)
+    for b in page.blocks:
+        if not b.out:
+            total += len(b.text)
+            article += len(b.text) * b.article
+            for k in b.named:
+                held[k] += len(b.text)
+    stands: list[bool] = []
+    for k, one in enumerate(page.named):
+        whole = article if one.article else total
+        wins = one.holds_article and not free or main and (main == one.path or main.startswith(one.path + "/"))
+        if one.foreign:
+            stands.append(not wins and held[k] <= (1 - SMALL) * whole)
+        elif one.holds_article:
+            stands.append(not wins)
+        else:
+            stands.append(not wins and held[k] <= max(SMALL * whole, _links_most(page, k)))
+    for b in page.blocks:
+        b.out |= any(stands[k] for k in b.named)
+
+
+def _links_most(page: _Page, k: int) -> float:
+    """Infinite for an element that is mostly links, as menus and lists of related pages are."""
+    mine = [b for b in page.blocks if not b.out and k in b.named]
+    return math.inf if 2 * sum(min(b.links, len(b.text)) for b in mine) > sum(len(b.text) for b in mine) else 0
+
+
+def read_page(source: str, main: str = "") -> _Page:
     page = _Page()
     stack = [_Element("", "", False, False)]
     pieces: list[str] = []
@@ -113,7 +175,7 @@ def read_page(source: str) -> _Page:
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
             block = next((e for e in reversed(stack) if e.tag not in _INLINE), stack[0])
-            page.blocks.append(Block(block.path, text, links, block.out, block.article))
+            page.blocks.append(Block(block.path, text, links, block.out, block.article, block.named))
         pieces.clear()
         links = 0
 
@@ -157,10 +219,11 @@ def read_page(source: str) -> _Page:
                 end(_ENDS[tag], _SCOPE)
             close_block()
         up = stack[-1]
-        name, out = _named(tag, found[2], up.article)
-        if tag in ("html", "body", "article", "main") and not up.out:
-            out = False if tag != "article" else out
-        article = up.article or tag in ("article", "main") or "[main]" in name or "[article]" in name
+        name, out, named, foreign = _named(tag, found[2], up.article)
+        if tag in ("html", "body", "article", "main"):
+            out, named = out and tag == "article", named and tag == "article"
+        marked = tag in ("article", "main") or "[main]" in name or "[article]" in name
+        article = up.article or marked
         out = up.out or out or tag in _NEVER_MAIN or (tag == "header" and not up.article)
         path = up.path if tag in _INLINE else f"{up.path}/{name}"
         page.tags[path] = page.tags.get(path, 0) + (tag not in _INLINE)
@@ -170,8 +233,18 @@ def read_page(source: str) -> _Page:
             continue
         if tag in _VOID or found[2].endswith("/") and tag in ("path", "rect", "circle", "use"):
             continue
-        stack.append(_Element(tag, path, out, article))
+        inside = up.named
+        if marked and not out:
+            for k in inside:
+                page.named[k].holds_article = True
+        if (named or tag == "form") and not out and tag not in _INLINE:
+            page.named.append(_Named(path, foreign, inside, up.article, marked))
+            inside = (*inside, len(page.named) - 1)
+        elif named:
+            out = True
+        stack.append(_Element(tag, path, out, article, inside))
     close_block()
+    _judge_names(page, main)
     return page
 
 
@@ -247,7 +320,7 @@ def _templates(least_tokens: int):
 
 def main_text(source: str, texts: frozenset[str], main: str) -> str:
     """The slots of a page that hold its article, one block to a line."""
-    shown = [b for b in read_page(source).blocks if not b.out]
+    shown = [b for b in read_page(source, main).blocks if not b.out]
     below = [b for b in shown if b.article]
     if not below and main:
         below = [b for b in shown if b.path == main or b.path.startswith(main + "/")]

@@ -71,6 +71,23 @@ def test_main_text_by_markup():
     assert main_text("<p>x</p><script>never closed", frozenset(), "") == "x"
 
 
+def test_names_do_not_drop_an_article():
+    text = "<h1>Head</h1>" + "".join(f"<p>Part {k} {'word ' * 30}</p>" for k in range(3))
+    want = main_text(f"<body>{text}</body>", frozenset(), "")
+    side = '<div class="sidebar"><a href="/">More of this</a></div>'
+    for wrapper in ("div class='layout has-sidebar'", "div class='no-sidebar'", "div id='content' class='comments-open'", "div class='page with-banner'",
+                    "form action='/p.aspx'", "div data-id='ad'", "div title='hidden class=ad'", "div data-hidden='false'"):
+        tag = wrapper.split()[0]
+        assert main_text(f"<body><{wrapper}><article>{text}</article>{side}</{tag}></body>", frozenset(), "") == want, wrapper
+        assert main_text(f"<body><{wrapper}><div>{text}</div>{side}</{tag}></body>", frozenset(), "") == want, wrapper
+    for name in ("notice", "related-work", "search", "social", "alert"):
+        section = f"<section class='{name}'><p>Own section {'of the text ' * 20}</p></section>"
+        assert "Own section" in main_text(f"<article>{text}{section}</article>", frozenset(), ""), name
+    comments = "<div id='comments'>" + f"<p>Reader {'says ' * 60}</p>" * 3 + "</div>"
+    assert main_text(f"<body><main>{text}{comments}</main></body>", frozenset(), "") == want
+    assert main_text(f"<body><div class='x'>{text}</div><div class='y sidebar'><p>Own {'text ' * 40}</p></div></body>", frozenset(), "/body/div.y sidebar").startswith("Own")
+
+
 def test_template_deduction(spark):
     """Pages without telling names: the template shows what repeats, and where the text is."""
     make = lambda i: (
