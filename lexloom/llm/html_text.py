@@ -3,13 +3,15 @@
 1. Every page is read as a sequence of tokens: tags told apart by their path, and whole text blocks.
 2. A token's occurrence vector says how often it occurs on each page of the host. Vectors are kept as
    a hash, summed over pages with map-side combine, so that no host is gathered anywhere.
-3. Tokens of one host with the same vector are an equivalence class. Classes with ``least_tokens``
-   tokens on at least ``least_share`` of the host's pages are valid; they nest by the paths of their
-   tags, from the root class, once on every page, down to the classes inside its slots. Text blocks in
-   a valid class are template; text at any other place fills a slot.
+3. Tokens of one host with the same vector are an equivalence class. Classes of ``least_tokens`` tokens
+   on at least ``least_support`` pages, and a hundredth of the host's, are valid; they nest by the paths
+   of their tags, from the root class, once on every page, down to the classes inside its slots, such
+   as those of one language or section. Text blocks in a valid class are template, inside an article
+   as well; text at any other place fills a slot.
 4. Of the slots, the main text is what is left: slots in menus, headers, footers, forms and the like
-   (by element, role, class and id) go; names and forms go only where they fit what they hold. Where pages mark no article, the template says where it is:
-   from the root down to the class that holds most of the slots' text outside links.
+   (by element, role, class and id) go; names and forms go only where they fit what they hold. Where pages mark no article, the classes on
+   at least ``least_share`` of the host's pages say where it is: from the root down to the class that
+   holds most of the slots' text outside links.
 
 Pages of a host that show the same text are one page of steps 2 and 3, whatever their addresses: what
 they share is not yet a template. Hosts with fewer than ``least_pages`` such pages have no template, only
@@ -29,7 +31,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import mixed, slices
@@ -38,6 +41,7 @@ from lexloom.session import cut_lineage
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_MAY_TELL = re.compile(r"class|id|role|hidden|style", re.I).search
 _TELLING = frozenset("class id role hidden aria-hidden style".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -106,7 +110,7 @@ def _named(tag: str, attributes: str, article: bool) -> tuple[str, bool, bool, b
     """A name for the path, whether the attributes say that this is not main text, whether its name does,
     and whether its name says nothing but that it is others' text."""
     name, out, named, foreign = tag, False, False, False
-    if attributes.strip():
+    if attributes and _MAY_TELL(attributes):
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key not in _TELLING:
@@ -134,6 +138,8 @@ def _judge_names(page: _Page, main: str) -> None:
     text is others'. It does not count where it holds the page's only article or the template's main
     path, or, whatever its name, nearly all text of the page.
     """
+    if not page.named:
+        return
     free = any(b.article and not b.out and not b.named for b in page.blocks)
     free = free or any(b.article and not b.out and not any(page.named[k].holds_article for k in b.named) for b in page.blocks)
     total, article, held = 0, 0, [0] * len(page.named)
@@ -154,7 +160,8 @@ def _judge_names(page: _Page, main: str) -> None:
         else:
             stands.append(not wins and held[k] <= max(SMALL * whole, _links_most(page, k)))
     for b in page.blocks:
-        b.out |= any(stands[k] for k in b.named)
+        if b.named:
+            b.out |= any(stands[k] for k in b.named)
 
 
 def _links_most(page: _Page, k: int) -> float:
@@ -222,7 +229,7 @@ def read_page(source: str, main: str = "") -> _Page:
         name, out, named, foreign = _named(tag, found[2], up.article)
         if tag in ("html", "body", "article", "main"):
             out, named = out and tag == "article", named and tag == "article"
-        marked = tag in ("article", "main") or "[main]" in name or "[article]" in name
+        marked = tag in ("article", "main") or name is not tag and ("[main]" in name or "[article]" in name)
         article = up.article or marked
         out = up.out or out or tag in _NEVER_MAIN or (tag == "header" and not up.article)
         path = up.path if tag in _INLINE else f"{up.path}/{name}"
@@ -279,17 +286,28 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def template_of(tokens: list[tuple[str, int, int, int]], least_tokens: int, most: float = 0.7) -> tuple[list[str], str]:
+def template_of(tokens: list[tuple[str, int, int, int]], least_tokens: int, most: float = 0.7, partial: frozenset[int] = frozenset()) -> tuple[list[str], str]:
     """Template texts and main path from a host's frequent tokens (token, vector, chars, links).
 
     Tags of valid classes are the nodes of the template, under the node of the longest path before theirs.
+    The vectors in ``partial`` are of classes on a part of the pages: they are valid if they lie under a
+    tag of another valid class, and do not say where the main text is.
     """
     classes: dict[int, list[str]] = {}
     for token, vector, _, _ in tokens:
         classes.setdefault(vector, []).append(token)
-    valid = {t for members in classes.values() if len(members) >= least_tokens for t in members}
+    valid = {t for v, members in classes.items() if v not in partial and len(members) >= least_tokens for t in members}
+    whole = set(valid)
+    tops = {v: min((t.partition("|")[0] for t in classes[v]), key=lambda p: p.count("/")) for v in classes.keys() & partial}
+    for v in sorted(tops, key=lambda v: tops[v].count("/")):
+        up = [tops[v]] if any(t.startswith(tops[v] + "|") for t in classes[v]) else []
+        while (rest := (up[-1] if up else tops[v]).rpartition("/")[0]):
+            up.append(rest)
+        if len(classes[v]) >= least_tokens and any(p in valid for p in up):
+            valid |= set(classes[v])
     texts = sorted(t for t in valid if "|" in t)
-    nodes = {t: c - n for t, _, c, n in tokens if "|" not in t}
+    valid = whole
+    nodes = {t: c - n for t, v, c, n in tokens if "|" not in t and v not in partial}
     inside: dict[str, int] = {}
     children: dict[str, list[str]] = {}
     for path in sorted(nodes, key=lambda p: -p.count("/")):
@@ -310,7 +328,8 @@ def template_of(tokens: list[tuple[str, int, int, int]], least_tokens: int, most
 def _templates(least_tokens: int):
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(k).to_pylist() for k in ("token", "vector", "chars", "links"))))
-        texts, main = template_of(sorted(rows), least_tokens)
+        part = pc.invert(table.column("wide"))
+        texts, main = template_of(sorted(rows), least_tokens, partial=frozenset(table.column("vector").filter(part).to_pylist()))
         return pa.table(
             {"host": pa.array([table.column("host")[0].as_py()], pa.string()), "texts": pa.array([texts], pa.list_(pa.string())), "main": pa.array([main], pa.string())}
         )
@@ -371,7 +390,7 @@ def _distinct_pages(rows: DataFrame) -> DataFrame:
     return kept.select("host", F.xxhash64("digest").alias("code"), "html")
 
 
-def page_texts(pages: DataFrame, least_pages: int = 10, least_share: float = 0.6, least_tokens: int = 3) -> DataFrame:
+def page_texts(pages: DataFrame, least_pages: int = 10, least_share: float = 0.6, least_tokens: int = 3, least_support: int = 10) -> DataFrame:
     """For each row of ``pages``: page_id, url, text, n_chars."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -386,10 +405,14 @@ def page_texts(pages: DataFrame, least_pages: int = 10, least_share: float = 0.6
         .groupBy("host", "token")
         .agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     )
-    frequent = stats.join(counts, "host").filter(F.col("pages") >= F.col("all") * least_share)
-    # A host's frequent tokens are its template: their number does not grow with its pages.
+    supported = stats.join(counts, "host").filter(F.col("pages") >= F.greatest(F.lit(least_support), F.col("all") / 100))
+    # Classes are as large as a page at most. Of those on a part of the pages only valid ones go on.
+    wide = F.col("pages") >= F.col("all") * least_share
+    members = F.count(F.lit(1)).over(Window.partitionBy("host", "vector"))
+    frequent = supported.withColumns({"wide": wide, "members": members}).filter(F.col("wide") | (F.col("members") >= least_tokens))
+    # A host's frequent tokens are its template: as each is on a hundredth of the pages, their number does not grow with them.
     templates = cut_lineage(
-        frequent.select("host", "token", "vector", "chars", "links").groupBy("host").applyInArrow(_templates(least_tokens), _TEMPLATE)
+        frequent.select("host", "token", "vector", "chars", "links", "wide").groupBy("host").applyInArrow(_templates(least_tokens), _TEMPLATE)
     )
     return rows.join(templates, "host", "left").select("page_id", "url", "host", "html", "texts", "main").mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long"

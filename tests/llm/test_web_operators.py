@@ -119,6 +119,20 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(r.text == f"Head {want[r.page_id]}\nFirst {want[r.page_id]}\nSecond {want[r.page_id]}" for r in found)
 
 
+def test_template_of_a_part_of_the_pages(spark):
+    """What one language of a site repeats is template, inside an article as well."""
+    extra = {"en": "Read this too", "de": "Lies auch dies"}
+    make = lambda i, lang: (
+        f"<html><head><title>{i}</title></head><body><article><h1>Head {i}</h1><p>Story {i} {'word ' * 60}</p>"
+        + (f"<div class={lang}1><p>{extra[lang]}</p><p>{lang} partner</p></div>" if lang in extra else "")
+        + "</article></body></html>"
+    )
+    langs = ["en", "de", "fr", "es"]
+    rows = [(i, f"http://h.example/{langs[i % 4]}/{i}", make(i, langs[i % 4])) for i in range(60)]
+    found = {r.page_id: r.text for r in page_texts(pages(spark, rows).repartition(3)).collect()}
+    assert found == {i: f"Head {i}\nStory {i} {'word ' * 60}".strip() for i in range(60)}
+
+
 def test_template_classes_need_several_tokens():
     tokens = [("/b", 1, 0, 0), ("/b|x1", 1, 0, 0), ("/b/p", 1, 900, 0), ("/b/p|y2", 7, 0, 0)]
     assert template_of(tokens, 3) == (["/b|x1"], "/b/p")
