@@ -23,7 +23,7 @@ NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those of which no language has half of the letters."""
+    """Documents without letters go; mixed texts stay, and all with letters if no row has a language."""
     ship(spark)
     return language.identified(docs, language.trained(docs))
 

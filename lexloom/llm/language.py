@@ -6,8 +6,8 @@ that are not written in the word's script are out; words in a script that no lan
 say nothing. Viterbi takes the best labelling of a text's words, where each switch of language costs
 ``switch``. The prediction is the language with the most letters; its share of all letters is the score.
 
-The model is fitted on at most about ``per_lang`` labelled texts of each language, drawn by a hash
-of the text; every text is labelled whole. A text that is null or has no letter, or a model without
+The model is fitted on at most about ``per_lang`` distinct labelled texts of each language, drawn by
+a hash of the text; every text is labelled whole. A text that is null or has no letter, or a model without
 languages, gives ``und`` and 0. A text whose letters are no words to us gets the commonest language
 and 0. Ties go to the language first in order. Repeated rows are labelled alike; extra columns are
 ignored by ``languages`` and kept by ``identified``.
@@ -140,14 +140,15 @@ def trained(labelled: DataFrame, per_lang: int = 3000) -> Model:
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    code = F.xxhash64("text")
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", code.alias("code")).distinct().groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(SCRIPTS), 0), bool), 0)
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(per_lang / sizes[lang])).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = rows.filter(F.pmod(code, F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "text"])
     counts = drawn.mapInArrow(_counted, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     table = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     found = counts.toPandas()
@@ -266,11 +267,12 @@ def languages(docs: DataFrame, model: Model, switch: float = 8.0, reach: float =
     return _labelled(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, switch, reach)
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.5, switch: float = 8.0, reach: float = 5.0) -> DataFrame:
-    """The rows of ``docs`` of which one language has at least the share ``least``; ``und`` is none."""
+def identified(docs: DataFrame, model: Model, switch: float = 8.0, reach: float = 5.0) -> DataFrame:
+    """The rows of ``docs`` whose text has letters: all that a model does not label ``und``, mixed texts too."""
+    if not model.langs:  # it labels every text und
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    found = _labelled(rows, model, switch, reach)
-    return found.filter((F.col("lang") != "und") & (F.col("score") >= least)).select("row.*")
+    return _labelled(rows, model, switch, reach).filter(F.col("lang") != "und").select("row.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -44,3 +44,24 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(kept)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, again.drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
+
+
+def test_language_stage_keeps_all_texts_with_letters(spark):
+    en, de, el = "the cat and the dog of this house ", "der hund und die katze in diesem haus ", "\u03b7 \u03b3\u03ac\u03c4\u03b1 \u03ba\u03b1\u03b9 \u03bf \u03c3\u03ba\u03cd\u03bb\u03bf\u03c2 \u03c4\u03bf\u03c5 \u03c3\u03c0\u03b9\u03c4\u03b9\u03bf\u03cd "
+    texts = [(en * 9, "en"), (de * 9, "de"), (el * 9, "el"), (en * 3 + de * 3 + el * 3, None), ("12 ?!", "en"), ("", "de"), (None, "el")]
+    stage = corpus_pipeline.STAGES[0][1]
+    for known in (True, False):
+        rows = [(i, t, lang if known else None, "s", 0) for i, (t, lang) in enumerate(texts)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        found = stage(spark, frame, "")
+        assert found.columns == frame.columns and sorted(r.doc_id for r in found.collect()) == [0, 1, 2, 3]
+
+
+def test_language_sample_is_of_distinct_texts(spark):
+    """A hot copied text counts once, and does not crowd out the other texts of its language."""
+    from lexloom.llm.language import trained
+
+    other = [(f"word{chr(97 + i)} some text {i}", "en") for i in range(20)]
+    frame = lambda rows: spark.createDataFrame(rows, "text string, lang string")
+    hot, once = trained(frame(other + [("hot text", "en")] * 5000), per_lang=100), trained(frame([*other, ("hot text", "en")]), per_lang=100)
+    assert (hot.logs == once.logs).all()
