@@ -17,7 +17,8 @@ Under any common order of shingles, partners share l shingles in their first n -
 4. The rest: in posting lists that still hold several components, pairs across components are compared
    by odd sketches: each shingle flips one bit, so sketches that differ in more bits than two similar
    sets can differ in shingles rule a pair out for certain. Pairs that remain and share l shingles are
-   verified. Nothing is capped: what is left out is connected already, or cannot be similar.
+   verified. Nothing is capped: what is left out is connected already, or cannot be similar. Lists of
+   more than CHUNK classes are cut into parts, and each two parts meet under a key of their own.
 
 Shingles are 64-bit hashes; verification counts whole sets. A text with fewer words than a shingle is
 one shingle; without words or text it has none and links with nothing. Null ids count as larger than
@@ -39,6 +40,8 @@ from lexloom.llm.components import components
 from lexloom.session import cut_lineage
 
 EXTRA = 128
+#: Longer posting lists are compared in several tasks.
+CHUNK = 1 << 14
 #: 64-bit words of a sketch.
 WORDS = 16
 #: Shingles of more classes are all equally frequent, which is an order too.
@@ -193,9 +196,9 @@ def _crossing(num: int, den: int, most: int = 1 << 16, held: int = 1 << 19):
 
     def run(batches):
         found, size = [], 0
-        for token, owner, n, need, part, sketch in whole_groups(batches, ["token", "class", "n", "need", "component", "sketch"]):
+        for token, owner, n, need, part, chunk, sketch in whole_groups(batches, ["key", "class", "n", "need", "component", "chunk", "sketch"]):
             order = np.lexsort((n, token))
-            token, owner, n, need, part = (x[order] for x in (token, owner, n.astype(np.int64), need, part))
+            token, owner, n, need, part, chunk = (x[order] for x in (token, owner, n.astype(np.int64), need, part, chunk))
             sketch = np.frombuffer(b"".join(sketch[order]), np.uint64).reshape(-1, WORDS)
             group = np.cumsum(np.append(False, token[1:] != token[:-1]))
             # Partners of a row stand behind it, up to the last of its list with a compatible size.
@@ -210,7 +213,7 @@ def _crossing(num: int, den: int, most: int = 1 << 16, held: int = 1 << 19):
                 a = np.repeat(np.arange(at, to), count[at:to])
                 b = np.arange(len(a)) - np.repeat(total[at:to] - count[at:to] - done, count[at:to]) + a + 1
                 at = to
-                apart = part[a] != part[b]
+                apart = (part[a] != part[b]) & ((chunk[a] < 0) | (chunk[a] != chunk[b]))
                 a, b = a[apart], b[apart]
                 differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
                 able = differ * (den + num) <= (n[a] + n[b]) * (den - num)
@@ -231,6 +234,21 @@ def _crossing(num: int, den: int, most: int = 1 << 16, held: int = 1 << 19):
     return run
 
 
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """Rows of posting lists, each once for every key it is compared under; ``parts`` of a list meet in pairs.
+
+    ``chunk`` is the part of a row where two parts meet, which is compared with the other part only, and
+    -1 where a part meets itself. Equal keys of two lists would only add pairs to verify.
+    """
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(
+        F.when(F.col("parts") == 1, F.col("token")).otherwise(pair).alias("key"), "class", "n", "need", "component", "sketch",
+        F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own")).alias("chunk"),
+    )
+
+
 def _pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["a", "b", "need", "shared"])
 
@@ -273,7 +291,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(_verified(size), "a long, b long, common long, both long")
 
 
-def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verify: float = 20.0) -> DataFrame:
+def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verify: float = 20.0, chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id it is connected with)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     salt = 0
@@ -316,9 +334,10 @@ def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verif
         "token", "class", "n", "need", F.coalesce("component", "class").alias("component")
     )
     placed = cut_lineage(placed)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
+    mixed = mixed.filter("x < y").select("token", F.ceil(F.col("size") / chunk).cast("long").alias("parts"))
     rest = (
-        placed.join(mixed, "token", "left_semi").join(classes.select("class", "sketch"), "class").repartition("token").sortWithinPartitions("token")
+        _in_chunks(placed.join(mixed, "token").join(classes.select("class", "sketch"), "class")).repartition("key").sortWithinPartitions("key")
         .mapInArrow(_crossing(num, den), "a long, b long, need int, shared long")
         .groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
         .filter("shared >= need").join(done.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 from lexloom.llm.decontaminate import clean_documents, contamination
-from lexloom.llm.jaccard import one_of_each, similar
+from lexloom.llm.jaccard import _in_chunks, one_of_each, similar
 from lexloom.llm.language import held_out, identified, languages, trained
 from lexloom.llm.long_matches import RunLengthIndex, repeated_places, without_long_matches
 from lexloom.llm.packing import OpenBins, WordIds, packed
@@ -245,3 +245,28 @@ def test_packed(spark):
         assert at <= 256
     assert len(sequences) <= 1.1 * sum(w[3] for w in want) / 256 + 2
     assert packed(docs(spark, []), TOKENIZER).count() == 0
+
+
+def test_long_posting_lists_in_chunks(spark):
+    """Texts of one form: a list above the chunk size is compared in parts, with the same result."""
+    rng = random.Random(8)
+    form = [f"form{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        filled = list(form)
+        filled[rng.randrange(60)] = f"own{i}"
+        filled[rng.randrange(60)] = f"other{i // 2}"
+        rows.append((i, " ".join(filled)))
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 60, 7)]
+    want = sorted((i, c) for i, _, c in brute_components(rows, 3, 90, 100))
+    for chunk in (7, 1 << 14):
+        found = similar(docs(spark, rows), chunk=chunk).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == want
+    lists = spark.range(50).selectExpr("5L token", "id class", "60 n", "1 need", "id component", "binary('') sketch", "8L parts")
+    met = Counter()
+    keys = defaultdict(list)
+    for r in _in_chunks(lists).collect():
+        keys[r.key].append((r["class"], r.chunk))
+    for members in keys.values():
+        met.update((a, b) for a, x in members for b, y in members if a < b and (x < 0 or x != y))
+    assert met == Counter((a, b) for a in range(50) for b in range(a + 1, 50)) and max(map(len, keys.values())) < 30
