@@ -135,8 +135,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
     )
     # Only ids and digests meet by content, where a hot payload may be split; the pages move by id.
     known = rows.select("key", "content").join(equal, "content").distinct()
+    # Repeated rows meet in one task, which neither a broadcast nor a split of skewed partitions may change.
     (
-        rows.join(known, ["key", "content"], "left")
+        rows.repartition("key", "content").join(known, ["key", "content"], "left")
         .sortWithinPartitions("key", "content")
         .select("key", "page_id", "url", "html", "response_key", "content")
         .mapInArrow(_writer(f"{folder}/archives", date, roll_bytes), _INDEX_DDL)

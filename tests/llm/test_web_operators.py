@@ -52,6 +52,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_records(empty, f"{folder}3").count() == 0
 
 
+def test_warc_repeated_rows_in_several_partitions(spark, tmp_path):
+    """Rows repeated with id and payload are one response and revisits, wherever they come from."""
+    rows = pages(spark, [(1, "http://a.example/1", "<p>one</p>")] * 6 + [(2, "http://a.example/2", "<p>two</p>")]).repartition(7)
+    rows.write.parquet(f"{tmp_path}/pages")
+    found = write_archives(spark.read.parquet(f"{tmp_path}/pages"), f"file://{tmp_path}/warc").collect()
+    assert Counter((r.page_id, r.record_type) for r in found) == {(1, "response"): 1, (1, "revisit"): 5, (2, "response"): 1}
+
+
 def test_warc_record():
     headers, payload = parsed(record(7, "http://x/?q=\u00fc", b"body", None, "2020-01-01T00:00:00Z"))
     assert payload == b"body" and headers["WARC-Target-URI"] == "http://x/?q=%C3%BC" and headers["X-Page-Id"] == "7"
