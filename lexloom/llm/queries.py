@@ -97,7 +97,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding]
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.centroids import clustered
+
+    return clustered(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding, op11_centroids]
+
+
+def _centroid_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """Every vector against every centroid, round by round; whole numbers are exact in doubles."""
+
+    def nearest(r: int) -> str:
+        square = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+        return f"""
+        a{r} AS MATERIALIZED (SELECT row, vec_id, v, n AS cluster, d AS distance FROM (
+          SELECT row, vec_id, v, n, d, row_number() OVER (PARTITION BY row ORDER BY d, n) AS first
+          FROM (SELECT row, vec_id, v, n, {square} AS d FROM e CROSS JOIN c{r})) WHERE first = 1)"""
+
+    steps = []
+    for r in range(rounds):
+        steps.append(nearest(r))
+        steps.append(f"""
+        m{r} AS (SELECT cluster, list(x ORDER BY i) AS c FROM (
+          SELECT cluster, i, CAST(floor(sum(CAST(x AS HUGEINT)) / count(*)) AS DOUBLE) AS x
+          FROM (SELECT cluster, unnest(v) AS x, unnest(range({dims})) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1),
+        c{r + 1} AS MATERIALIZED (SELECT n, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.cluster = n)""")
+    steps.append(nearest(rounds))
+    return f"""
+        WITH e AS MATERIALIZED (
+          SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+          FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS n, v AS c FROM (
+          SELECT sha256(concat('2:', vec_id)) AS h, v FROM e ORDER BY h, v LIMIT {k})),{",".join(steps)},
+        t AS (SELECT cluster, sum(distance) AS d FROM a{rounds} GROUP BY 1)
+        SELECT vec_id, CAST(a{rounds}.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+               CAST(d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM t) AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+        FROM a{rounds} JOIN t ON t.cluster = a{rounds}.cluster JOIN c{rounds} ON n = a{rounds}.cluster"""
 
 
 def _shipped(plan):
@@ -111,6 +149,7 @@ def _shipped(plan):
 QUERIES = {plan.__name__: _shipped(plan) for plan in _PLANS}
 
 CHECKS = {
+    "op11_centroids": _centroid_sql(),
     "op3_long_matches": r"""
         WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
         h AS (SELECT doc_id, hex(raw) AS h, octet_length(raw) AS n FROM b),
