@@ -17,3 +17,19 @@ def test_survey_rows_are_covered():
     rows = set(re.findall(r"^\| ([A-Z]\d{1,2}) \|", survey, re.M))
     covered = {c for q in REGISTRY.values() for c in q.covers.split()}
     assert rows - covered == set()
+
+
+def test_imports_without_the_optional_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    shutil.copytree(os.path.join(root, "lexloom"), tmp_path / "lexloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(os.path.join(root, name), tmp_path / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 130 and not [n for n in q if n.startswith(('op', 'pipeline'))], q"
+    for left in ("corpus_pipeline.py", None):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+        if left:
+            os.remove(tmp_path / left)
