@@ -103,7 +103,14 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(_table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
-_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding, op11_centroids]
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.importance import resampled
+
+    found = resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding, op11_centroids, op12_importance]
 
 
 def _centroid_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
@@ -149,6 +156,29 @@ def _shipped(plan):
 QUERIES = {plan.__name__: _shipped(plan) for plan in _PLANS}
 
 CHECKS = {
+    "op12_importance": r"""
+        WITH texts AS (SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents
+                       UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),
+        w AS MATERIALIZED (SELECT kind, id, row, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts),
+        g AS (SELECT kind, row, array_to_string(w[i : i + n - 1], ' ') AS f
+              FROM (SELECT kind, row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+        c AS MATERIALIZED (SELECT kind, row, f, count(*) AS c FROM g GROUP BY ALL),
+        step AS (SELECT list(v ORDER BY x) AS t FROM (SELECT x, list_reduce(list_prepend(x, range(4)),
+               lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(16)) AS x))),
+        d AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM c)),
+        k AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(h)), lambda i:
+               CAST(strpos('0123456789ABCDEF', substr(h, xor(i, 1) + 1, 1)) - 1 AS BIGINT))),
+               lambda a, x: xor(a >> 4, t[(xor(a, x) & 15) + 1])), 4294967295) % 10000 AS bucket FROM d, step),
+        n AS (SELECT bucket, sum(CASE WHEN kind = 0 THEN c ELSE 0 END) AS s, sum(CASE WHEN kind = 1 THEN c ELSE 0 END) AS t FROM c JOIN k USING (f) GROUP BY 1),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM n) + 10000) AS DOUBLE) /
+               CAST((s + 1) * ((SELECT sum(t) FROM n) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM n),
+        weight AS (SELECT row, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * gain) AS BIGINT) AS weight FROM c JOIN k USING (f) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY 1),
+        scored AS (SELECT id AS doc_id, len(w) >= 20 AS fits, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('42:', id)), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+               FROM w LEFT JOIN weight USING (row) WHERE kind = 0)
+        SELECT doc_id, n_features, weight, score, CASE WHEN fits AND r <= 5 * (SELECT count(*) FROM scored WHERE fits) // 100 THEN r END AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY score DESC, doc_id) AS r FROM scored)""",
     "op11_centroids": _centroid_sql(),
     "op3_long_matches": r"""
         WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
