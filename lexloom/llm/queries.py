@@ -110,7 +110,17 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding, op11_centroids, op12_importance]
+#: The base of op13: wordings that stand for a license by themselves.
+LICENSE_PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.licenses import license_labels
+
+    return license_labels(_table(spark, sf_dir, "documents"), LICENSE_PHRASES)
+
+
+_PLANS = [op1_language, op2_decontamination, op3_long_matches, op4_warc, op5_html_text, op6_url_filter, op7_jaccard_join, op8_packing, op9_exact_dedup, op10_sharding, op11_centroids, op12_importance, op13_licenses]
 
 
 def _centroid_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
@@ -145,6 +155,46 @@ def _centroid_sql(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
         FROM a{rounds} JOIN t ON t.cluster = a{rounds}.cluster JOIN c{rounds} ON n = a{rounds}.cluster"""
 
 
+def _license_sql() -> str:
+    """Phrases by lists of words; templates as regular expressions over words that stand between two spaces each."""
+    from lexloom.llm.license_templates import LICENSE_TEMPLATES
+    from lexloom.llm.licenses import parsed
+
+    def pattern(parts) -> str:
+        found = ""
+        for part in parts:
+            if isinstance(part, bytes):
+                found += f" {part.decode()} "
+            elif isinstance(part, int):
+                found += f"( [^ ]+ ){{0,{part}}}"
+            elif part[0] == "optional":
+                found += f"({pattern(part[1])})?"
+            else:
+                found += f"({'|'.join(pattern(p) for p in part[1])})"
+        return found
+
+    phrases = ", ".join(
+        f"{{'label': '{label}', 'places': list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(words)}] = {words})}}"
+        for label, words in ((label, text.split()) for label, text in LICENSE_PHRASES)
+    )
+    templates = ", ".join(
+        f"{{'label': '{label}', 'found': regexp_extract_all(line, '{pattern(parsed(markup))}')}}"
+        for label, markup in [*LICENSE_PHRASES, *LICENSE_TEMPLATES]
+    )
+    return rf"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT *, concat(' ', array_to_string(w, '  '), ' ') AS line FROM d),
+        m AS (SELECT doc_id, len(w) AS n, list_filter([{phrases}], lambda p: len(p.places) > 0) AS p,
+              list_filter([{templates}], lambda p: len(p.found) > 0) AS t FROM s),
+        f AS (SELECT doc_id, n, flatten(list_transform(p, lambda x: x.places)) AS places, list_transform(p, lambda x: x.label) AS base,
+              list_transform(t, lambda x: x.label) AS found,
+              list_max(list_transform(flatten(list_transform(t, lambda x: x.found)), lambda x: len(string_split(trim(x), '  ')))) AS most FROM m)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+               array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(found)), ',') AS labels, coalesce(most / n, 0) AS score FROM f"""
+
+
 def _shipped(plan):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -156,6 +206,7 @@ def _shipped(plan):
 QUERIES = {plan.__name__: _shipped(plan) for plan in _PLANS}
 
 CHECKS = {
+    "op13_licenses": _license_sql(),
     "op12_importance": r"""
         WITH texts AS (SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents
                        UNION ALL SELECT 1, item_id, row_number() OVER (), text FROM benchmark),
