@@ -107,7 +107,7 @@ def test_license_labels(spark):
     full = " ".join(spelled(parsed(mit), random.Random(1)))
     rows = AWKWARD + [
         (20, "Released under the MIT License. Also under the MIT-license, and CC/BY NC"),
-        (21, LONG + full + LONG + "under the\nMIT license" + LONG),
+        (21, LONG + full + " " + LONG + "under the\nMIT license " + LONG),
         (22, "under the mit"),
         (23, "license under the apache license, VERSION 2.0"),
         (24, "This work is licensed under the GNU General Public License, version 3."),
