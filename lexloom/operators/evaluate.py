@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import bind, collapse, fraction_of, round_even, token_set
-from lexloom.session import is_small
+from lexloom.operators.occurrences import enclosing, occurrences
 
-_SHINGLE = 3
 _STRETCH = 1000
 
 
@@ -40,107 +39,6 @@ def _path_pairs(chunks: DataFrame, gold: DataFrame) -> DataFrame:
     return suffixes.join(wanted, "gold_path")
 
 
-def _contained(outer: Column, inner: Column) -> Column:
-    return outer.contains(inner)
-
-
-def _shingles(text: Column) -> Column:
-    """Hashes of every run of three tokens."""
-
-    def runs(tokens: Column) -> Column:
-        count = F.size(tokens) - (_SHINGLE - 1)
-        return F.when(
-            count > 0,
-            F.array_distinct(
-                F.transform(
-                    F.slice(tokens, 1, F.greatest(count, F.lit(0))),
-                    lambda w, i: F.xxhash64(
-                        w, *[F.get(tokens, i + k) for k in range(1, _SHINGLE)]
-                    ),
-                )
-            ),
-        ).otherwise(F.array().cast("array<bigint>"))
-
-    return bind(F.split(text, " "), runs)
-
-
-def _anchor(text: Column) -> Column:
-    """One run of three *inner* tokens: it is whole wherever the text occurs."""
-
-    def middle(tokens: Column) -> Column:
-        at = F.greatest(F.floor((F.size(tokens) - _SHINGLE) / 2).cast("int"), F.lit(1))
-        return F.when(
-            F.size(tokens) >= _SHINGLE + 2,
-            F.xxhash64(*[F.get(tokens, at + k) for k in range(_SHINGLE)]),
-        )
-
-    return bind(F.split(text, " "), middle)
-
-
-def text_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) where the right text occurs inside the left one.
-
-    Both have (id, norm). A text of five tokens or more can only occur where its inner three
-    tokens occur, which makes an equi join on their hash exact; the containment itself is then
-    checked. Shorter texts have no such anchor and are looked up by their inner tokens or, with
-    one or two tokens, compared directly (they may lie inside a word).
-    """
-    longer = right.select("id", "norm", _anchor(F.col("norm")).alias("h")).where("h IS NOT NULL")
-    places = left.select(F.col("id").alias("left_id"), F.explode_outer(_shingles(F.col("norm"))).alias("h"))
-    places = places.where(F.col("h").isNotNull())
-    hits = places.join(
-        longer.select(F.col("id").alias("right_id"), F.col("norm").alias("inner"), "h"), "h"
-    ).select("left_id", "right_id", "inner")
-    by_anchor = (
-        hits.join(left.select(F.col("id").alias("left_id"), F.col("norm").alias("outer")), "left_id")
-        .where(_contained(F.col("outer"), F.col("inner")))
-        .select("left_id", "right_id")
-    )
-    tokens = F.size(F.split("norm", " "))
-    found = by_anchor
-    if not is_small(right.where((F.col("norm") != "") & (tokens < _SHINGLE + 2)), 0):
-        found = found.unionByName(_short_pairs(left, right))
-    return found.distinct()
-
-
-def _short_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs for right texts of fewer than five tokens."""
-    tokens = F.size(F.split("norm", " "))
-    middle = right.where((tokens >= 3) & (tokens < _SHINGLE + 2)).select(
-        F.col("id").alias("right_id"),
-        F.col("norm").alias("inner"),
-        F.element_at(F.split("norm", " "), 2).alias("token"),
-    )
-    # Ids alone go through the joins; the text is fetched for what was hit.
-    outer = left.select(F.col("id").alias("left_id"), F.col("norm").alias("outer"))
-    left_tokens = left.select(
-        F.col("id").alias("left_id"), F.explode(F.array_distinct(F.split("norm", " "))).alias("token")
-    )
-    by_token = left_tokens.join(middle, "token").select("left_id", "right_id", "inner")
-    short = right.where((tokens < 3) & (F.col("norm") != "")).select(
-        F.col("id").alias("right_id"), F.col("norm").alias("inner")
-    )
-    # One or two tokens: their first three characters (or fewer) are looked up as character runs.
-    run = F.least(F.length("inner"), F.lit(3))
-    keyed = short.select("right_id", "inner", run.alias("n"), F.substring("inner", F.lit(1), run).alias("g"))
-    runs = left.select(
-        F.col("id").alias("left_id"),
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("norm")),
-                        lambda i: F.array(*[F.substring(F.col("norm"), i, F.lit(n)) for n in (1, 2, 3)]),
-                    )
-                )
-            )
-        ).alias("g"),
-    ).where("g <> ''")
-    by_run = runs.join(keyed, "g").select("left_id", "right_id", "inner")
-    hits = by_token.unionByName(by_run).join(outer, "left_id")
-    return hits.where(_contained(F.col("outer"), F.col("inner"))).select("left_id", "right_id")
-
-
 def match_gold(chunks: DataFrame, gold: DataFrame, both_ways: bool = True) -> DataFrame:
     """Relevant chunks: distinct (case_id, chunk_id) with the snippet that found them first.
 
@@ -195,12 +93,12 @@ def match_gold(chunks: DataFrame, gold: DataFrame, both_ways: bool = True) -> Da
     right = free_text.select(
         F.concat_ws("\u0001", F.col("case_id").cast("string"), F.col("snippet_no")).alias("id"), "norm"
     )
-    pairs = text_pairs(left, right).select(
-        F.col("left_id").alias("chunk_id"), F.col("right_id").alias("key")
+    pairs = occurrences(left, right).select(
+        F.col("text_id").alias("chunk_id"), F.col("pattern_id").alias("key")
     )
     if both_ways:
-        inner = text_pairs(right, left).select(
-            F.col("right_id").alias("chunk_id"), F.col("left_id").alias("key")
+        inner = enclosing(right, left).select(
+            F.col("pattern_id").alias("chunk_id"), F.col("text_id").alias("key")
         )
         pairs = pairs.unionByName(inner).distinct()
     keys = free_text.select(

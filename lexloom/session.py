@@ -57,11 +57,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def is_small(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has at most ``rows`` rows; looks at no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
-
-
 _shipped: set[str] = set()
 
 

@@ -9,6 +9,7 @@ from lexloom.operators import (
     analytics, classify, conflicts, evaluate, preferences, retrieve, validate,
 )
 from lexloom.operators.confidence import score_fields
+from lexloom.operators.occurrences import enclosing, occurrences
 
 
 def test_chunks_cover_and_overlap():
@@ -105,20 +106,25 @@ def test_metrics(spark):
     )
 
 
-def test_gold_text_against_brute_force(spark):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 6000])
+def test_occurrences_against_brute_force(spark, block_bytes):
     rng = random.Random(3)
-    vocab = ["ab", "abc", "b", "cab", "dog", "do", "xy"]
+    vocab = ["ab", "abc", "b", "cab", "dog", "do", "xy", "\u00fc\U0001f600"]
 
     def text(n):
         return " ".join(rng.choice(vocab) for _ in range(n))
 
-    outer = [(f"o{i}", text(rng.randint(1, 14))) for i in range(60)]
+    outer = [(f"o{i}", text(rng.randint(1, 30))) for i in range(60)] + [("long", text(20_000)), ("none", None), ("empty", "")]
     inner = [(f"i{i}", text(rng.randint(1, 6))[rng.randint(0, 1) :].strip()) for i in range(60)]
-    inner = [x for x in inner if x[1]]
-    a = spark.createDataFrame(outer, "id string, norm string")
-    b = spark.createDataFrame(inner, "id string, norm string")
-    got = {tuple(r) for r in evaluate.text_pairs(a, b).collect()}
-    assert got == {(o, i) for o, x in outer for i, y in inner if y in x}
+    inner += [("word", "b"), ("same", "b"), ("part", outer[60][1][50_001:50_200]), ("none", None), ("empty", "")]
+    inner += [(f"w{i}", x[3:]) for i, (_, x) in enumerate(outer[:20])]  # some longer than the automaton's keys
+    a = spark.createDataFrame(outer, "id string, norm string").repartition(3)
+    b = spark.createDataFrame(inner, "id string, norm string").repartition(2)
+    wanted = {(o, i) for o, x in outer for i, y in inner if x and y and y in x}
+    for found in (occurrences(a, b, block_bytes, 3), enclosing(a, b, block_bytes)):
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(wanted) and set(rows) == wanted
+    assert occurrences(a, b.where("false")).count() == 0 == enclosing(a.where("false"), b).count()
 
 
 def test_gold_span_without_path(spark):
