@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import fixed_values as fv
 from lexloom.functions.text import strip, words
 from lexloom.operators.components import components
+from lexloom.operators.scan import fold_clamped
 
 
 def is_trivial_edit(original: Column | str, edited: Column | str) -> Column:
@@ -69,71 +70,27 @@ def review_delta(edited: Column, total: Column) -> Column:
     )
 
 
-def _fold_step(steps: Column) -> Column:
-    """A run of clamped additions is itself one: x -> min(hi, max(lo, x + shift)).
-
-    Steps (lo, hi, shift) are combined in order.
-    """
-
-    def clamp(value: Column, low: Column, high: Column) -> Column:
-        return F.least(high, F.greatest(low, value))
-
-    identity = F.struct(
-        F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0.0).alias("shift")
-    )
-    return F.aggregate(
-        steps,
-        identity,
-        lambda acc, s: F.struct(
-            clamp(acc["lo"] + s["shift"], s["lo"], s["hi"]).alias("lo"),
-            clamp(acc["hi"] + s["shift"], s["lo"], s["hi"]).alias("hi"),
-            (acc["shift"] + s["shift"]).alias("shift"),
-        ),
-    )
-
-
-def update_effectiveness(
-    preferences: DataFrame, reviews: DataFrame, bucket: str = "hour"
-) -> DataFrame:
+def update_effectiveness(preferences: DataFrame, reviews: DataFrame) -> DataFrame:
     """Effectiveness after all reviews, clamped to [0, 1] after each of them.
 
     ``reviews`` has (preferences_applied, edited_sections, total_sections, reviewed_at, draft_id).
-    Order matters, yet runs of clamped additions compose. So each stretch of time is folded to one
-    step first and only the steps are folded per rule: a rule that every draft uses is never
-    collected review by review.
+    Order matters, yet runs of clamped additions compose: each task folds its stretch of time of a
+    rule, so one that every draft uses is spread like any other.
     """
     steps = reviews.select(
         F.explode("preferences_applied").alias("preference_id"),
         "reviewed_at",
         "draft_id",
-        review_delta(F.col("edited_sections"), F.col("total_sections")).alias("shift"),
-    )
-    day = steps.groupBy("preference_id", F.date_trunc(bucket, "reviewed_at").alias("stretch")).agg(
-        _fold_step(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("reviewed_at", "draft_id", "shift"))),
-                lambda s: F.struct(
-                    F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), s["shift"].alias("shift")
-                ),
-            )
-        ).alias("step")
-    )
-    whole = day.groupBy("preference_id").agg(
-        _fold_step(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("stretch", "step"))), lambda s: s["step"]
-            )
-        ).alias("step")
-    )
+        review_delta(F.col("edited_sections"), F.col("total_sections")).alias("delta"),
+    ).where(F.col("preference_id").isNotNull())
+    whole = fold_clamped(steps, "preference_id", ["reviewed_at", "draft_id", "delta"], "delta")
     start = F.coalesce("effectiveness_score", F.lit(fv.DEFAULT_EFFECTIVENESS))
-    moved = F.least(
-        F.col("step.hi"), F.greatest(F.col("step.lo"), start + F.col("step.shift"))
-    )
+    moved = F.least(F.col("hi"), F.greatest(F.col("lo"), start + F.col("shift")))
     joined = preferences.join(whole, "preference_id", "left")
     return joined.withColumn(
         "effectiveness_score",
-        F.when(F.col("step").isNotNull(), moved).otherwise(F.col("effectiveness_score")),
-    ).drop("step")
+        F.when(F.col("lo").isNotNull(), moved).otherwise(F.col("effectiveness_score")),
+    ).drop("lo", "hi", "shift")
 
 
 _ALIKE = "a string, b string"

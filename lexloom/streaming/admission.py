@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexloom.operators.scan import numbered
+
 _OUT = "key string, minute timestamp, event_id long, ts timestamp, allowed boolean, remaining int"
 _STATE = "used int"
 
@@ -16,16 +18,16 @@ _STATE = "used int"
 def admit_batch(events: DataFrame, key: str, limit: int) -> DataFrame:
     """Adds allowed, remaining and retry_after to each event; a limit of 0 or less lets all pass.
 
-    The window is (key, minute), so a hot key spreads over its minutes.
+    The window is (key, minute). Events are numbered in ranges of (key, minute, ts), so a hot key's
+    minute is spread over tasks.
     """
     second = F.second("ts")
     if limit <= 0:
         return events.withColumns(
             {"allowed": F.lit(True), "remaining": F.lit(limit), "retry_after": F.lit(0)}
         )
-    order = Window.partitionBy(key, F.date_trunc("minute", "ts")).orderBy("ts", "event_id")
-    seen = F.row_number().over(order)
-    return events.withColumn("_n", seen).withColumns(
+    placed = numbered(events, [key, F.date_trunc("minute", "ts").alias("minute")], ["ts", "event_id"], "_n")
+    return placed.withColumns(
         {
             "allowed": F.col("_n") <= limit,
             "remaining": F.greatest(F.lit(0), F.lit(limit) - F.col("_n")),
