@@ -802,11 +802,11 @@ def updated_effectiveness(t):
 @query(
     "P1", (),
     """WITH RECURSIVE e AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, label % 2 = 1 AS stored,
-           floor(label / 2) AS g, CAST(embedding[1:8] AS DOUBLE[]) AS v,
+           floor(label / 2) AS g, CAST(embedding AS DOUBLE[]) AS v,
            CASE WHEN label % 2 = 0 AND vec_id % 101 = 0 THEN 0.8::DOUBLE ELSE CAST(vec_id % 101 AS DOUBLE) / 100 END AS c
          FROM embeddings),
        edge AS (SELECT a.id AS x, b.id AS y FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id
-           AND NOT (a.stored AND b.stored) AND list_cosine_similarity(a.v, b.v) >= 0.85),
+           AND NOT (a.stored AND b.stored) AND list_cosine_similarity(a.v, b.v) >= 0.35),
        reach AS (SELECT id AS x, id AS y FROM e UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x),
        part AS (SELECT x AS id, min(y) AS p FROM reach GROUP BY 1),
        r AS (SELECT e.*, p, first_value(CASE WHEN stored THEN e.id END) OVER (PARTITION BY p ORDER BY stored DESC, -(c * 0.4::DOUBLE), e.id) AS stored_id,
@@ -821,14 +821,14 @@ def updated_effectiveness(t):
        FROM r WHERE stored OR (stored_id IS NULL AND id = new_id)""",
 )
 def merged_rules(t):
-    """Stored rules (odd labels) and newly learned ones (even labels) over short dense vectors."""
+    """Stored rules (odd labels) and newly learned ones (even labels); these vectors are far apart, hence the threshold."""
     base = t.embeddings.select(
         F.lit(None).cast("string").alias("tenant_id"),
         F.concat(F.lit("type-"), F.floor(F.col("label") / 2).cast("string")).alias("document_type"),
         F.col("vec_id").cast("string").alias("preference_id"),
         F.concat(F.lit("rule "), F.col("vec_id").cast("string")).alias("preference_text"),
         F.lit(None).cast("string").alias("source_edit_id"),
-        F.slice("embedding", 1, 8).alias("vector"),
+        F.col("embedding").alias("vector"),
         (F.col("vec_id") % 101 / 100).alias("confidence"),
         F.lit(0).cast("long").alias("application_count"),
         F.lit(0.5).alias("effectiveness_score"),
@@ -837,5 +837,5 @@ def merged_rules(t):
     )
     stored = base.where("label % 2 = 1").drop("label")
     learned = base.where("label % 2 = 0").drop("label")
-    rows = preferences.merge_rules(stored, learned, block=100)
+    rows = preferences.merge_rules(stored, learned, threshold=0.35)
     return rows.drop("tenant_id", "source_edit_id")

@@ -262,3 +262,56 @@ def test_improvement(spark):
     assert (got["before_edit_rate"], got["after_edit_rate"], got["relative_drop"], got["target_met"]) == (
         0.8, 0.2, 0.75, True,
     )
+
+
+@pytest.mark.parametrize("threshold, block, rows_a_task", [(0.85, 1000, 50_000), (0.6, 5, 20), (0.3, 3, 7)])
+def test_similar_rules_against_brute_force(spark, threshold, block, rows_a_task):
+    import numpy as np
+
+    from lexloom.operators.components import components
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6))
+    rows = []
+    for i in range(160):
+        vector = centres[i % 12] + rng.normal(size=6) * 0.4 if i % 3 else rng.normal(size=6)
+        rows.append((f"n{i:03d}", "gh"[i % 7 == 0], bool(i % 4 == 0), [float(x) for x in vector]))
+    rows += [("zero", "g", True, [0.0] * 6), ("none", "g", True, None)]
+    table = spark.createDataFrame(rows, "node string, grp string, learned boolean, vector array<double>").repartition(3)
+    edges = preferences.similar_rules(table, threshold, block, rows_a_task, pivots=4)
+    found = {}
+    for r in components(edges).collect():
+        found.setdefault(r["component"], set()).add(r["node"])
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, g, la, x in rows[:160]:
+        for b, h, lb, y in rows[:160]:
+            if a < b and g == h and (la or lb) and np.dot(x, y) >= threshold * np.linalg.norm(x) * np.linalg.norm(y):
+                parent[root(a)] = root(b)
+    wanted = {}
+    for i in parent:
+        wanted.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(c) for c in wanted.values() if len(c) > 1)
+    assert any(len(c) > 1 for c in wanted.values())
+
+
+def test_merging_rules_of_one_vector(spark):
+    """Copies of one stored rule stay apart unless a learned rule is like them."""
+    schema = (
+        "tenant_id string, document_type string, preference_id string, preference_text string, source_edit_id string, "
+        "vector array<double>, confidence double, application_count long, effectiveness_score double, created_at int"
+    )
+
+    def rule(i, vector, confidence):
+        return (None, "contract", i, f"text {i}", None, vector, confidence, 0, 0.5, 0)
+
+    stored = spark.createDataFrame([rule(f"s{i}", [1.0, 0.0], 0.3) for i in range(50)] + [rule("t", [0.0, 1.0], 0.3), rule("u", [0.0, 1.0], 0.3)], schema)
+    learned = spark.createDataFrame([rule(f"l{i}", [1.0, 0.1], 0.5) for i in range(50)] + [rule("z", [0.0, 0.0], 0.9), rule("y", None, 0.9)], schema)
+    got = {r["preference_id"]: r["preference_text"] for r in preferences.merge_rules(stored, learned).collect()}
+    assert sorted(got) == sorted([*(f"s{i}" for i in range(50)), "t", "u", "z", "y"])
+    assert got["s0"] == "text l0" and got["s1"] == "text s1" and got["t"] == "text t"
