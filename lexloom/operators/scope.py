@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import postings
+
 ANY_TENANT = object()
 
 
@@ -62,6 +64,29 @@ def search_documents(
     return joined.where(hit).orderBy(F.desc("created_at"), "document_id").limit(limit)
 
 
+SEARCHED = ["filename", "document_type", "ocr_text"]
+
+
+def search_index(documents: DataFrame, extractions: DataFrame, folder: str) -> None:
+    """Posting lists over name, type and text of all documents, deleted ones included."""
+    joined = documents.join(extractions.select("document_id", "ocr_text"), "document_id", "left")
+    postings.write_index(joined, SEARCHED, folder)
+
+
+def search_many(
+    documents: DataFrame, extractions: DataFrame, queries: DataFrame, folder: str, tenant: str | None = None, limit: int = 20
+) -> DataFrame:
+    """``search_documents`` for many queries (query_id, query) over the lists in ``folder``, with the rank in each."""
+    rows = live(documents)
+    if tenant is not None:
+        rows = rows.where(F.col("tenant_id") == tenant)
+    joined = rows.join(extractions.select("document_id", "ocr_text"), "document_id", "left")
+    found = postings.search(documents.sparkSession, folder, joined, SEARCHED, queries)
+    newest = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "document_id")
+    ranked = found.join(rows.select("document_id", "created_at"), "document_id").withColumn("rank", F.row_number().over(newest))
+    return ranked.where(F.col("rank") <= limit).select("query_id", "document_id", "rank")
+
+
 def review_fields(extractions: DataFrame) -> DataFrame:
     """Detail view: the fields of each document that need review."""
     return extractions.select(

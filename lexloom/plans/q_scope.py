@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import fixed_values as fv
 from lexloom.operators import analytics, preferences, scope
 from lexloom.plans.registry import query
+from lexloom.session import shared_folder
 
 
 def _text_time(df, *names):
@@ -63,6 +64,32 @@ def keyword_search(t):
     return found.select("document_id", "filename")
 
 
+_SEARCHES = [
+    "tion_the", "THE", "th", "a", "%", "", "_e_", "und%der", "zzzz", "contract", "affidavit", "e%t%h", "100%", "ü", "ÜB",
+    "é%s", "la ", "MACH", "with the%and the", "ein_", "\\%", "doc",
+]
+
+
+@query(
+    "F2", ("docs", "extractions"),
+    f"""WITH q AS (SELECT unnest([{', '.join("'" + q + "'" for q in _SEARCHES)}]) AS q),
+         f AS (SELECT q, d.document_id, row_number() OVER (PARTITION BY q ORDER BY created_at DESC, d.document_id) AS rank
+           FROM q, docs d LEFT JOIN extractions e ON d.document_id = e.document_id
+           WHERE deleted_at IS NULL AND (filename ILIKE concat('%', q, '%') ESCAPE '\\' OR document_type ILIKE concat('%', q, '%') ESCAPE '\\'
+             OR ocr_text ILIKE concat('%', q, '%') ESCAPE '\\'))
+       SELECT q AS query_id, document_id, rank FROM f WHERE rank <= 20""",
+)
+def indexed_keyword_search(t):
+    """Many patterns at once, with wildcards, short and non-ASCII ones, over trigram posting lists."""
+    folder = shared_folder(t.spark, "postings")
+    texts = t.spread("extractions")
+    docs = t.spread("docs")
+    scope.search_index(docs, texts, folder)
+    queries = t.spark.createDataFrame([(q, q) for q in _SEARCHES], "query_id string, query string")
+    found = scope.search_many(docs, texts, queries, folder)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "F3 J1 S10", ("docs", "extractions"),
     """SELECT d.document_id, status, CAST(length(ocr_text) AS BIGINT) AS text_length
