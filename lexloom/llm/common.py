@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,6 +38,17 @@ _caches: dict[str, dict] = {}
 _release: threading.Timer | None = None
 
 
+def _emptied(owners: list[str]) -> None:
+    """Drops what these operators keep and gives the pages back to the system."""
+    for owner in owners:
+        _caches.pop(owner, None)
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 @contextmanager
 def worker_cache(owner: str) -> Iterator[dict]:
     """What tasks of one operator keep in a Python worker from task to task.
@@ -45,12 +58,13 @@ def worker_cache(owner: str) -> Iterator[dict]:
     global _release
     if _release is not None:
         _release.cancel()
-    for other in [o for o in _caches if o != owner]:
-        del _caches[other]
+    others = [o for o in _caches if o != owner]
+    if others:
+        _emptied(others)
     try:
         yield _caches.setdefault(owner, {})
     finally:
-        _release = threading.Timer(IDLE_SECONDS, _caches.clear)
+        _release = threading.Timer(IDLE_SECONDS, lambda: _emptied(list(_caches)))
         _release.daemon = True
         _release.start()
 
