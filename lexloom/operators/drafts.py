@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +162,8 @@ def source_block(chunks: DataFrame, key: str = "document_id") -> DataFrame:
     )
 
 
-def section_plan(draft_type: str, document_type: Column, templates: dict | None = None) -> Column:
-    """Section plan of a template as text, with a remark when it was not made for the type."""
+def section_plan(draft_type: str, document_type: Column, draft_date: str, templates: dict | None = None) -> Column:
+    """Section plan of a template as text: whether it was made for the type, its defaults, and what each section asks for."""
     found = (templates or fv.DRAFT_TEMPLATES).get(draft_type)
     if not found:
         return F.lit("DRAFT TEMPLATE: none; follow the requested draft type.")
@@ -169,13 +171,39 @@ def section_plan(draft_type: str, document_type: Column, templates: dict | None
     fits = document_type.isin(*types) if types else F.lit(True)
     head = F.concat(
         F.lit(f"DRAFT TEMPLATE: {draft_type}. "),
-        F.when(fits, F.concat(F.lit("Meant for "), document_type)).otherwise(
-            F.concat(F.lit("Not listed for "), document_type)
+        F.when(fits, F.concat(F.lit("Applicable to "), document_type, F.lit("."))).otherwise(
+            F.concat(F.lit("Not listed for "), document_type, F.lit("; use it as well as it fits."))
         ),
-        F.lit("."),
     )
-    plan = [f"- {t} ({'required' if r else 'optional'})" for _, t, r, _ in sections]
-    return F.concat_ws("\n", head, F.lit("Section plan:"), *[F.lit(p) for p in plan])
+    lines = []
+    if defaults := fv.TEMPLATE_DEFAULTS.get(draft_type):
+        given = {k: draft_date if v is None else v for k, v in defaults.items()}
+        lines.append(f"Defaults: {json.dumps(given)}")
+    lines.append("Section plan:")
+    asked = fv.SECTION_INSTRUCTIONS.get(draft_type, {})
+    lines += [f"- {t} ({'required' if r else 'optional'}): {asked.get(k, '')}" for k, t, r, _ in sections]
+    return F.concat_ws("\n", head, *[F.lit(line) for line in lines])
+
+
+def draft_instructions(draft_type: str, document_type: Column) -> Column:
+    """What a draft type asks for besides its template, for this type of document."""
+    found = [
+        F.lit(f"- {text}") if kind is None else F.when(document_type == kind, F.lit(f"- {text}"))
+        for draft, kind, text in fv.DRAFT_INSTRUCTIONS
+        if draft == draft_type
+    ]
+    if not found:
+        return F.lit("INSTRUCTIONS: follow the requested draft type.")
+    return F.concat_ws("\n", F.lit("INSTRUCTIONS:"), *found)
+
+
+def memo_rules(draft_type: str, draft_date: str) -> str | None:
+    """Template metadata that stands in a draft without a source."""
+    defaults = fv.TEMPLATE_DEFAULTS.get(draft_type)
+    if not defaults:
+        return None
+    lines = [f"- {key.upper()}: {draft_date if value is None else value}" for key, value in defaults.items()]
+    return "\n".join(["TEMPLATE RULES (metadata, not facts of the document; never mark it unsupported):", *lines])
 
 
 def prompts(documents: DataFrame, draft_type: str, draft_date: str) -> DataFrame:
@@ -183,29 +211,30 @@ def prompts(documents: DataFrame, draft_type: str, draft_date: str) -> DataFrame
 
     ``documents`` carries document_type, fields_json, terms_block, conflicts_block, source_block,
     preferences (array of rules) and examples (array of original/edited pairs). The date is a
-    parameter, so a rerun gives the same text.
+    parameter, so a rerun gives the same text. Parts that are empty or null leave no line.
     """
     rules = F.transform("preferences", lambda p: F.concat(F.lit("- "), p))
     learned = F.when(
         F.size("preferences") > 0,
         F.concat(F.lit("PREFERENCES LEARNED FROM EDITS:\n"), F.array_join(rules, "\n")),
-    ).otherwise("")
-    shown = F.array_join(
-        F.transform(
-            "examples",
-            lambda e: F.concat(
-                F.lit("EXAMPLE\n[ORIGINAL]\n"), e["original"], F.lit("\n[EDITED]\n"), e["edited"]
-            ),
-        ),
-        "\n\n",
     )
+    shown = F.transform(
+        "examples",
+        lambda e: F.concat(F.lit("EXAMPLE\n[ORIGINAL]\n"), e["original"], F.lit("\n[EDITED]\n"), e["edited"]),
+    )
+    fixed = [
+        f"Write a {draft_type} from the given sources only, in formal legal style.",
+        "Cite every fact as [Page N] or [Page N - Section Title].",
+        "Where the sources are silent write [UNSUPPORTED: reason]; general knowledge fills no gaps.",
+        f"Date the draft {draft_date}. Do not invent filing, review, or memo dates.",
+        'Repair scanning errors only where the term is clear, as in "Landmark Credit Union" for "Iandmark Credit Union".',
+        *filter(None, [memo_rules(draft_type, draft_date)]),
+    ]
     system = F.concat_ws(
         "\n",
-        F.lit(f"Write a {draft_type} from the given sources only, dated {draft_date}."),
-        F.lit("Cite every fact as [Page N] or [Page N - Section Title]."),
-        F.lit("Where the sources are silent write [UNSUPPORTED: reason]."),
+        *[F.lit(line) for line in fixed],
         learned,
-        shown,
+        F.nullif(F.array_join(shown, "\n\n"), F.lit("")),
         F.lit("Answer in JSON: sections of key, title, content, evidence_chunk_ids, confidence."),
     )
     kind = F.coalesce("document_type", F.lit("unknown"))
@@ -214,9 +243,10 @@ def prompts(documents: DataFrame, draft_type: str, draft_date: str) -> DataFrame
         F.concat(F.lit("DOCUMENT TYPE: "), kind),
         F.lit(f"DRAFT DATE: {draft_date}"),
         F.concat(F.lit("FIELDS: "), F.col("fields_json")),
-        F.col("terms_block"),
-        F.col("conflicts_block"),
-        section_plan(draft_type, kind),
+        F.nullif("terms_block", F.lit("")),
+        F.nullif("conflicts_block", F.lit("")),
+        draft_instructions(draft_type, kind),
+        section_plan(draft_type, kind, draft_date),
         F.concat(F.lit("SOURCES:\n---\n"), F.coalesce("source_block", F.lit("")), F.lit("\n---")),
     )
     return documents.select("document_id", system.alias("system_prompt"), user.alias("user_prompt"))

@@ -13,7 +13,7 @@ from lexloom.operators.sections import text_lines
 
 
 def rule_hit(line: Column, rule: tuple) -> Column:
-    _, _, patterns, exempt = rule
+    _, _, patterns, exempt, *_ = rule
     hit = reduce(lambda a, b: a | b, [line.rlike(p) for p in patterns])
     for literal in exempt:
         hit = hit & ~line.contains(literal)
@@ -23,8 +23,10 @@ def rule_hit(line: Column, rule: tuple) -> Column:
 def scan_lines(
     df: DataFrame, key: str, text: str = "text", rules: list[tuple] | None = None
 ) -> DataFrame:
-    """Findings (key, line_no from 1, severity, issue), each once. Rules are constants of the plan;
-    only findings are shuffled."""
+    """Findings (key, line_no from 1, severity, issue, suggested_fix, frameworks, urgency), each once.
+
+    Rules are constants of the plan; only findings are shuffled.
+    """
     rules = rules or fv.LINE_RULES
     line = F.col("line")
     found = F.array_compact(
@@ -32,7 +34,13 @@ def scan_lines(
             *[
                 F.when(
                     rule_hit(line, r),
-                    F.struct(F.lit(r[0]).alias("severity"), F.lit(r[1]).alias("issue")),
+                    F.struct(
+                        F.lit(r[0]).alias("severity"),
+                        F.lit(r[1]).alias("issue"),
+                        F.lit(r[4]).alias("suggested_fix"),
+                        F.array(*[F.lit(f) for f in r[5]]).alias("frameworks"),
+                        F.lit(r[6]).alias("urgency"),
+                    ),
                 )
                 for r in rules
             ]

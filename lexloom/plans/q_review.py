@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import fixed_values as fv
 from lexloom.functions.text import clean_reply, round_even
 from lexloom.operators import (
     analytics, confidence, drafts, evaluate, extract, grounding, preferences, review, validate,
@@ -632,12 +633,60 @@ def drafts_after_edits(t):
     return drafts.apply_section_edits(made, asked)[2]
 
 
-@query("R10 T3")
-def draft_prompts(t):
-    """Prompts of all documents with their whole text as the one source."""
+_PROMPT_DATE = "March 1, 2024"
+
+
+def _prompt_sql(draft: str, types: dict[str, str]) -> str:
+    """The prompts spelled out: constant lines around what comes from the row."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    applicable, sections = fv.DRAFT_TEMPLATES[draft]
+    memo = draft == "internal_memo"
+    system = [
+        f"Write a {draft} from the given sources only, in formal legal style.",
+        "Cite every fact as [Page N] or [Page N - Section Title].",
+        "Where the sources are silent write [UNSUPPORTED: reason]; general knowledge fills no gaps.",
+        f"Date the draft {_PROMPT_DATE}. Do not invent filing, review, or memo dates.",
+        'Repair scanning errors only where the term is clear, as in "Landmark Credit Union" for "Iandmark Credit Union".',
+    ]
+    if memo:
+        system.append("TEMPLATE RULES (metadata, not facts of the document; never mark it unsupported):")
+        system += ["- TO: Senior Partner", "- FROM: Legal Document Analyst", f"- DATE: {_PROMPT_DATE}"]
+    system.append("PREFERENCES LEARNED FROM EDITS:\n")
+    answer = "\nAnswer in JSON: sections of key, title, content, evidence_chunk_ids, confidence."
+    plan = [f'Defaults: {{"to": "Senior Partner", "from": "Legal Document Analyst", "date": "{_PROMPT_DATE}"}}'] if memo else []
+    plan.append("Section plan:")
+    plan += [f"- {t} ({'required' if r else 'optional'}): {fv.SECTION_INSTRUCTIONS[draft][k]}" for k, t, r, _ in sections]
+    header = "The memo header should use TO: Senior Partner, FROM: Legal Document Analyst, and the provided DRAFT DATE."
+    claims = fv.DRAFT_INSTRUCTIONS[0][2]
+    if memo:
+        asked = f"concat({text('INSTRUCTIONS:')}, CASE WHEN kind = 'legal_complaint' THEN {text(chr(10) + '- ' + claims)} ELSE '' END, {text(chr(10) + '- ' + header)})"
+    else:
+        asked = text("INSTRUCTIONS: follow the requested draft type.")
+    kinds = ", ".join(text(k) for k in applicable)
+    cases = " ".join(f"WHEN lang = '{lang}' THEN '{kind}'" for lang, kind in types.items())
+    return f"""
+      WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lang, source, text, CASE {cases} ELSE 'legal_notice' END AS kind FROM documents),
+      f AS (SELECT *, concat('{{', array_to_string(list_filter([CASE WHEN lang IS NOT NULL THEN concat('"lang":"', lang, '"') END,
+              CASE WHEN source IS NOT NULL THEN concat('"source":"', source, '"') END], lambda x: x IS NOT NULL), ','), '}}') AS fields FROM d)
+      SELECT document_id,
+        concat({text(chr(10).join(system))}, CASE WHEN lang IS NOT NULL THEN concat('- Write in ', lang) ELSE '' END, {text(answer)}) AS system_prompt,
+        concat('DOCUMENT TYPE: ', kind, {text(f"{chr(10) * 2}DRAFT DATE: {_PROMPT_DATE}{chr(10) * 2}FIELDS: ")}, fields, {text(chr(10) * 2)},
+          {asked}, {text(f"{chr(10) * 2}DRAFT TEMPLATE: {draft}. ")},
+          CASE WHEN kind IN ({kinds}) THEN concat('Applicable to ', kind, '.')
+               ELSE concat('Not listed for ', kind, '; use it as well as it fits.') END,
+          {text(chr(10) + chr(10).join(plan) + chr(10) * 2 + "SOURCES:" + chr(10) + "---" + chr(10))},
+          coalesce('[Chunk 1 | Page 1 | ] ' || document_id || chr(10) || text, ''), {text(chr(10) + "---")}) AS user_prompt
+      FROM f"""
+
+
+def _prompted(t, draft: str, types: dict[str, str]):
+    kind = F.coalesce(*[F.when(F.col("lang") == lang, kind) for lang, kind in types.items()], F.lit("legal_notice"))
     docs = t.documents.select(
         F.col("doc_id").cast("string").alias("document_id"),
-        F.when(F.col("lang") == "en", "contract").otherwise("legal_notice").alias("document_type"),
+        kind.alias("document_type"),
         F.to_json(F.struct("lang", "source")).alias("fields_json"),
         F.lit("").alias("terms_block"),
         F.lit("").alias("conflicts_block"),
@@ -650,7 +699,19 @@ def draft_prompts(t):
         F.col("doc_id").cast("string").alias("chunk_id"), "text",
     )
     block = drafts.source_block(selected)
-    return drafts.prompts(docs.join(block, "document_id", "left"), "contract_summary", "March 1, 2024")
+    return drafts.prompts(docs.join(block, "document_id", "left"), draft, _PROMPT_DATE)
+
+
+@query("R10 T3", (), _prompt_sql("contract_summary", {"en": "contract"}))
+def draft_prompts(t):
+    """Prompts of all documents with their whole text as the one source."""
+    return _prompted(t, "contract_summary", {"en": "contract"})
+
+
+@query("R10", (), _prompt_sql("internal_memo", {"en": "legal_complaint", "de": "affidavit"}))
+def memo_prompts(t):
+    """Memo prompts: template metadata, instructions for complaints, a type the template is not listed for."""
+    return _prompted(t, "internal_memo", {"en": "legal_complaint", "de": "affidavit"})
 
 
 # ---- draft quality ------------------------------------------------------------------------------

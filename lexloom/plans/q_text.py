@@ -646,18 +646,20 @@ def conflicts_block(t):
 
 
 def _rule_sql(rule: tuple) -> str:
-    severity, issue, patterns, exempt = rule
+    severity, issue, patterns, exempt, fix, frameworks, urgency = rule
     hit = " OR ".join(f"regexp_matches(line, {_sql_text(p)})" for p in patterns)
     skip = "".join(f" AND NOT contains(line, '{e}')" for e in exempt)
     return (
-        f"SELECT doc_id, line_no, '{severity}' AS severity, '{issue}' AS issue FROM l "
+        f"SELECT doc_id, line_no, '{severity}' AS severity, {_sql_text(issue)} AS issue, {_sql_text(fix)} AS suggested_fix, "
+        f"'{', '.join(frameworks)}' AS frameworks, '{urgency}' AS urgency FROM l "
         f"WHERE ({hit}){skip}"
     )
 
 
 _CHECKABLE_RULES = [r for r in [*fv.LINE_RULES, fv.UNQUOTED_SECRET_RULE] if "(?=" not in r[2][0]]
 _ALG_SQL = (
-    "SELECT doc_id, line_no, 'CRITICAL', 'unsigned token algorithm' FROM l "
+    f"SELECT doc_id, line_no, 'CRITICAL', {_sql_text(fv.LINE_RULES[1][1])}, {_sql_text(fv.LINE_RULES[1][4])}, "
+    f"'{', '.join(fv.LINE_RULES[1][5])}', 'before-merge' FROM l "
     "WHERE contains(lower(line), 'alg') AND contains(lower(line), 'none') "
     "AND (contains(lower(line), 'jwt') OR contains(lower(line), 'algorithm'))"
 )
@@ -672,7 +674,7 @@ _ALG_SQL = (
 )
 def line_rule_findings(t):
     found = rules.scan_lines(t.documents, "doc_id", rules=[*fv.LINE_RULES, fv.UNQUOTED_SECRET_RULE])
-    return found.withColumn("line_no", F.col("line_no").cast("long"))
+    return found.withColumn("line_no", F.col("line_no").cast("long")).withColumn("frameworks", F.array_join("frameworks", ", "))
 
 
 # ---- sections -----------------------------------------------------------------------------------

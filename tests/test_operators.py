@@ -315,3 +315,52 @@ def test_merging_rules_of_one_vector(spark):
     got = {r["preference_id"]: r["preference_text"] for r in preferences.merge_rules(stored, learned).collect()}
     assert sorted(got) == sorted([*(f"s{i}" for i in range(50)), "t", "u", "z", "y"])
     assert got["s0"] == "text l0" and got["s1"] == "text s1" and got["t"] == "text t"
+
+
+def test_prompts_carry_template_metadata_and_instructions(spark):
+    from lexloom.operators import drafts
+
+    schema = (
+        "document_id string, document_type string, fields_json string, terms_block string, conflicts_block string, source_block string, "
+        "preferences array<string>, examples array<struct<original:string,edited:string>>"
+    )
+    rows = [
+        ("a", "legal_complaint", "{}", "", None, "source", [], []),
+        ("b", None, "{}", "TERMS", "CONFLICTS", None, ["be brief"], [("old", "new")]),
+        ("c", "invoice", "{}", "", "", "", [], []),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    memo = {r["document_id"]: r for r in drafts.prompts(docs, "internal_memo", "May 2, 2024").collect()}
+    for r in memo.values():
+        for part in ("Do not invent filing, review, or memo dates", "Landmark Credit Union", "TO: Senior Partner", "FROM: Legal Document Analyst"):
+            assert part in r["system_prompt"]
+        assert "May 2, 2024" in r["system_prompt"] and '"date": "May 2, 2024"' in r["user_prompt"]
+        assert "- IV. Claims Asserted (required): Enumerate each count" in r["user_prompt"]
+    assert "enumerate each cause of action" in memo["a"]["user_prompt"] and "statute or legal basis" in memo["a"]["user_prompt"]
+    assert "enumerate each cause of action" not in memo["b"]["user_prompt"]
+    assert "Applicable to unknown." in memo["b"]["user_prompt"] and "Not listed for invoice" in memo["c"]["user_prompt"]
+    assert "- be brief" in memo["b"]["system_prompt"] and "[EDITED]\nnew" in memo["b"]["system_prompt"]
+    assert "TERMS\n\nCONFLICTS" in memo["b"]["user_prompt"] and "\n\n\n" not in memo["a"]["user_prompt"]
+    plain = drafts.prompts(docs, "settlement_offer", "May 2, 2024").first()
+    assert "DRAFT TEMPLATE: none" in plain["user_prompt"] and "Senior Partner" not in plain["system_prompt"]
+
+
+def test_line_rules_name_fix_and_frameworks(spark):
+    from lexloom.operators import rules
+
+    lines = [
+        'api_key = "AIzaSyAAAAAAAAAAAAAAAAAAAAAAAAAAAA"',
+        'raw_sql = f"SELECT * FROM users WHERE id = {user_id}"',
+        'jwt_options = {"alg": "none"}',
+        'logger.info("token %s", token)',
+        'response = requests.get("https://example.test", verify=False)',
+        'password = os.getenv("secret_token_0123456789")',
+    ]
+    df = spark.createDataFrame([("f", "\n".join(lines))], "file string, text string")
+    found = sorted(rules.scan_lines(df, "file").collect(), key=lambda r: r["line_no"])
+    assert [(r["line_no"], r["severity"], r["urgency"]) for r in found] == [
+        (1, "CRITICAL", "before-merge"), (2, "CRITICAL", "before-merge"), (3, "CRITICAL", "before-merge"),
+        (4, "WARN", "within-sprint"), (5, "WARN", "within-sprint"),
+    ]
+    assert "hardcoded secret" in found[0]["issue"] and "SQL injection" in found[1]["issue"]
+    assert all(r["frameworks"] and r["suggested_fix"] for r in found)
