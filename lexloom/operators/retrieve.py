@@ -5,20 +5,21 @@ Two shapes of work:
 * *inside a document* - queries meet the chunks of their own document in an equi join; each pair is
   scored in its row. The join is skew-split by AQE, and ``row_number <= k`` keeps k rows per task
   before the shuffle (WindowGroupLimit), so a document of any size never sits in one task whole.
-* *whole corpus* - the queries travel to the chunks in blocks of bounded size; every task keeps exactly
-  its best k per query, so only that many candidates are shuffled.
+* *whole corpus* - queries and chunks meet by (list, block of queries, part of the list); every task
+  keeps exactly its best k per query, so only that many candidates are shuffled. Without an index all
+  chunks are one list; with one, lists whose bound is below a query's k-th score are skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ from lexloom.functions.hashing import (
     as_map, query_text, sparse_dot, sparse_embedding, squared_norm,
 )
 from lexloom.functions.text import join_expansion, round_even
+from lexloom.session import cut_lineage
 
 BLOCK_QUERIES = 2000
 
@@ -158,51 +160,178 @@ def _first_k(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -score[places]))]
 
 
-def _task_top_k(queries: list[tuple[str, dict[int, int], int]], k: int):
-    """The best k of a task per query; no more than that is held or sent on."""
-    matrix = np.zeros((fv.EMBEDDING_DIMENSIONS, len(queries)))
-    for j, (_, vec, _) in enumerate(queries):
-        matrix[list(vec), j] = list(vec.values())
-    qnorm = np.array([float(q[2]) for q in queries])
+class _Asked:
+    """The queries of one key and the best k chunks of each so far."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.vectors: dict[str, tuple[np.ndarray, float]] = {}
+        self.matrix: np.ndarray | None = None
+
+    def add(self, names: list[str], vectors: np.ndarray, norm2: np.ndarray) -> None:
+        for name, vector, n in zip(names, vectors, norm2):
+            self.vectors.setdefault(name, (vector, n))  # a task may have the queries once for each of its salts
+
+    def see(self, names: list[str], vectors: np.ndarray, norm2: np.ndarray) -> None:
+        if not self.vectors:
+            return
+        if self.matrix is None:
+            self.matrix = np.stack([v for v, _ in self.vectors.values()], axis=1)
+            self.norm2 = np.array([n for _, n in self.vectors.values()])
+            self.best = [(np.zeros(0), np.zeros(0, object)) for _ in self.vectors]
+        product = np.outer(norm2, self.norm2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(product > 0, (vectors @ self.matrix) / np.sqrt(product), 0.0)
+        ids = np.array(names, object)
+        for j, (held, known) in enumerate(self.best):
+            mine = _first_k(score[:, j], ids, self.k)
+            both, every = np.concatenate([held, score[mine, j]]), np.concatenate([known, ids[mine]])
+            keep = _first_k(both, every, self.k)
+            self.best[j] = both[keep], every[keep]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for query_id, (held, names) in zip(self.vectors, self.best if self.matrix is not None else ()):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_id] * len(held), pa.string()), pa.array(names, pa.string()), pa.array(held)],
+                names=["query_id", "chunk_id", "score"],
+            )
+
+
+def _best_of_keys(k: int):
+    """The best k of a task per query and key; rows are sorted by (list, block, is_chunk), so queries come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0), np.zeros(0, object)) for _ in queries]
+        key, asked = None, _Asked(k)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            product = np.outer(batch.column("norm2").to_numpy().astype(np.float64), qnorm)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.where(product > 0, (_dense(batch.column("vec"), len(matrix)) @ matrix) / np.sqrt(product), 0.0)
-            ids = np.array(batch.column("chunk_id").to_pylist(), object)
-            for j, (held, names) in enumerate(best):
-                mine = _first_k(score[:, j], ids, k)
-                both, every = np.concatenate([held, score[mine, j]]), np.concatenate([names, ids[mine]])
-                keep = _first_k(both, every, k)
-                best[j] = both[keep], every[keep]
-        for (query_id, _, _), (held, names) in zip(queries, best):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([query_id] * len(held), pa.string()), pa.array(names, pa.string()), pa.array(held)],
-                names=["query_id", "chunk_id", "score"],
-            )
+            parts = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("list", "block", "is_chunk")])
+            edges = [0, *(np.flatnonzero((parts[:, 1:] != parts[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for at, stop in pairwise(edges):
+                if tuple(parts[:2, at]) != key:
+                    yield from asked.found()
+                    key, asked = tuple(parts[:2, at]), _Asked(k)
+                rows = batch.slice(at, stop - at)
+                handle = asked.see if parts[2, at] else asked.add
+                handle(rows.column("id").to_pylist(), _dense(rows.column("vec"), fv.EMBEDDING_DIMENSIONS), rows.column("norm2").to_numpy().astype(np.float64))
+        yield from asked.found()
 
     return run
 
 
-def corpus_top_k(chunks: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _met(chunks: DataFrame, visits: DataFrame, k: int, block: int, rows_a_task: int) -> DataFrame:
+    """At least the best k chunks of its lists per query: (query_id, chunk_id, score).
+
+    ``chunks`` has (list, id, vec, norm2), ``visits`` the same for queries and the lists that they visit. Lists are
+    cut by their counts into parts of about ``rows_a_task`` chunks and blocks of about ``block`` queries; one plan serves
+    any number of either.
+    """
+    load = (
+        visits.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        .join(chunks.groupBy("list").agg(F.ceil(F.count("*") / rows_a_task).alias("salts")), "list")
+    )
+
+    def dealt(df: DataFrame, is_chunk: bool) -> DataFrame:
+        spread, every = ("salts", "blocks") if is_chunk else ("blocks", "salts")
+        one, all_of = F.pmod(F.xxhash64("id"), F.col(spread)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(every) - 1))
+        block_no, salt = (all_of, one) if is_chunk else (one, all_of)
+        return df.join(load, "list").select("list", block_no.alias("block"), salt.alias("salt"), F.lit(is_chunk).alias("is_chunk"), "id", "vec", "norm2")
+
+    rows = dealt(visits, False).unionByName(dealt(chunks, True))
+    rows = rows.repartition("list", "block", "salt").sortWithinPartitions("list", "block", "is_chunk")
+    return rows.mapInArrow(_best_of_keys(k), _SCORED)
+
+
+def _slim(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("chunk_id").cast("string").alias("id"), "vec", F.coalesce("norm2", F.lit(0)).cast("double").alias("norm2"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").cast("string").alias("id"), F.col("qvec").alias("vec"), F.coalesce("qnorm2", F.lit(0)).cast("double").alias("norm2"))
+
+
+def corpus_top_k(chunks: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES, rows_a_task: int = 200_000) -> DataFrame:
     """Best k chunks of the whole corpus per query: (query_id, chunk_id, score, rank).
 
-    All pairs are scored whatever the number of queries: they stream through the driver in blocks, and
-    each block is one pass over the chunks. A pair without a common dimension scores 0.0.
+    All pairs are scored whatever the number of queries, block by block of them; a task sends k rows per
+    query at most. A pair without a common dimension scores 0.0.
     """
-    slim = chunks.select("chunk_id", "vec", "norm2")
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "qvec", "qnorm2")
-    scored = slim.sparkSession.createDataFrame([], _SCORED)
-    rows = ((r["query_id"], {e["dim"]: e["w"] for e in r["qvec"] or ()}, r["qnorm2"] or 0) for r in asked.toLocalIterator())
-    while block := list(islice(rows, block_queries)):
-        scored = scored.unionByName(slim.mapInArrow(_task_top_k(block, k), _SCORED))
+    one = F.lit(0).alias("list")
+    scored = _met(_slim(chunks).select(one, "*"), _asked(queries).select(one, "*"), k, block_queries, rows_a_task)
     return top_k(scored, ["query_id"], k, None, ["chunk_id"])
 
 
+def _around_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their angles to the pivots; the last place stands for zero vectors. The first row of a task brings the pivots."""
+    pivots = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if pivots is None:
+            given = batch.column("pivots").slice(0, 1).flatten()
+            pivots = _dense(given, fv.EMBEDDING_DIMENSIONS)
+            pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), np.finfo(float).tiny)
+        x = _dense(batch.column("vec"), fv.EMBEDDING_DIMENSIONS)
+        norm = np.linalg.norm(x, axis=1)
+        angles = np.arccos(np.clip((x @ pivots.T) / np.maximum(norm, np.finfo(float).tiny)[:, None], -1, 1))
+        nearest = np.where(norm > 0, angles.argmin(1) if len(pivots) else 0, len(pivots))
+        kept = [batch.column(c) for c in ("id", "vec", "norm2")]
+        columns = [pa.array(nearest, pa.int32()), pa.array(np.append(angles, np.zeros((len(x), 1)), axis=1).tolist(), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*kept, *columns], names=["id", "vec", "norm2", "list", "angles"])
+
+
+def _placed(rows: DataFrame, pivots: Column) -> DataFrame:
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    kind = rows.schema["vec"].dataType.simpleString()
+    out = f"id string, vec {kind}, norm2 double, list int, angles array<double>"
+    return rows.withColumn("pivots", F.when(first, pivots)).mapInArrow(_around_pivots, out)
+
+
+def write_lists(chunks: DataFrame, folder: str, lists: int = 64) -> None:
+    """An index of coarse lists: each chunk in the list of its nearest pivot, with the range of angles of each list.
+
+    Pivots are ``lists`` vectors drawn by digest; zero vectors have a list of their own.
+    """
+    rows = _slim(chunks)
+    drawn = rows.where("norm2 > 0").select("vec").orderBy(F.xxhash64("vec")).limit(lists)
+    spark = chunks.sparkSession
+    drawn.agg(F.collect_list("vec").alias("pivots")).write.parquet(f"{folder}/pivots")  # at most ``lists`` vectors
+    pivots = spark.read.parquet(f"{folder}/pivots").select("pivots").scalar()
+    placed = _placed(rows, pivots).withColumn("angle", F.get("angles", "list")).drop("angles")
+    placed.repartition("list", F.pmod(F.xxhash64("id"), F.lit(64))).write.parquet(f"{folder}/chunks")
+    ranges = spark.read.parquet(f"{folder}/chunks").groupBy("list").agg(
+        F.count("*").alias("n"), F.min("angle").alias("nearest"), F.max("angle").alias("farthest")
+    )
+    ranges.write.parquet(f"{folder}/ranges")
+
+
+def list_top_k(spark: SparkSession, folder: str, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES, rows_a_task: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """``corpus_top_k`` over the lists in ``folder``, and per query how many lists it skipped.
+
+    No chunk of a list can score above the cosine of the least angle that the list's range allows (triangle
+    inequality). A query first visits its most promising lists until they hold k chunks; of the others it
+    then visits those whose bound reaches the k-th score so far. The result is exact.
+    """
+    chunks = spark.read.parquet(f"{folder}/chunks").select("list", "id", "vec", "norm2")
+    ranges = spark.read.parquet(f"{folder}/ranges")
+    pivots = spark.read.parquet(f"{folder}/pivots").select("pivots").scalar()
+    asked = _placed(_asked(queries), pivots).drop("list").select("id", "vec", "norm2", F.posexplode("angles").alias("list", "angle"))
+    zero = (F.col("norm2") == 0) | (F.col("list") == F.size(pivots))
+    least = F.greatest(F.lit(0.0), F.col("angle") - F.col("farthest"), F.col("nearest") - F.col("angle"))
+    bound = F.when(zero, F.lit(0.0)).otherwise(F.cos(least)) + 1e-9
+    order = Window.partitionBy("id").orderBy(F.desc("bound"), "list")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    able = cut_lineage(asked.join(ranges, "list").withColumn("bound", bound).withColumn("sure", before < k).drop("angle", "nearest", "farthest"))
+    columns = ["list", "id", "vec", "norm2"]
+    early = cut_lineage(_met(chunks, able.where("sure").select(*columns), k, block_queries, rows_a_task))
+    kth = top_k(early, ["query_id"], k, None, ["chunk_id"]).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    open_ = able.join(kth, "id", "left").withColumn("visited", F.col("sure") | F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
+    late = _met(chunks, open_.where(F.col("visited") & ~F.col("sure")).select(*columns), k, block_queries, rows_a_task)
+    best = top_k(early.unionByName(late), ["query_id"], k, None, ["chunk_id"])
+    skipped = open_.groupBy(F.col("id").alias("query_id")).agg(F.count_if(~F.col("visited")).alias("skipped"), F.count("*").alias("lists"))
+    return best, skipped
+
+
 @F.pandas_udf(T.DoubleType())
 def dense_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
     """Cosine of two dense vectors per row; a zero vector counts as length one."""

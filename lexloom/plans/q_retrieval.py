@@ -9,7 +9,7 @@ from lexloom.functions import hashing
 from lexloom.functions.text import round_even
 from lexloom.operators import chunks, evaluate, retrieve, sections, terms, words
 from lexloom.plans.registry import query
-from lexloom.session import cut_lineage, spread
+from lexloom.session import cut_lineage, shared_folder, spread
 
 # ---- words of a scan ----------------------------------------------------------------------------
 
@@ -291,6 +291,18 @@ def corpus_top_k_in_blocks(t):
     return best.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "K5 J6 R8", (),
+    f"WITH {_CORPUS_SQL} SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10",
+)
+def indexed_corpus_top_k(t):
+    """The same through coarse lists with exact bounds."""
+    folder = shared_folder(t.spark, "lists")
+    retrieve.write_lists(_whole_documents(t), folder, lists=32)
+    best, _ = retrieve.list_top_k(t.spark, folder, _benchmark_queries(t), 10, block_queries=64)
+    return best.withColumn("rank", F.col("rank").cast("long"))
+
+
 _LINE_CHUNKS = """
   lines AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(string_split(text, chr(10))) AS text,
       CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS chunk_index, lang

@@ -183,6 +183,39 @@ def test_corpus_paths_agree(spark):
     assert {tuple(r) for r in a} == {tuple(r) for r in b}
 
 
+@pytest.mark.parametrize("k, lists", [(3, 12), (7, 4), (500, 3)])
+def test_lists_give_the_exact_top_k(spark, tmp_path, k, lists):
+    """Clustered vectors, ties, zero vectors; most lists are skipped where few neighbours are asked for."""
+    rng = random.Random(k)
+    rows = []
+    for i in range(400):
+        base = i % 8
+        vec = {base * 40 + d: rng.randint(20, 30) for d in range(6)} | {300 + rng.randint(0, 30): rng.randint(-2, 2)}
+        vec = {d: w for d, w in vec.items() if w} if i % 50 else {}
+        rows.append((f"c{i:03d}", [(d, w) for d, w in sorted(vec.items())], sum(w * w for w in vec.values())))
+    rows += [(f"t{i}", rows[7][1], rows[7][2]) for i in range(9)]
+    kind = "array<struct<dim:int,w:int>>"
+    chunks = spark.createDataFrame(rows, f"chunk_id string, vec {kind}, norm2 long").repartition(4)
+    asked = [(f"q{i}", rows[i][1], rows[i][2]) for i in (3, 7, 60, 0)]
+    queries = spark.createDataFrame(asked, f"query_id string, qvec {kind}, qnorm2 long")
+    retrieve.write_lists(chunks, str(tmp_path / "lists"), lists)
+    best, skipped = retrieve.list_top_k(spark, str(tmp_path / "lists"), queries, k, block_queries=2, rows_a_task=60)
+    flat = retrieve.corpus_top_k(chunks, queries, k, block_queries=3, rows_a_task=100)
+    wanted = set()
+    for q, qv, qn in asked:
+        scored = []
+        for c, cv, cn in rows:
+            dot = sum(w * dict(cv).get(d, 0) for d, w in qv)
+            scored.append((-(dot / (qn * cn) ** 0.5 if qn and cn else 0.0), c))
+        wanted |= {(q, c, r + 1) for r, (_, c) in enumerate(sorted(scored)[:k])}
+    for found in (best, flat):
+        assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in found.collect()} == wanted
+    counts = {r["query_id"]: (r["skipped"], r["lists"]) for r in skipped.collect()}
+    assert set(counts) == {"q3", "q7", "q60", "q0"} and counts["q0"][0] == 0
+    if (k, lists) == (3, 12):
+        assert counts["q7"][0] > 0
+
+
 def test_effectiveness(spark):
     prefs = spark.createDataFrame([("p", 0.5), ("q", 0.95)], "preference_id string, effectiveness_score double")
     reviews = spark.createDataFrame(
