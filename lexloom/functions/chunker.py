@@ -33,8 +33,10 @@ _GAP = re.compile(r"(?<=[.!?])\s+")
 _NUMBERED = re.compile(fv.NUMBERED_HEADER, re.IGNORECASE)
 _NAMED = re.compile(fv.NAMED_HEADER, re.IGNORECASE)
 _CAPITALS = re.compile(r"[A-Z]{4,}")
-_COURT_MARK = re.compile(fv.COURT_PAGE_MARKER, re.IGNORECASE)
-_PAGE_MARK = re.compile(fv.PAGE_MARKER, re.IGNORECASE)
+_PAGE_WORD = re.compile(r"\bPage\s+(?=\d)", re.IGNORECASE)
+_COURT_PAGE = re.compile(r"\bPage\s+(\d{1,4})\s+Case", re.IGNORECASE)
+_DIGITS = re.compile(r"\d+")
+_WORD_CHARACTER = re.compile(r"\w")
 _LAST_TOKEN = re.compile(r"[A-Za-z]{1,10}\.\Z")
 _ABBREVIATIONS = frozenset(fv.ABBREVIATIONS)
 _LOOKAHEAD = 160
@@ -67,37 +69,43 @@ def _section_spans(text: str) -> list[tuple[str | None, int, int]]:
 
 
 class _Page:
-    """Page number at any offset: form feeds against printed page marks."""
+    """Page number at any offset: form feeds against printed page marks, of which those before a case number win.
+
+    Only the text before the offset counts, so a mark that the offset cuts reads as its first digits, and a
+    number of five digits is a mark as long as one to four of them are seen. Each mark gives the offsets
+    at which it counts; a lookup is a binary search in these.
+    """
 
     def __init__(self, text: str) -> None:
-        self.feeds = [i for i, c in enumerate(text) if c == "\f"]
         self.text = text
-        self.court = self._marks(_COURT_MARK)
-        self.plain = self._marks(_PAGE_MARK)
-
-    def _marks(self, pattern: re.Pattern) -> tuple[list[int], list[int]]:
-        hits = list(pattern.finditer(self.text))
-        return [m.end() for m in hits], [int(m.group(1)) for m in hits]
+        self.feeds = [i for i, c in enumerate(text) if c == "\f"]
+        self.digits: list[tuple[int, int]] = []  # where the digits of a mark begin, and up to where they are one
+        self.kept: list[tuple[int, int]] = []  # (from this offset on, page)
+        for m in _PAGE_WORD.finditer(text):
+            at = m.end()
+            stop = _DIGITS.match(text, at).end()
+            self.digits.append((at, min(stop, at + 4)))
+            if stop - at <= 4 and not _WORD_CHARACTER.match(text, stop):
+                self.kept.append((stop, int(text[at:stop])))
+        self.court: list[tuple[int, int]] = []
+        self.court_cut: dict[int, int] = {}
+        for m in _COURT_PAGE.finditer(text):
+            if _WORD_CHARACTER.match(text, m.end()):
+                self.court_cut[m.end()] = int(m.group(1))  # a longer word that the offset cuts
+            else:
+                self.court.append((m.end(), int(m.group(1))))
 
     def _printed(self, offset: int) -> int:
-        for ends, numbers in (self.court, self.plain):
-            seen = bisect_right(ends, offset)
-            # A mark cut by the offset may still read as a shorter one.
-            tail = self._cut_mark(ends, offset, seen, _COURT_MARK if ends is self.court[0] else _PAGE_MARK)
-            if tail is not None:
-                return tail
-            if seen:
-                return numbers[seen - 1]
-        return 1
-
-    def _cut_mark(self, ends, offset, seen, pattern) -> int | None:
-        if seen == len(ends) or ends[seen] - offset > 40:
-            return None
-        low = ends[seen - 1] if seen else 0
-        found = None
-        for m in pattern.finditer(self.text[max(low, offset - 64) : offset]):
-            found = int(m.group(1))
-        return found
+        if offset in self.court_cut:
+            return self.court_cut[offset]
+        seen = bisect_right(self.court, offset, key=lambda mark: mark[0])
+        if seen:
+            return self.court[seen - 1][1]
+        cut = bisect_left(self.digits, offset, key=lambda mark: mark[0])
+        if cut and offset <= self.digits[cut - 1][1]:
+            return int(self.text[self.digits[cut - 1][0] : offset])
+        seen = bisect_right(self.kept, offset, key=lambda mark: mark[0])
+        return self.kept[seen - 1][1] if seen else 1
 
     def at(self, offset: int) -> int:
         return max(bisect_left(self.feeds, offset) + 1, self._printed(offset))

@@ -15,26 +15,36 @@ from lexloom.functions import fixed_values as fv
 def _window_similarity(codes: np.ndarray, keyword: str) -> np.ndarray:
     """Indel similarity (0-100) of the keyword with every window of its length.
 
-    The longest common subsequence of all windows is found at once, one bit per keyword character.
+    The longest common subsequence of all windows is found at once, one bit per keyword character, in as
+    many 64-bit words as the keyword takes; sums carry from word to word.
     """
     size = len(keyword)
     starts = np.arange(0, len(codes) - size + 1, max(1, size // 2))
-    if starts.size == 0:
+    if starts.size == 0 or not size:
         return np.empty(0)
-    full = np.uint64((1 << size) - 1)
     masks: dict[int, int] = {}
     for i, ch in enumerate(keyword):
         masks[ord(ch)] = masks.get(ord(ch), 0) | (1 << i)
     keys = np.array(sorted(masks), dtype=codes.dtype)
-    values = np.array([masks[k] for k in sorted(masks)], dtype=np.uint64)
     slot = np.searchsorted(keys, codes).clip(0, len(keys) - 1)
-    char_mask = np.where(keys[slot] == codes, values[slot], np.uint64(0))
-    state = np.full(starts.size, full, dtype=np.uint64)
+    known = keys[slot] == codes
+    n_words = (size + 63) // 64
+    full = [np.uint64(((1 << size) - 1) >> (64 * w) & 0xFFFFFFFFFFFFFFFF) for w in range(n_words)]
+    state = [np.full(starts.size, f, dtype=np.uint64) for f in full]
+    char_mask = []
+    for w in range(n_words):
+        values = np.array([masks[k] >> (64 * w) & 0xFFFFFFFFFFFFFFFF for k in sorted(masks)], dtype=np.uint64)
+        char_mask.append(np.where(known, values[slot], np.uint64(0)))
     for j in range(size):
-        hit = state & char_mask[starts + j]
-        state = ((state + hit) | (state - hit)) & full
-    common = size - np.bitwise_count(state).astype(np.int64)
-    return 100.0 * common / size
+        carry = np.zeros(starts.size, dtype=np.uint64)
+        for w in range(n_words):
+            old, hit = state[w], state[w] & char_mask[w][starts + j]
+            part = old + hit
+            total = part + carry
+            state[w] = (total | (old & ~hit)) & full[w]
+            carry = ((part < old) | (total < part)).astype(np.uint64)
+    missed = sum(np.bitwise_count(x).astype(np.int64) for x in state)
+    return 100.0 * (size - missed) / size
 
 
 def fuzzy_total(text: str, keywords: list[str]) -> float:

@@ -51,6 +51,53 @@ def test_fuzzy():
     assert fuzzy_total("zzzzzzzzz", ["statement"]) == 0.0
 
 
+@pytest.mark.parametrize("size", [1, 7, 63, 64, 65, 70, 128, 200])
+def test_window_similarity_against_dynamic_program(size):
+    import numpy as np
+
+    from lexloom.functions.fuzzy import _window_similarity
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(size)
+    keyword = "".join(rng.choice("abcdeé") for _ in range(size))
+    changed = "".join(c if rng.random() < 0.8 else rng.choice("xyz") for c in keyword)
+    text = "".join(rng.choice("abcx") for _ in range(size + 5)) + keyword + changed + keyword
+    got = _window_similarity(np.fromiter(map(ord, text), np.int64), keyword)
+    step = max(1, size // 2)
+    wanted = [100.0 * common(keyword, text[i : i + size]) / size for i in range(0, len(text) - size + 1, step)]
+    assert got.tolist() == pytest.approx(wanted)
+    assert fuzzy_total(f"{keyword} and more", [keyword]) == pytest.approx(0.3)
+
+
+def test_page_numbers_against_the_text_before():
+    import re
+
+    from lexloom.functions import fixed_values as fv
+    from lexloom.functions.chunker import _Page
+
+    rng = random.Random(11)
+    parts = ["Page", "page ", " ", "\n", " " * 90, "12", "3", "45678", "of", " of 9", "Case", "Cases ", "- ", "x", "\f", "Page 7 Case", "PAGE 1234 of 20", "Page 5a"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        page = _Page(text)
+        for at in range(len(text) + 1):
+            before, printed = text[:at], None
+            for pattern in (fv.COURT_PAGE_MARKER, fv.PAGE_MARKER):
+                for m in re.finditer(pattern, before, re.IGNORECASE):
+                    printed = int(m.group(1))
+                if printed is not None:
+                    break
+            assert page.at(at) == max(before.count("\f") + 1, printed or 1), (text, at)
+
+
 def test_classifier(spark):
     rows = [
         (1, "This agreement is made whereas the parties hereby agree. Governing law: Ohio."),
