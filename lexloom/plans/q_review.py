@@ -370,7 +370,12 @@ def class_extractors(t):
     "E6", ("legal_texts",),
     """SELECT document_id, signed_on AS effective_date, concat('Buyer ', o_custkey) AS party_a,
          concat('Seller ', c_nationkey) AS party_b, state AS governing_law,
-         concat('$', amount) AS contract_value, concat('the laws of the State of ', state, '; Signer') AS signers
+         concat('$', amount) AS contract_value, concat('$', amount) AS consideration,
+         concat('the laws of the State of ', state, '; Signer') AS signers, 0::BIGINT AS signature_dates,
+         concat('Buyer ', o_custkey, ' (party_a); Seller ', c_nationkey, ' (party_b)') AS parties,
+         NULL::VARCHAR AS termination_date, NULL::VARCHAR AS payment_terms, NULL::VARCHAR AS notice_period,
+         NULL::VARCHAR AS ip_ownership, NULL::VARCHAR AS dispute_resolution, true AS confidential, false AS indemnified,
+         contains(regexp_replace(text, '\\s+', ' ', 'g'), 'Confidential data stay') AS confidential_in_text
        FROM legal_texts WHERE o_orderpriority = '3-MEDIUM'""",
 )
 def contract_class_fields(t):
@@ -380,7 +385,12 @@ def contract_class_fields(t):
     rows = rows.select("document_id", class_fields("text", "contract").alias("f"))
     return rows.select(
         "document_id", "f.effective_date", "f.party_a", "f.party_b", "f.governing_law",
-        "f.contract_value", F.array_join("f.signatures.name", "; ").alias("signers"),
+        "f.contract_value", "f.consideration", F.array_join("f.signatures.name", "; ").alias("signers"),
+        F.size(F.array_compact("f.signatures.date")).cast("long").alias("signature_dates"),
+        F.array_join(F.transform("f.parties", lambda p: F.concat(p["name"], F.lit(" ("), p["role"], F.lit(")"))), "; ").alias("parties"),
+        "f.termination_date", "f.payment_terms", "f.notice_period", "f.ip_ownership", "f.dispute_resolution",
+        F.col("f.confidentiality_clause.present").alias("confidential"), F.col("f.indemnification.present").alias("indemnified"),
+        F.col("f.confidentiality_clause.snippet").contains("Confidential data stay").alias("confidential_in_text"),
     )
 
 
@@ -389,7 +399,11 @@ def contract_class_fields(t):
     """SELECT document_id, concat(c_nationkey, '-', o_custkey) AS case_number, signed_on AS filing_date,
          'Federal question jurisdiction under 28 U.S.C. § 1331' AS jurisdiction,
          'Venue alleged under 28 U.S.C. § 1391' AS venue,
-         concat('I breach of duty ', o_custkey, '; II unjust gain') AS claims, true AS jury_demand
+         concat('I breach of duty ', o_custkey, '; II unjust gain') AS claims, true AS jury_demand,
+         concat('I breach of duty ', o_custkey, '; II unjust gain') AS causes_of_action,
+         rtrim(split_part(text, chr(10), 3), '.') AS case_caption, 'UNITED STATES DISTRICT COURT Civil Actio' AS court,
+         split_part(split_part(text, chr(10), 3), ',', 1) AS plaintiffs, 'BETA HOLDINGS' AS defendants,
+         '28 U.S.C. § 1331; 28 U.S.C. § 1391' AS statutes, '' AS relief_sought
        FROM legal_texts WHERE o_orderpriority = '1-URGENT'""",
 )
 def complaint_class_fields(t):
@@ -399,14 +413,17 @@ def complaint_class_fields(t):
     rows = rows.select("document_id", class_fields("text", "legal_complaint").alias("f"))
     return rows.select(
         "document_id", "f.case_number", "f.filing_date", "f.jurisdiction", "f.venue",
-        F.array_join("f.claims", "; ").alias("claims"), "f.jury_demand",
+        "f.jury_demand", "f.case_caption", "f.court",
+        *[F.array_join(f"f.{n}", "; ").alias(n) for n in ("claims", "causes_of_action", "plaintiffs", "defendants", "statutes", "relief_sought")],
     )
 
 
 @query(
     "E8", ("legal_texts",),
     """SELECT document_id, 'cease_and_desist' AS notice_type, concat('Firm ', c_nationkey) AS issuing_party,
-         signed_on AS response_deadline, concat('stop the sale of lot ', o_custkey) AS actions
+         signed_on AS response_deadline, concat('stop the sale of lot ', o_custkey) AS actions,
+         CASE WHEN signed_on LIKE 'October%' THEN substr(signed_on, 5) ELSE concat('p the sale of lot ', o_custkey, '.') END AS receiving_party, NULL::VARCHAR AS issue_date,
+         NULL::VARCHAR AS jurisdiction, '' AS referenced
        FROM legal_texts WHERE o_orderpriority = '2-HIGH'""",
 )
 def notice_class_fields(t):
@@ -416,7 +433,8 @@ def notice_class_fields(t):
     rows = rows.select("document_id", class_fields("text", "legal_notice").alias("f"))
     return rows.select(
         "document_id", "f.notice_type", "f.issuing_party", "f.response_deadline",
-        F.array_join("f.required_actions", "; ").alias("actions"),
+        F.array_join("f.required_actions", "; ").alias("actions"), "f.receiving_party", "f.issue_date", "f.jurisdiction",
+        F.array_join("f.referenced_documents", "; ").alias("referenced"),
     )
 
 
@@ -424,7 +442,9 @@ def notice_class_fields(t):
     "E9", (),
     """SELECT p_partkey, concat('Brand ', p_size, ' v. Maker') AS case_name, concat(p_size, '-', p_partkey) AS case_number,
          'Whether the sale was void; Whether notice was given' AS legal_issues,
-         concat('42 U.S.C. ', p_size, '; section ', p_partkey) AS cited_statutes
+         concat('42 U.S.C. ', p_size, '; section ', p_partkey) AS cited_statutes,
+         NULL::VARCHAR AS court, NULL::VARCHAR AS jurisdiction, NULL::VARCHAR AS filing_date, NULL::VARCHAR AS decision_date,
+         NULL::VARCHAR AS plaintiff, NULL::VARCHAR AS defendant, NULL::VARCHAR AS holding
        FROM part""",
 )
 def brief_class_fields(t):
@@ -441,12 +461,14 @@ def brief_class_fields(t):
         "p_partkey", "f.case_name", "f.case_number",
         F.array_join("f.legal_issues", "; ").alias("legal_issues"),
         F.array_join("f.cited_statutes", "; ").alias("cited_statutes"),
+        "f.court", "f.jurisdiction", "f.filing_date", "f.decision_date", "f.plaintiff", "f.defendant", "f.holding",
     )
 
 
 @query(
     "E10", ("legal_texts",),
-    """SELECT document_id, 'Person' AS declarant_name, 'Clerk' AS declarant_role, state AS notary_jurisdiction
+    """SELECT document_id, 'Person' AS declarant_name, 'Clerk' AS declarant_role, state AS notary_jurisdiction,
+         'Public' AS notary_name, NULL::VARCHAR AS execution_date, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS statement_summary
        FROM legal_texts WHERE o_orderpriority = '5-LOW'""",
 )
 def affidavit_class_fields(t):
@@ -454,7 +476,7 @@ def affidavit_class_fields(t):
 
     rows = t.spread("legal_texts").where("o_orderpriority = '5-LOW'")
     rows = rows.select("document_id", class_fields("text", "affidavit").alias("f"))
-    return rows.select("document_id", "f.declarant_name", "f.declarant_role", "f.notary_jurisdiction")
+    return rows.select("document_id", "f.declarant_name", "f.declarant_role", "f.notary_jurisdiction", "f.notary_name", "f.execution_date", "f.statement_summary")
 
 
 # ---- model replies and drafts -------------------------------------------------------------------
