@@ -770,6 +770,10 @@ _FIELD_VALUES = {
         "defendants": "['BETA HOLDINGS']",
         "statutes": "['28 U.S.C. § 1331', '28 U.S.C. § 1391']",
         "jury_demand": "'true'",
+        "case_caption": "rtrim(split_part(text, chr(10), 3), '.')",
+        "court": "'UNITED STATES DISTRICT COURT'",
+        "plaintiffs": "[split_part(split_part(text, chr(10), 3), ',', 1)]",
+        "relief_sought": "[]",
     }),
     "unknown": ("o_orderpriority = '4-NOT SPECIFIED'", {
         "inferred_document_type": "NULL",
@@ -839,3 +843,36 @@ def complaint_schema_fields(t):
 @query("E1 E12", ("legal_texts",), _LEGAL_X + _expected_fields("unknown"))
 def unknown_schema_fields(t):
     return _extracted(t, ["unknown"])
+
+
+_BRIEF_VALUES = {
+    "case_name": "concat('Brand ', p_size, ' v. Maker')",
+    "case_number": "concat(p_size, '-', p_partkey)",
+    "court": "concat('Maker Court: Court of Lot ', p_size)",
+    "jurisdiction": "NULL",
+    "legal_issues": "['s: Whether the sale was void?']",
+    "holding": "concat('The sale of lot ', p_partkey, ' was void')",
+    "cited_statutes": "[concat('42 U.S.C. § ', p_size)]",
+}
+
+
+@query(
+    "E1 E2 E12", (),
+    " UNION ALL ".join(
+        f"SELECT CAST(p_partkey AS VARCHAR) AS document_id, '{name}' AS name, "
+        + (f"CAST(NULL AS VARCHAR) AS value, array_to_string({expr}, '; ') AS items" if expr[0] == "[" else f"CAST({expr} AS VARCHAR) AS value, '' AS items")
+        + " FROM part"
+        for name, expr in _BRIEF_VALUES.items()
+    ),
+)
+def brief_schema_fields(t):
+    """All fields of case briefs, one brief for each part."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("Case name: Brand "), size, F.lit(" v. Maker\nCourt: Court of Lot "), size, F.lit("\nDocket no. "), size, F.lit("-"), key,
+        F.lit("\nFiled: March 3, 2020\nLegal issues: Whether the sale was void? Whether notice was given?\n\nHolding: The sale of lot "),
+        key, F.lit(" was void.\n\nUnder 42 U.S.C. § "), size, F.lit("\n"),
+    )
+    briefs = t.part.select(key.alias("document_id"), F.lit("case_brief").alias("document_type"), text.alias("text"))
+    rows = extract.field_rows(extract.extract_fields(briefs), ["document_id", "document_type"])
+    return rows.select("document_id", "name", "value", F.array_join("values", "; ").alias("items"))
