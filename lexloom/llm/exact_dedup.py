@@ -160,12 +160,15 @@ def exact_groups(docs: DataFrame, salts: int = 64, hot_rows: int = 1000) -> Data
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.lit(1).alias("_k"))
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
     normal = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", "")
-    chars = F.coalesce(F.char_length("text"), F.lit(0))
-    twice = Window.partitionBy("_d", "doc_id").orderBy(F.desc("_n"))
-    both = docs.withColumns({"_d": F.sha2(normal, 256), "_n": chars}).join(
-        kept, (F.col("_d") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.sha2(normal, 256).alias("digest"),
+        F.coalesce(F.char_length("text"), F.lit(0)).alias("n"),
     )
-    return both.withColumn("_first", F.row_number().over(twice)).filter("_first = 1").select(*docs.columns)
+    twice = Window.partitionBy("digest", "id").orderBy(F.desc("n"))
+    both = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    return both.withColumn("first", F.row_number().over(twice)).filter("first = 1").select("row.*")

@@ -358,6 +358,8 @@ def similar(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, verif
 
 
 def one_of_each(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, whatever their columns' names."""
     kept = similar(docs, size, num, den).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return rows.join(ids, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

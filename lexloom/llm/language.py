@@ -181,15 +181,16 @@ def labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray
     All texts advance together, longest first, so that each step is one operation on arrays.
     """
     total, langs = scores.shape
-    label = np.zeros(total, np.int8)
+    kind = np.int8 if langs < 128 else np.int16 if langs < 1 << 15 else np.int32
+    label = np.zeros(total, kind)
     if not total:
         return label
     order = np.argsort(-lengths, kind="stable")
     base = (np.cumsum(lengths) - lengths)[order]
     length = lengths[order]
     live = len(order) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
-    came = np.empty((total, langs), np.int8)
-    every = np.arange(langs, dtype=np.int8)
+    came = np.empty((total, langs), kind)
+    every = np.arange(langs, dtype=kind)
     value = np.zeros((len(order), langs), np.float32)
     for t in range(length[0]):
         n = live[t]
@@ -225,7 +226,7 @@ def _label(shared, switch: float, reach: float):
                 label = labels(word_scores(words, model, reach)[words.kind], lengths, switch)
             else:
                 label = np.zeros(len(size), np.int8)
-            share = np.bincount(words.text * max(k, 1) + label, size, n * max(k, 1)).reshape(n, -1)
+            share = np.bincount(words.text * max(k, 1) + label.astype(np.int64), size, n * max(k, 1)).reshape(n, -1)
             pick = share.argmax(1)
             whole = share.sum(1)
             score = np.where(whole > 0, share.max(1) / np.maximum(whole, 1), 0.0)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHING = "row key class n digest host score spans items shard slot kept length token part component chars hits first content head url_ _hits".split()
+CLASHING = "row key class n digest host score spans items shard slot kept length token part component chars hits first content head url_ _hits _d _n _first _digest _id _k _kept kept_id kept_digest id bucket weight rank".split()
 LONG = "lorem ipsum dolor sit amet " * 30_000
 
 
