@@ -118,11 +118,16 @@ def live_state_stream(t):
 
 @query(
     "Z1 Z2 Z3", (),
-    """SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END::BIGINT AS version
+    """SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END::BIGINT AS version,
+         true AS whole, true AS numbered, true AS typed
        FROM documents WHERE trim(text) <> ''""",
 )
 def ingested_documents(t):
-    """All documents arrive in version 1, the English ones again in version 2; the latest counts."""
+    """All documents arrive in version 1, the English ones again in version 2; the latest counts.
+
+    Its stored chunks, read back, cover the text from the first character that is not blank to the last
+    (``whole``) and are numbered without gaps; its type and fields are stored with it.
+    """
     rows = t.documents.select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.explode(F.when(F.col("lang") == "en", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
@@ -134,7 +139,22 @@ def ingested_documents(t):
     source = ingest.read_stream(t.spark, folder, rows.schema, files_per_trigger=4)
     ingest.start_ingestion(source, out, marks).awaitTermination()
     stored = ingest.read_documents(t.spark, out)
-    return stored.select("document_id", F.col("version").cast("long").alias("version"))
+    parts = ingest.read_chunks(t.spark, out).groupBy("document_id", "version").agg(
+        F.min("char_start").alias("first"), F.max("char_end").alias("last"), F.count("*").alias("n"), F.max("chunk_index").alias("top")
+    )
+    inked = t.documents.select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"(?U)^\s+", ""))).alias("begins"),
+        F.length(F.regexp_replace("text", r"(?U)\s+$", "")).alias("ends"),
+    )
+    found = stored.join(parts, ["document_id", "version"]).join(inked, "document_id")
+    return found.select(
+        "document_id",
+        F.col("version").cast("long").alias("version"),
+        ((F.col("first") <= F.col("begins")) & (F.col("last") >= F.col("ends"))).alias("whole"),
+        (F.col("n") == F.col("top") + 1).alias("numbered"),
+        (F.col("document_type").isNotNull() & (F.size("fields") >= 0)).alias("typed"),
+    )
 
 
 @query(
