@@ -271,11 +271,3 @@ def merge_rules(existing: DataFrame, learned: DataFrame, threshold: float = fv.D
             "effectiveness_score": F.when(F.col("stored"), F.col("effectiveness_score")).otherwise(F.lit(fv.DEFAULT_EFFECTIVENESS)),
         }
     ).select(*columns)
-
-
-def learned_rules(edits: DataFrame, replies: DataFrame) -> DataFrame:
-    """Edits worth learning from, joined with the replies that state the rule."""
-    useful = edits.where(~is_trivial_edit("original_content", "edited_content"))
-    return useful.join(replies, "edit_id").where(
-        F.coalesce("preference_text", F.lit("")) != ""
-    )

@@ -21,14 +21,15 @@ def _words(t):
         (F.floor(F.col("word_idx") / 200) + 1).alias("page_number"),
         "word_idx",
         "text",
-        (F.col("word_idx") * 7 % 129 / 128).alias("confidence"),
+        # as an engine gives it: below zero for what it could not read
+        words.scale_confidence((F.col("word_idx") * 7 % 130 - 1) / 128, "fraction").alias("confidence"),
     )
 
 
 _WORDS_SQL = """
   tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w,
             generate_subscripts(regexp_split_to_array(text, '\\s+'), 1) - 1 AS i FROM documents),
-  wd AS (SELECT doc_id, i // 200 + 1 AS page, i, w, CAST(i * 7 % 129 AS DOUBLE) / 128 AS c
+  wd AS (SELECT doc_id, i // 200 + 1 AS page, i, w, greatest(CAST(0 AS DOUBLE), CAST(i * 7 % 130 - 1 AS DOUBLE) / 128) AS c
          FROM tok WHERE w <> ''),
   pg AS (SELECT doc_id, page, string_agg(w, ' ' ORDER BY i) AS text, sum(c) AS s, count(*) AS n
          FROM wd GROUP BY 1, 2),
