@@ -216,7 +216,7 @@ def _label(shared, switch: float, reach: float):
     def run(batches):
         model = shared.value
         langs = np.array([*model.langs, "und"], object)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             texts = batch.column("text")
             words = words_in(texts)
             n, k = words.n_texts, len(model.langs)
