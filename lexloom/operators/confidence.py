@@ -32,10 +32,11 @@ def format_score(name: Column, value: Column, values: Column, kind: Column) -> C
         "list": F.when(kind == "list", 0.85).otherwise(0.0),
         "boolean": F.when(kind == "boolean", 0.8).otherwise(0.0),
     }
-    rule = F.create_map(*[F.lit(x) for p in fv.FORMAT_RULE_BY_FIELD.items() for x in p])[name]
     out = F.when(empty, 0.0)
-    for key, score in scores.items():
-        out = out.when(rule == key, F.coalesce(score, F.lit(0.0)))
+    for rule, score in scores.items():
+        # A test against a list of names is compiled; a map of rules would be searched again for every rule.
+        names = [field for field, own in fv.FORMAT_RULE_BY_FIELD.items() if own == rule]
+        out = out.when(name.isin(*names), F.coalesce(score, F.lit(0.0)))
     return out.otherwise(0.7)
 
 

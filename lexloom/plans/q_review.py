@@ -10,6 +10,7 @@ from lexloom.operators import (
     analytics, confidence, drafts, evaluate, extract, grounding, preferences, review, validate,
 )
 from lexloom.plans.registry import query
+from lexloom.session import cut_lineage
 
 # ---- validation ---------------------------------------------------------------------------------
 
@@ -236,7 +237,10 @@ def status_after_scoring(t):
 
 
 def _decided(t):
-    scored = _scored_fields(t).withColumn("validation_reason", F.lit(None).cast("string"))
+    # Fields, tasks and decisions all need the scores: written once, as each use would compute them again.
+    scored = cut_lineage(
+        _scored_fields(t).select("document_id", "name", "value", "confidence", "requires_review")
+    ).withColumn("validation_reason", F.lit(None).cast("string"))
     tasks = review.review_tasks(scored)
     decisions = tasks.where("field_name <> 'tax'").select(
         "task_id",
