@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from lexloom import session
+from lexloom.functions import fixed_values as fv
+from lexloom.functions import fuzzy
 from lexloom.operators import confidence
 from lexloom.plans import q_review
 from lexloom.plans.registry import Inputs
@@ -39,6 +43,26 @@ def test_format_rules_are_no_map(spark):
     assert "map(" not in _plan(scored) and "keys:" not in _plan(scored)
 
 
+def test_near_matches_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(5)
+    keywords = ["statement", "civil action", "x" * 70, "q", "é" * 5]
+    texts = ["", "a", "x" * 69]
+    for _ in range(60):
+        text = " ".join(rng.choice([*keywords, "und", "\U0001f600"]) for _ in range(rng.randint(0, 12)))
+        texts.append("".join(c if rng.random() < 0.95 else rng.choice("abxé ") for c in text))
+
+    def plain(text):
+        total = 0.0
+        for keyword in keywords:
+            near = fuzzy._window_similarity(fuzzy._codes(text), keyword)
+            near = near[near >= fv.FUZZY_THRESHOLD]
+            total += float(near[0]) / 100.0 * 0.3 if near.size else 0.0
+        return total
+
+    monkeypatch.setattr(fuzzy, "_SLICE", 300)
+    assert fuzzy.fuzzy_totals(texts, keywords).tolist() == [plain(t) for t in texts]
+
+
 def test_fields_are_scored_once_for_review(spark):
     plan = _plan(q_review.documents_after_review(Inputs(spark, "/root/testdata/sf0.001")))
     assert "lineitem" not in plan and "l_orderkey" not in plan
