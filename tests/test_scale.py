@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom import session
 from lexloom.functions import fixed_values as fv
 from lexloom.functions import fuzzy
+from lexloom.functions import text as tx
 from lexloom.operators import confidence
 from lexloom.plans import q_review
 from lexloom.plans.registry import Inputs
@@ -63,6 +64,25 @@ def test_near_matches_of_many_texts_at_once(monkeypatch):
     assert fuzzy.fuzzy_totals(texts, keywords).tolist() == [plain(t) for t in texts]
 
 
+def test_repair_runs_a_rule_only_where_its_literal_stands(spark):
+    rng = random.Random(7)
+    bits = [
+        "l  N V 0 l C E", "\u0131 N V O I C E", "STAT EMENT", "\u017ftat ement", "Acc oun\u212a", "ACC OUNT", "lnvoice", "lnv", "T0TAL",
+        "Bi1l", "\u0130nv0ice", "deb1t\u017f", "N0. 5", "BAL: $3", "bal", "AB0C", "Landmark", "l", "AB1CD", "inv-1O23", "{name:str}", "{", "\u00e9", "und",
+        "Sa1ary", "\u017fa1ary", "Stat Date", "per10d", "Peri0d", "P3rio0d", "0pening", "C1osing", "fr0m",
+    ]
+    texts = [("".join(rng.choice([*bits, " ", " ", "\n"]) for _ in range(rng.randint(0, 12))),) for _ in range(400)]
+    rows = spark.createDataFrame([*texts, *[(b,) for b in bits], (None,)], "t string")
+    for mode, prefix in (("faithful", "(?iU)"), ("case_sensitive", "(?U)")):
+        plain = F.col("t")
+        for pattern, replacement in fv.REPAIR_RULES:
+            plain = F.regexp_replace(plain, prefix + pattern, replacement)
+        plain = F.regexp_replace(plain, fv.PLACEHOLDER, "")
+        shown = rows.select(tx.repair_scanned_text("t", mode).alias("a"), plain.alias("b"))
+        assert shown.where("NOT a <=> b").collect() == []
+        assert "contains" in _plan(shown.select("a")).lower()
+
+
 def test_fields_are_scored_once_for_review(spark):
     plan = _plan(q_review.documents_after_review(Inputs(spark, "/root/testdata/sf0.001")))
     assert "lineitem" not in plan and "l_orderkey" not in plan
