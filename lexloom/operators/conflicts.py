@@ -48,8 +48,9 @@ def _mention(kind: str, label: Column, value: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), label.alias("label"), value.alias("value"))
 
 
-def mentions(text: Column) -> Column:
-    """All statements that can contradict each other, in text order within each kind."""
+def mentions(text: Column, kinds: list[str] | None = None) -> Column:
+    """All statements of these kinds (all four if not named) that can contradict each other, in text
+    order within each kind."""
     laws = F.filter(
         F.transform(
             F.regexp_extract_all(text, F.lit("(?iUd)" + fv.GOVERNING_LAW), F.lit(1)),
@@ -86,12 +87,13 @@ def mentions(text: Column) -> Column:
         placed = F.transform(values, lambda m, i: m.withField("at", i)).cast(_MENTION)
         return F.coalesce(F.when(possible, placed), F.array().cast(_MENTION))
 
-    return F.concat(
-        numbered(laws, "governed", "construed", "subject"),
-        numbered(meanings, '"'),
-        numbered(dates, "date", "signed"),
-        numbered(amounts, "fee", "payment", "price", "value", "salary"),
-    )
+    found = {
+        "governing_law": numbered(laws, "governed", "construed", "subject"),
+        "defined_term": numbered(meanings, '"'),
+        "date": numbered(dates, "date", "signed"),
+        "amount": numbered(amounts, "fee", "payment", "price", "value", "salary"),
+    }
+    return F.concat(*[found[k] for k in _KINDS if kinds is None or k in kinds])
 
 
 def distinct_statements(
@@ -100,15 +102,16 @@ def distinct_statements(
     doc: str = "document_id",
     index: str = "chunk_index",
     terms: DataFrame | None = None,
+    kinds: list[str] | None = None,
 ) -> DataFrame:
     """One row per document, kind, label and value: where it was seen first and in which chunks.
 
     ``terms`` seeds document-level definitions (doc, term, definition); a seed counts as a
-    statement before all chunks, yet lists no chunk.
+    statement before all chunks, yet lists no chunk. With ``kinds``, texts are searched for these only.
     """
     keys = [F.col(doc).alias("document_id"), F.col(index).cast("int").alias("idx")]
-    found = unpack(chunks, keys, mentions(F.col(text)), "kind")
-    if terms is not None:
+    found = unpack(chunks, keys, mentions(F.col(text), kinds), "kind")
+    if terms is not None and (kinds is None or "defined_term" in kinds):
         seeds = terms.select(
             F.col(doc).alias("document_id"),
             F.lit(-1).alias("idx"),

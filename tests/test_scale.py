@@ -10,7 +10,7 @@ from lexloom import session
 from lexloom.functions import fixed_values as fv
 from lexloom.functions import fuzzy
 from lexloom.functions import text as tx
-from lexloom.operators import confidence
+from lexloom.operators import confidence, conflicts
 from lexloom.plans import q_review
 from lexloom.plans.registry import Inputs
 
@@ -83,6 +83,16 @@ def test_repair_runs_a_rule_only_where_its_literal_stands(spark):
         assert "contains" in _plan(shown.select("a")).lower()
 
 
+def test_conflicts_of_one_kind_search_for_that_kind(spark):
+    chunks = Inputs(spark, "/root/testdata/sf0.001").contract_lines.where("CAST(document_id AS INT) < 40")
+    seeds = chunks.selectExpr("document_id", "'Service Level' AS term", "'grade X of old' AS definition").distinct()
+    everything = conflicts.find_conflicts(chunks, terms=seeds).collect()
+    for kind in ("governing_law", "defined_term", "date", "amount"):
+        one = conflicts.find_conflicts(chunks, terms=seeds, kinds=[kind])
+        assert ("salary" in _plan(one)) == (kind == "amount")
+        assert sorted(map(str, one.collect())) == sorted(str(r) for r in everything if r.conflict_type == kind) != []
+
+
 def test_fields_are_scored_once_for_review(spark):
     plan = _plan(q_review.documents_after_review(Inputs(spark, "/root/testdata/sf0.001")))
     assert "lineitem" not in plan and "l_orderkey" not in plan
