@@ -20,8 +20,8 @@ def _plan(df) -> str:
 
 
 def test_parts_grow_with_the_files(spark, tmp_path, monkeypatch):
-    spark.range(50_000).coalesce(1).write.parquet(str(tmp_path / "t"))
-    rows = spark.read.parquet(str(tmp_path / "t"))
+    spark.range(50_000).coalesce(1).write.parquet(str(tmp_path / "a %41 t"))
+    rows = spark.read.parquet(str(tmp_path / "a %41 t"))
     monkeypatch.setattr(session, "_DEALT_BYTES", 4096)
     dealt = session.spread(rows)
     assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
