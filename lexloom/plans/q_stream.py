@@ -257,14 +257,22 @@ def exported_payloads(t):
        FROM documents""",
 )
 def scanned_corpus(t):
-    """Documents written as one text file each, below a folder per source, and scanned back."""
+    """Documents written as one text file each, below a folder per source, and scanned back.
+
+    The id is a file's first line: a folder for each document would have to be made and listed. Tasks
+    move their own files into place, so the driver does not move all of them one by one.
+    """
     folder = shared_folder(t.spark, "corpus")
-    named = t.documents.select("doc_id", "source", F.col("text").alias("value"))
-    named.write.partitionBy("source", "doc_id").text(folder)
+    headed = F.concat(F.lit("doc_id="), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    named = t.spread("documents").select("source", headed.alias("value"))
+    writer = named.write.partitionBy("source").option("maxRecordsPerFile", 1)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     corpus = files.read_corpus(t.spark, folder)
+    head = F.substring_index("text", "\n", 1)
     return corpus.select(
-        F.regexp_replace("corpus_path", r"/[^/]*$", "").alias("folder"),
-        (F.length("text") - 1).cast("long").alias("characters"),  # the writer ends each file with a line break
+        F.concat(F.regexp_replace("corpus_path", r"/[^/]*$", ""), F.lit("/"), head).alias("folder"),
+        # without the first line; the writer ends each file with a line break, too
+        (F.length("text") - F.length(head) - 2).cast("long").alias("characters"),
     )
 
 

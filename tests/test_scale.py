@@ -11,7 +11,7 @@ from lexloom.functions import fixed_values as fv
 from lexloom.functions import fuzzy
 from lexloom.functions import text as tx
 from lexloom.operators import confidence, conflicts
-from lexloom.plans import q_review
+from lexloom.plans import q_review, q_stream
 from lexloom.plans.registry import Inputs
 
 
@@ -96,3 +96,16 @@ def test_conflicts_of_one_kind_search_for_that_kind(spark):
 def test_fields_are_scored_once_for_review(spark):
     plan = _plan(q_review.documents_after_review(Inputs(spark, "/root/testdata/sf0.001")))
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_scanned_corpus_makes_a_folder_per_source_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_stream, "shared_folder", lambda _, purpose: str(tmp_path / purpose))
+    rows = [(1, "a", "x\ny"), (2, "a", ""), (3, "b", "doc_id=9\n\n"), (4, "b", None), (5, None, "\u00e9\U0001f600")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_stream.scanned_corpus(Inputs(spark, str(tmp_path))).collect()
+    none = "source=__HIVE_DEFAULT_PARTITION__"
+    assert sorted((r.folder, r.characters) for r in got) == sorted(
+        [("source=a/doc_id=1", 3), ("source=a/doc_id=2", 0), ("source=b/doc_id=3", 10), ("source=b/doc_id=4", 0), (none + "/doc_id=5", 2)]
+    )
+    assert len([p for p in (tmp_path / "corpus").rglob("*") if p.is_dir()]) == 3
+    assert len(list((tmp_path / "corpus").rglob("*.txt"))) == 5
