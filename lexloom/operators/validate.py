@@ -65,19 +65,23 @@ def check_amount(value: Column | str, field: str) -> Column:
 
 def check_invoice_number(value: Column | str) -> Column:
     raw = as_col(value)
-    code = F.upper(strip(raw))
-    fits = F.coalesce(code.rlike("(?iU)" + fv.INVOICE_ID), F.lit(False))
-    reason = (
-        F.when(_blank(raw), "invoice_number is missing")
-        .when(fits, "ok")
-        .otherwise(
-            F.concat(
-                F.lit("invoice_number "), _quoted(raw), F.lit(" does not match expected pattern")
-            )
+    blank = _blank(raw)
+
+    def judged(code: Column) -> Column:
+        fits = F.coalesce(code.rlike("(?iU)" + fv.INVOICE_ID), F.lit(False))
+        told = F.concat(
+            F.lit("invoice_number "), _quoted(raw), F.lit(" does not match expected pattern")
         )
-    )
-    normal = F.when(_blank(raw), None).when(fits, code).otherwise(raw)
-    return _result(normal, ~_blank(raw) & fits, reason)
+        return bind(
+            fits,
+            lambda ok: _result(
+                F.when(blank, None).when(ok, code).otherwise(raw),
+                ~blank & ok,
+                F.when(blank, "invoice_number is missing").when(ok, "ok").otherwise(told),
+            ),
+        )
+
+    return bind(F.upper(strip(raw)), judged)
 
 
 def check_account_number(value: Column | str) -> Column:
@@ -200,15 +204,19 @@ def check_balances(
     )
 
 
-def _named(field: str, raw: Column, result: Column) -> Column:
+def _named(field: str, raw: Column, check) -> Column:
+    """One check as a row. The value is looked up once and not at each of its uses in ``check``."""
     return bind(
-        result,
-        lambda r: F.struct(
-            F.lit(field).alias("field"),
-            raw.cast("string").alias("raw_value"),
-            r["normalized_value"].alias("normalized_value"),
-            r["valid"].alias("valid"),
-            r["reason"].alias("reason"),
+        raw,
+        lambda value: bind(
+            check(value),
+            lambda r: F.struct(
+                F.lit(field).alias("field"),
+                value.cast("string").alias("raw_value"),
+                r["normalized_value"].alias("normalized_value"),
+                r["valid"].alias("valid"),
+                r["reason"].alias("reason"),
+            ),
         ),
     )
 
@@ -229,25 +237,26 @@ def validation_results(fields: Column | str, document_type: Column | str) -> Col
         return values[name]
 
     none = F.lit(None).cast("string")
+    def amount(field: str) -> Column:
+        return _named(field, raw(field), lambda value: check_amount(value, field))
+
     invoice = [
-        _named("invoice_number", raw("invoice_number"), check_invoice_number(raw("invoice_number"))),
-        _named("invoice_date", raw("invoice_date"), check_date(raw("invoice_date"))),
-        _named("due_date", raw("due_date"), check_date(raw("due_date"))),
-        *[_named(f, raw(f), check_amount(raw(f), f)) for f in ("subtotal", "tax", "total_amount")],
+        _named("invoice_number", raw("invoice_number"), check_invoice_number),
+        _named("invoice_date", raw("invoice_date"), check_date),
+        _named("due_date", raw("due_date"), check_date),
+        *[amount(f) for f in ("subtotal", "tax", "total_amount")],
         _named(
             "_cross_total",
             none,
-            check_total(*[currency_amount(raw(f)) for f in ("subtotal", "tax", "total_amount")]),
+            lambda _: check_total(*[currency_amount(raw(f)) for f in ("subtotal", "tax", "total_amount")]),
         ),
     ]
     balances = ("opening_balance", "closing_balance", "available_balance")
     statement = [
-        _named("account_number", raw("account_number"), check_account_number(raw("account_number"))),
-        _named(
-            "statement_period", raw("statement_period"), check_statement_period(raw("statement_period"))
-        ),
-        *[_named(f, raw(f), check_amount(raw(f), f)) for f in balances],
-        _named("_cross_balance", none, check_balances(*[currency_amount(raw(f)) for f in balances])),
+        _named("account_number", raw("account_number"), check_account_number),
+        _named("statement_period", raw("statement_period"), check_statement_period),
+        *[amount(f) for f in balances],
+        _named("_cross_balance", none, lambda _: check_balances(*[currency_amount(raw(f)) for f in balances])),
     ]
     return (
         F.when(kind == "invoice", F.array(*invoice).cast(_RESULTS))

@@ -10,7 +10,7 @@ from lexloom import session
 from lexloom.functions import fixed_values as fv
 from lexloom.functions import fuzzy
 from lexloom.functions import text as tx
-from lexloom.operators import confidence, conflicts
+from lexloom.operators import confidence, conflicts, validate
 from lexloom.plans import q_review, q_stream
 from lexloom.plans.registry import Inputs
 
@@ -109,3 +109,23 @@ def test_scanned_corpus_makes_a_folder_per_source_only(spark, tmp_path, monkeypa
     )
     assert len([p for p in (tmp_path / "corpus").rglob("*") if p.is_dir()]) == 3
     assert len(list((tmp_path / "corpus").rglob("*.txt"))) == 5
+
+
+def _texts(spark, bits, seed, n=1500):
+    rng = random.Random(seed)
+    return spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))),) for _ in range(n)] + [(None,)], "t string")
+
+
+def test_checks_look_a_field_up_once(spark):
+    rows = spark.createDataFrame([({"due_date": "1/2/2020"}, "invoice")], "fields map<string,string>, kind string")
+    plan = _plan(rows.select(validate.validation_results("fields", "kind").alias("r")))
+    assert plan.count("[due_date]") == 1 and plan.count("[invoice_number]") == 1 and plan.count("[account_number]") == 1
+
+
+def test_amounts_are_found_with_one_search(spark):
+    rows = _texts(spark, ["$", "€", " ", "1", "2,5", ".", ".75", ",", "a", " ", "\n"], 5)
+    digits = tx.first_match(tx.strip("t"), fv.CURRENCY, 1)
+    plain = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
+    shown = rows.select(plain.alias("a"), tx.currency_amount("t").alias("b"))
+    assert shown.where("NOT a <=> b").collect() == [] and shown.where("a IS NOT NULL").count() > 200
+    assert "RLIKE" not in _plan(shown.select("b"))
