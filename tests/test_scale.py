@@ -145,3 +145,29 @@ def test_inline_definitions_are_searched_once_per_run(spark):
     new = F.transform(found, lambda m: F.struct(F.regexp_extract(m, full, 1).alias("a"), F.regexp_extract(m, full, 2).alias("b")))
     assert rows.where(~plain.eqNullSafe(new)).collect() == [] and rows.where(F.size(plain) > 0).count() > 200
     assert "{4,}+" in _plan(rows.select(terms.term_candidates(text)))
+
+
+def test_mentions_are_searched_where_a_pattern_can_begin(spark):
+    bits = [
+        "governed by ", "Conſtrued under ", "subject to the laws of ", "the State of ", "Ohio", "Texas, ", "Effective Date", "EXECUTıON date",
+        "commencement date: ", "agreement date", "dated as of ", "ſigned on ", "İ", "May 3, 2020", "1/2/2020", "2020-01-02", "monthly fee", "Annual paymentſ",
+        "yearly fees ", "QUARTERLY fee", "total payment", "baſe salary", "lİcense fee", "lıcense fee ", "ſervice  fee", "purchaſe price", "contract value", "$12", " 5,000.25 ",
+        '"Term" means ', '"Law" is defined as ', "an old\nthing\n", "abcd\n", ";", ".", " ", "\n", "x",
+    ]
+    text = F.col("t")
+    rows = _texts(spark, bits, 3, 4000)
+    for begins, pattern in (
+        (conflicts._LAW_BEGINS, fv.GOVERNING_LAW), (conflicts._DATE_BEGINS, fv.LABELLED_DATE), (conflicts._AMOUNT_BEGINS, fv.LABELLED_AMOUNT),
+    ):
+        a, b = (F.regexp_extract_all(text, F.lit("(?iUd)" + p), F.lit(0)) for p in (pattern, begins + pattern))
+        assert rows.where(~a.eqNullSafe(b)).collect() == []
+        assert rows.where(F.size(a) > 0).count() > 50
+    full = "(?isUd)" + fv.QUOTED_MEANING
+    plain = F.zip_with(
+        F.regexp_extract_all(text, F.lit(full), F.lit(1)), F.regexp_extract_all(text, F.lit(full), F.lit(2)),
+        lambda t, d: F.struct(t.alias("a"), conflicts.clean_meaning(d).alias("b")),
+    )
+    once = conflicts._parts(text, full, lambda t, d: F.struct(t.alias("a"), conflicts.clean_meaning(d).alias("b")))
+    assert rows.where(~plain.eqNullSafe(once)).collect() == [] and rows.where(F.size(plain) > 0).count() > 50
+    plan = _plan(rows.select(conflicts.mentions(text, ["defined_term"]).alias("m")))
+    assert plan.count("regexp_extract_all(") == 1
