@@ -140,10 +140,14 @@ _SCORED = T.StructType(
 
 def _dense(vectors: pa.Array, width: int) -> np.ndarray:
     """Rows of a matrix from lists of (dim, w)."""
-    out = np.zeros((len(vectors), width))
     flat = vectors.flatten()
-    row = np.repeat(np.arange(len(vectors)), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
-    np.add.at(out, (row, flat.field("dim").to_numpy()), flat.field("w").to_numpy())
+    return _filled(vectors, flat.field("dim"), flat.field("w"), width)
+
+
+def _filled(lists: pa.Array, dims: pa.Array, weights: pa.Array, width: int) -> np.ndarray:
+    out = np.zeros((len(lists), width))
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    np.add.at(out, (row, dims.to_numpy(zero_copy_only=False)), weights.to_numpy(zero_copy_only=False))
     return out
 
 
@@ -163,8 +167,8 @@ def _first_k(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class _Asked:
     """The queries of one key and the best k chunks of each so far."""
 
-    def __init__(self, k: int) -> None:
-        self.k = k
+    def __init__(self, k: int, block: int) -> None:
+        self.k, self.block = k, block
         self.vectors: dict[str, tuple[np.ndarray, float]] = {}
         self.matrix: np.ndarray | None = None
 
@@ -179,15 +183,17 @@ class _Asked:
             self.matrix = np.stack([v for v, _ in self.vectors.values()], axis=1)
             self.norm2 = np.array([n for _, n in self.vectors.values()])
             self.best = [(np.zeros(0), np.zeros(0, object)) for _ in self.vectors]
-        product = np.outer(norm2, self.norm2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.where(product > 0, (vectors @ self.matrix) / np.sqrt(product), 0.0)
         ids = np.array(names, object)
-        for j, (held, known) in enumerate(self.best):
-            mine = _first_k(score[:, j], ids, self.k)
-            both, every = np.concatenate([held, score[mine, j]]), np.concatenate([known, ids[mine]])
-            keep = _first_k(both, every, self.k)
-            self.best[j] = both[keep], every[keep]
+        for at in range(0, len(self.best), self.block):
+            part = slice(at, at + self.block)
+            product = np.outer(norm2, self.norm2[part])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(product > 0, (vectors @ self.matrix[:, part]) / np.sqrt(product), 0.0)
+            for j, (held, known) in enumerate(self.best[part]):
+                mine = _first_k(score[:, j], ids, self.k)
+                both, every = np.concatenate([held, score[mine, j]]), np.concatenate([known, ids[mine]])
+                keep = _first_k(both, every, self.k)
+                self.best[at + j] = both[keep], every[keep]
 
     def found(self) -> Iterator[pa.RecordBatch]:
         for query_id, (held, names) in zip(self.vectors, self.best if self.matrix is not None else ()):
@@ -197,11 +203,11 @@ class _Asked:
             )
 
 
-def _best_of_keys(k: int):
+def _best_of_keys(k: int, block: int):
     """The best k of a task per query and key; rows are sorted by (list, block, is_chunk), so queries come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asked = None, _Asked(k)
+        key, asked = None, _Asked(k, block)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -210,10 +216,12 @@ def _best_of_keys(k: int):
             for at, stop in pairwise(edges):
                 if tuple(parts[:2, at]) != key:
                     yield from asked.found()
-                    key, asked = tuple(parts[:2, at]), _Asked(k)
+                    key, asked = tuple(parts[:2, at]), _Asked(k, block)
                 rows = batch.slice(at, stop - at)
                 handle = asked.see if parts[2, at] else asked.add
-                handle(rows.column("id").to_pylist(), _dense(rows.column("vec"), fv.EMBEDDING_DIMENSIONS), rows.column("norm2").to_numpy().astype(np.float64))
+                dims, weights = rows.column("dims"), rows.column("weights")
+                vectors = _filled(dims, dims.flatten(), weights.flatten(), fv.EMBEDDING_DIMENSIONS)
+                handle(rows.column("id").to_pylist(), vectors, rows.column("norm2").to_numpy().astype(np.float64))
         yield from asked.found()
 
     return run
@@ -223,11 +231,12 @@ def _met(chunks: DataFrame, visits: DataFrame, k: int, block: int, rows_a_task:
     """At least the best k chunks of its lists per query: (query_id, chunk_id, score).
 
     ``chunks`` has (list, id, vec, norm2), ``visits`` the same for queries and the lists that they visit. Lists are
-    cut by their counts into parts of about ``rows_a_task`` chunks and blocks of about ``block`` queries; one plan serves
-    any number of either.
+    cut by their counts into parts of about ``rows_a_task`` chunks and blocks of queries; one plan serves any number of
+    either. A task scores ``block`` queries at once; a chunk is sent once for ``BLOCK_QUERIES`` of them (or ``block``, if
+    that is more), with its dimensions and weights as plain numbers, a fifth of the memory of structs.
     """
     load = (
-        visits.groupBy("list").agg(F.ceil(F.count("*") / block).alias("blocks"))
+        visits.groupBy("list").agg(F.ceil(F.count("*") / max(block, BLOCK_QUERIES)).alias("blocks"))
         .join(chunks.groupBy("list").agg(F.ceil(F.count("*") / rows_a_task).alias("salts")), "list")
     )
 
@@ -235,11 +244,13 @@ def _met(chunks: DataFrame, visits: DataFrame, k: int, block: int, rows_a_task:
         spread, every = ("salts", "blocks") if is_chunk else ("blocks", "salts")
         one, all_of = F.pmod(F.xxhash64("id"), F.col(spread)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(every) - 1))
         block_no, salt = (all_of, one) if is_chunk else (one, all_of)
-        return df.join(load, "list").select("list", block_no.alias("block"), salt.alias("salt"), F.lit(is_chunk).alias("is_chunk"), "id", "vec", "norm2")
+        plain = F.col("vec.dim").cast("array<smallint>").alias("dims"), F.col("vec.w").alias("weights")
+        slim = df.select("list", "id", *plain, "norm2")
+        return slim.join(load, "list").select("list", block_no.alias("block"), salt.alias("salt"), F.lit(is_chunk).alias("is_chunk"), "id", "dims", "weights", "norm2")
 
     rows = dealt(visits, False).unionByName(dealt(chunks, True))
     rows = rows.repartition("list", "block", "salt").sortWithinPartitions("list", "block", "is_chunk")
-    return rows.mapInArrow(_best_of_keys(k), _SCORED)
+    return rows.mapInArrow(_best_of_keys(k, block), _SCORED)
 
 
 def _slim(chunks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from lexloom import session
 from lexloom.functions import fixed_values as fv
 from lexloom.functions import fuzzy
 from lexloom.functions import text as tx
-from lexloom.operators import confidence, conflicts, terms, validate
+from lexloom.operators import confidence, conflicts, retrieve, terms, validate
 from lexloom.plans import q_review, q_stream
 from lexloom.plans.registry import Inputs
 
@@ -171,3 +171,40 @@ def test_mentions_are_searched_where_a_pattern_can_begin(spark):
     assert rows.where(~plain.eqNullSafe(once)).collect() == [] and rows.where(F.size(plain) > 0).count() > 50
     plan = _plan(rows.select(conflicts.mentions(text, ["defined_term"]).alias("m")))
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_a_chunk_is_sent_once_for_many_blocks(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+
+    def vectors(n, name):
+        rows = []
+        for i in range(n):
+            w = {rng.randrange(768): rng.randint(-3, 3) or 1 for _ in range(rng.randint(0, 6))}
+            rows.append((f"{name}{i}", sorted(w.items()) if i % 7 else None, float(sum(x * x for x in w.values())) if i % 7 else 0.0))
+        return spark.createDataFrame(rows, "id string, vec array<struct<dim:int,w:int>>, norm2 double"), rows
+
+    (chunks, c), (queries, q) = vectors(40, "c"), vectors(9, "q")
+    chunks = chunks.select(F.col("id").alias("chunk_id"), "vec", "norm2")
+    queries = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), F.col("norm2").alias("qnorm2"))
+    want = []
+    for query, a, n in q:
+        dots = [(-(sum(w * dict(a or []).get(d, 0) for d, w in b or []) / np.sqrt(n * m) if n * m else 0.0), chunk) for chunk, b, m in c]
+        want += [(query, chunk, -score, i + 1) for i, (score, chunk) in enumerate(sorted(dots)[:5])]
+    got = retrieve.corpus_top_k(chunks, queries, 5, block_queries=2, rows_a_task=15).collect()
+    assert sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in got) == sorted(want)
+
+    def counted(*_):
+        def run(batches):
+            for batch in batches:
+                ids = batch.filter(batch.column("is_chunk")).column("id")
+                yield pa.RecordBatch.from_arrays([ids, ids, pa.array([0.0] * len(ids))], names=["query_id", "chunk_id", "score"])
+
+        return run
+
+    monkeypatch.setattr(retrieve, "_best_of_keys", counted)
+    one = F.lit(0).alias("list")
+    sent = retrieve._met(retrieve._slim(chunks).select(one, "*"), retrieve._asked(queries).select(one, "*"), 5, 2, 15)
+    assert sent.count() == 40
