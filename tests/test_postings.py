@@ -45,3 +45,23 @@ def test_empty_tables(spark):
     postings.write_index(docs, ["text"], folder)
     asked = spark.createDataFrame([("q", "abc"), ("r", "a")], "query_id string, query string")
     assert postings.search(spark, folder, docs, ["text"], asked).count() == 0
+
+
+def test_segments_hold_every_gram_of_every_row():
+    rng = random.Random(3)
+    wide = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))  # too many characters to put beside the places
+    for rows in ([], [[]], [["", "ab"], [], ["abab", "b"], ["ü"]], [["".join(rng.choice("abc ") for _ in range(50))] for _ in range(40)], [[wide], ["ab"]]):
+        got = [(g, p) for grams, places in postings._segment_grams(rows) for g, p in zip(grams.tolist(), places.tolist())]
+        wanted = {(g, k) for k, row in enumerate(rows) for x in row for n in range(4) for g in postings.gram_codes(x, n).tolist()}
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
+def test_index_has_a_row_for_a_gram_of_a_segment_not_of_a_document(spark):
+    docs = spark.range(2_000).selectExpr("cast(id as string) AS document_id", "concat('order-', id, '.pdf') AS text").coalesce(2)
+    folder = shared_folder(spark, "postings")
+    postings.write_index(docs, ["text"], folder)
+    index = spark.read.parquet(f"{folder}/postings")
+    assert index.count() < 5_000 and index.agg(F.sum("n")).first()[0] > 40_000
+    asked = spark.createDataFrame([("a", "order-1_99"), ("b", "9.PDF"), ("c", "")], "query_id string, query string")
+    found = {r[0]: r[1] for r in postings.search(spark, folder, docs, ["text"], asked).groupBy("query_id").count().collect()}
+    assert found == {"a": 10, "b": 200, "c": 2_000}
