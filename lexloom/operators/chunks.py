@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions import fixed_values as fv
-from lexloom.functions.chunker import chunk_udf
+from lexloom.functions.chunker import CHUNK_FIELDS, chunk_rows
 from lexloom.functions.hashing import sparse_embedding, squared_norm
 from lexloom.operators.jurisdiction import jurisdiction_tags, primary_tag
 from lexloom.operators.terms import annotate
@@ -23,10 +24,11 @@ def chunk_documents(
 ) -> DataFrame:
     """One row per chunk with a deterministic ``chunk_id``. Narrow: reads only the named columns."""
     keep = keep or []
-    cut = chunk_udf(size, overlap, sections)(F.col(text))
-    rows = df.select(F.col(doc).alias("document_id"), *keep, F.explode(cut).alias("c"))
-    chunk_id = F.concat_ws("::", F.col("document_id").cast("string"), F.col("c.chunk_index"))
-    return rows.select(chunk_id.alias("chunk_id"), "document_id", *keep, "c.*")
+    read = df.select(F.col(doc).alias("document_id"), *keep, F.col(text).alias("_text"))
+    schema = T.StructType([*read.drop("_text").schema.fields, *CHUNK_FIELDS.fields])
+    rows = read.mapInArrow(chunk_rows("_text", size, overlap, sections), schema)
+    chunk_id = F.concat_ws("::", F.col("document_id").cast("string"), F.col("chunk_index"))
+    return rows.select(chunk_id.alias("chunk_id"), "*")
 
 
 def add_embedding(df: DataFrame, text: str = "text") -> DataFrame:
