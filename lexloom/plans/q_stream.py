@@ -259,14 +259,11 @@ def exported_payloads(t):
 def scanned_corpus(t):
     """Documents written as one text file each, below a folder per source, and scanned back.
 
-    The id is a file's first line: a folder for each document would have to be made and listed. Tasks
-    move their own files into place, so the driver does not move all of them one by one.
+    The id is a file's first line: a folder for each document would have to be made and listed.
     """
     folder = shared_folder(t.spark, "corpus")
     headed = F.concat(F.lit("doc_id="), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    named = t.spread("documents").select("source", headed.alias("value"))
-    writer = named.write.partitionBy("source").option("maxRecordsPerFile", 1)
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+    sinks.write_texts(t.spread("documents").select("source", headed.alias("text")), folder, "source")
     corpus = files.read_corpus(t.spark, folder)
     head = F.substring_index("text", "\n", 1)
     return corpus.select(

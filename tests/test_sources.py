@@ -86,3 +86,17 @@ def test_line_rules(spark):
     assert [(r["line_no"], r["severity"]) for r in got] == [
         (1, "CRITICAL"), (2, "CRITICAL"), (3, "CRITICAL"), (4, "WARN"), (5, "WARN"),
     ]
+
+
+def test_text_files_are_written_by_tasks_as_by_sparks_writer(spark, tmp_path):
+    sources = [None, "", "a/b", "x=y", "50%", "é [1]", 'q"#:*?\\^{}\'', "plain", "plain"]
+    rows = spark.createDataFrame([(s, None if i == 7 else f"{i}\né\n") for i, s in enumerate(sources)], "source string, text string")
+    sinks.write_texts(rows, str(tmp_path / "own"), "source")
+    rows.select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 1).text(str(tmp_path / "spark"))
+
+    def found(name):
+        return sorted((p.parent.name, p.read_bytes()) for p in (tmp_path / name).rglob("*.txt"))
+
+    assert found("own") == found("spark") and len(found("own")) == len(sources)
+    # Spark's local writer sets modes and writes checksums by two further processes and a second file for each text.
+    assert [p for p in (tmp_path / "own").rglob("*") if p.is_file() and p.suffix != ".txt"] == []
