@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as fv
-from lexloom.functions.text import as_col, round_even, strip
+from lexloom.functions.text import as_col, bind, round_even, strip, with_fixed
 from lexloom.operators.extract import is_empty
 
 
@@ -46,31 +46,34 @@ def cross_scores(fields: Column | str) -> Column:
     ``fields`` maps names to text; unreadable numbers leave the group out.
     """
     values = as_col(fields)
-
-    def number(name: str) -> Column:
-        return values[name].try_cast("double")
-
-    sub, tax, total = number("subtotal"), number("tax"), number("total_amount")
-    sums = F.when(
-        total > 0,
-        F.greatest(F.lit(0.0), 1.0 - F.abs(sub + tax - total) / F.nullif(total, F.lit(0.0)) * 10),
-    )
-    opening, closing = number("opening_balance"), number("closing_balance")
-    available = number("available_balance")
-    both = opening.isNotNull() & closing.isNotNull()
-    near = F.greatest(
-        F.lit(0.0), 1.0 - F.abs(available - closing) / F.greatest(closing, F.lit(1.0)) * 5
-    )
-    near = F.when(available.isNotNull() & closing.isNotNull(), near)
-    base = F.when(both, F.lit(1.0))
-    scores = [
-        ("subtotal", sums), ("tax", sums), ("total_amount", sums),
-        ("opening_balance", base),
-        ("closing_balance", F.greatest(base, near)),
-        ("available_balance", near),
-    ]
-    entries = F.array(*[F.struct(F.lit(n).alias("k"), s.alias("v")) for n, s in scores])
-    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+    names = ("subtotal", "tax", "total_amount", "opening_balance", "closing_balance", "available_balance")
+
+    # Each number is read once, and each score computed once: a use of an expression computes all of it again.
+    def scored(x: Column) -> Column:
+        total, opening, closing, available = (x[n] for n in names[2:])
+        sums = F.when(
+            total > 0,
+            F.greatest(F.lit(0.0), 1.0 - F.abs(x["subtotal"] + x["tax"] - total) / F.nullif(total, F.lit(0.0)) * 10),
+        )
+        base = F.when(opening.isNotNull() & closing.isNotNull(), F.lit(1.0))
+        near = F.greatest(
+            F.lit(0.0), 1.0 - F.abs(available - closing) / F.greatest(closing, F.lit(1.0)) * 5
+        )
+        near = F.when(available.isNotNull() & closing.isNotNull(), near)
+        return F.struct(sums.alias("sums"), base.alias("base"), near.alias("near"))
+
+    def entries(s: Column) -> Column:
+        scores = [
+            *((n, s["sums"]) for n in names[:3]),
+            ("opening_balance", s["base"]),
+            ("closing_balance", F.greatest(s["base"], s["near"])),
+            ("available_balance", s["near"]),
+        ]
+        return F.array(*[F.struct(F.lit(n).alias("k"), score.alias("v")) for n, score in scores])
+
+    numbers = F.struct(*[values[n].try_cast("double").alias(n) for n in names])
+    kept = bind(bind(numbers, scored), lambda s: F.filter(entries(s), lambda e: e["v"].isNotNull()))
+    return F.map_from_entries(kept)
 
 
 def score_fields(rows: DataFrame, cross: Column | None = None) -> DataFrame:
@@ -97,7 +100,7 @@ def score_fields(rows: DataFrame, cross: Column | None = None) -> DataFrame:
         .when(~F.col("_empty") & (F.col("_fit") < 0.5), F.least(bounded, F.lit(0.49)))
         .otherwise(bounded)
     )
-    scored = rows.withColumn("_raw", final)
+    scored = with_fixed(rows, "_raw", final)
     return scored.withColumns(
         {
             "format_score": F.col("_fit"),

@@ -221,50 +221,69 @@ def _named(field: str, raw: Column, check) -> Column:
     )
 
 
+def _failed(raw: Column, check) -> Column:
+    return bind(raw, lambda value: bind(check(value), lambda r: F.when(~r["valid"], r["reason"])))
+
+
 _RESULTS = (
     "array<struct<field:string,raw_value:string,normalized_value:string,valid:boolean,reason:string>>"
 )
 
 
+def _checks(values: Column) -> tuple[dict, dict]:
+    """The checks of an invoice and of a bank statement in order: field to (value, check)."""
+    none = F.lit(None).cast("string")
+    sums, balances = ("subtotal", "tax", "total_amount"), ("opening_balance", "closing_balance", "available_balance")
+
+    def amounts(fields: tuple) -> dict:
+        return {f: (values[f], lambda value, f=f: check_amount(value, f)) for f in fields}
+
+    invoice = {
+        "invoice_number": (values["invoice_number"], check_invoice_number),
+        "invoice_date": (values["invoice_date"], check_date),
+        "due_date": (values["due_date"], check_date),
+        **amounts(sums),
+        "_cross_total": (none, lambda _: check_total(*[currency_amount(values[f]) for f in sums])),
+    }
+    statement = {
+        "account_number": (values["account_number"], check_account_number),
+        "statement_period": (values["statement_period"], check_statement_period),
+        **amounts(balances),
+        "_cross_balance": (none, lambda _: check_balances(*[currency_amount(values[f]) for f in balances])),
+    }
+    return invoice, statement
+
+
 def validation_results(fields: Column | str, document_type: Column | str) -> Column:
     """All checks of an invoice or a bank statement over ``map<string,string>`` fields.
 
     Other document types have none.
     """
-    values, kind = as_col(fields), as_col(document_type)
-
-    def raw(name: str) -> Column:
-        return values[name]
-
-    none = F.lit(None).cast("string")
-    def amount(field: str) -> Column:
-        return _named(field, raw(field), lambda value: check_amount(value, field))
-
-    invoice = [
-        _named("invoice_number", raw("invoice_number"), check_invoice_number),
-        _named("invoice_date", raw("invoice_date"), check_date),
-        _named("due_date", raw("due_date"), check_date),
-        *[amount(f) for f in ("subtotal", "tax", "total_amount")],
-        _named(
-            "_cross_total",
-            none,
-            lambda _: check_total(*[currency_amount(raw(f)) for f in ("subtotal", "tax", "total_amount")]),
-        ),
-    ]
-    balances = ("opening_balance", "closing_balance", "available_balance")
-    statement = [
-        _named("account_number", raw("account_number"), check_account_number),
-        _named("statement_period", raw("statement_period"), check_statement_period),
-        *[amount(f) for f in balances],
-        _named("_cross_balance", none, lambda _: check_balances(*[currency_amount(raw(f)) for f in balances])),
-    ]
+    kind = as_col(document_type)
+    invoice, statement = (
+        F.array(*[_named(field, raw, check) for field, (raw, check) in checks.items()]).cast(_RESULTS)
+        for checks in _checks(as_col(fields))
+    )
     return (
-        F.when(kind == "invoice", F.array(*invoice).cast(_RESULTS))
-        .when(kind == "bank_statement", F.array(*statement).cast(_RESULTS))
+        F.when(kind == "invoice", invoice)
+        .when(kind == "bank_statement", statement)
         .otherwise(F.array().cast(_RESULTS))
     )
 
 
+def failed_reason(field: Column | str, fields: Column | str, document_type: Column | str) -> Column:
+    """Why the check of one field failed, NULL when it did not or the document's type has none for it.
+
+    Only the check of that field runs, so a row of a long field table needs no join with the results.
+    """
+    name, kind = as_col(field), as_col(document_type)
+    out = F.lit(None).cast("string")
+    for document, checks in zip(("invoice", "bank_statement"), _checks(as_col(fields))):
+        for own, (raw, check) in checks.items():
+            out = F.when((kind == document) & (name == own), _failed(raw, check)).otherwise(out)
+    return out
+
+
 def validate_documents(df: DataFrame, key: str = "document_id") -> DataFrame:
     """Long form with the position of each check. No shuffle."""
     return df.select(

@@ -15,8 +15,14 @@ from lexloom.session import cut_lineage
 # ---- validation ---------------------------------------------------------------------------------
 
 
-def _field_map(t):
-    """Invoice and statement fields as text maps, from the invoice table."""
+_TEXTS = ["invoice_number", "due_date", "subtotal_text", "tax_text", "total_text"]
+
+
+def _fields_of_row():
+    """Invoice and statement fields as a text map, from the columns of the invoice table.
+
+    A lookup in this very expression is the column itself, and no map is made for it.
+    """
     names = {
         "invoice_number": F.col("invoice_number"),
         "invoice_date": F.col("due_date"),
@@ -30,10 +36,12 @@ def _field_map(t):
         "closing_balance": F.col("total_text"),
         "available_balance": F.col("subtotal_text"),
     }
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in names.items()])
+    return F.create_map(*[x for k, v in names.items() for x in (F.lit(k), v)])
+
+
+def _field_map(t):
     return t.spread("invoices").select(
-        "document_id", "document_type", "subtotal", "tax", "total",
-        F.map_from_entries(entries).alias("fields"),
+        "document_id", "document_type", "subtotal", "tax", "total", _fields_of_row().alias("fields")
     )
 
 
@@ -116,7 +124,7 @@ def validation_failures(t):
 _NAMES = ["invoice_number", "due_date", "subtotal", "tax", "total_amount"]
 
 
-def _scored_fields(t):
+def _scored_fields(t, keep=()):
     """Long field table of all invoices, with scan and classifier confidences from columns."""
     docs = t.spread("invoices").withColumns(
         {
@@ -143,7 +151,7 @@ def _scored_fields(t):
             for n, c in values.items()
         ]
     )
-    rows = docs.select("document_id", "document_type", "ocr_conf", "clf_conf", "cross", F.inline(entries))
+    rows = docs.select("document_id", "document_type", "ocr_conf", "clf_conf", "cross", *keep, F.inline(entries))
     return confidence.score_fields(rows, F.col("cross")[F.col("name")])
 
 
@@ -217,9 +225,9 @@ def document_confidence(t):
         WHERE requires_review""",
 )
 def review_tasks(t):
-    scored = review.with_validation_reason(
-        _scored_fields(t), validate.validate_documents(_field_map(t))
-    )
+    # The texts stay with their fields, so that only fields that get a task are checked, and nothing is joined.
+    reason = validate.failed_reason("name", _fields_of_row(), "document_type")
+    scored = _scored_fields(t, _TEXTS).withColumn("validation_reason", reason)
     return review.review_tasks(scored).select(
         "document_id", "field_name", "proposed_value", "confidence", "validation_reason",
         F.col("page_number").cast("long").alias("page_number"), "status",

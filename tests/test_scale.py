@@ -10,7 +10,7 @@ from lexloom import session
 from lexloom.functions import fixed_values as fv
 from lexloom.functions import fuzzy
 from lexloom.functions import text as tx
-from lexloom.operators import confidence, conflicts, retrieve, terms, validate
+from lexloom.operators import confidence, conflicts, retrieve, review, terms, validate
 from lexloom.plans import q_review, q_stream
 from lexloom.plans.registry import Inputs
 
@@ -208,3 +208,23 @@ def test_a_chunk_is_sent_once_for_many_blocks(spark, monkeypatch):
     one = F.lit(0).alias("list")
     sent = retrieve._met(retrieve._slim(chunks).select(one, "*"), retrieve._asked(queries).select(one, "*"), 5, 2, 15)
     assert sent.count() == 40
+
+
+def test_review_tasks_need_no_join_and_score_once(spark):
+    plan = _plan(q_review.review_tasks(Inputs(spark, "/root/testdata/sf0.001")))
+    assert "Join" not in plan and plan.count("Relation") == 1
+    # The filter stays behind the scores; in front of them it holds the format rules once more.
+    assert plan.count("case_number") == 1
+
+
+def test_reason_of_one_field_is_that_of_its_check(spark):
+    values = [None, "", " ", "x", "12", "-3", "$1,000.50", "9999999999", "2020-02-30", "2020-2-3", "3/4/2021", "INV-1", "DE12 3456", "1-2-2020 to 3-4-2021"]
+    names = ["invoice_number", "invoice_date", "due_date", "subtotal", "tax", "total_amount", "account_number", "statement_period", "opening_balance", "closing_balance", "available_balance", "other"]
+    rng = random.Random(3)
+    docs = [(str(i), k, {n: rng.choice(values) for n in names if rng.random() < 0.9}) for i in range(150) for k in ("invoice", "bank_statement", "memo")]
+    docs = spark.createDataFrame([(f"{i}{k}", k, f) for i, k, f in docs], "document_id string, document_type string, fields map<string,string>")
+    asked = docs.select("*", F.explode(F.array(*[F.lit(n) for n in [*names, "_cross_total", "_cross_balance"]])).alias("name"))
+    own = asked.select("document_id", "name", validate.failed_reason("name", "fields", "document_type").alias("validation_reason"))
+    joined = review.with_validation_reason(asked.select("document_id", "name"), validate.validate_documents(docs))
+    got, want = (sorted(map(str, d.select("document_id", "name", "validation_reason").collect())) for d in (own, joined))
+    assert got == want and sum("None" not in x for x in got) > 500
