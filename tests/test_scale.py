@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lexloom import session
 from lexloom.functions import fixed_values as fv
-from lexloom.functions import fuzzy
+from lexloom.functions import chunker, fuzzy
 from lexloom.functions import text as tx
-from lexloom.operators import confidence, conflicts, retrieve, review, terms, validate
+from lexloom.operators import confidence, conflicts, jurisdiction, retrieve, review, terms, validate
 from lexloom.plans import q_review, q_stream
 from lexloom.plans.registry import Inputs
 
@@ -228,3 +228,37 @@ def test_reason_of_one_field_is_that_of_its_check(spark):
     joined = review.with_validation_reason(asked.select("document_id", "name"), validate.validate_documents(docs))
     got, want = (sorted(map(str, d.select("document_id", "name", "validation_reason").collect())) for d in (own, joined))
     assert got == want and sum("None" not in x for x in got) > 500
+
+
+def test_state_citations_are_looked_for_once_per_word(spark):
+    bits = ["Wis", "wis", "Wi\u017f", "O\u212aLA", "N", "ny", "NY", "Cal", "la", "x", ".", ". ", " ", "\u00a0", "\n", "Stat.", "\u017ftat.", "Code", "C\u0130v.", "Civ.", "Civ", "CPLR", "Rev.", "Adm\u0131n.", "Admin.", "9"]
+    rows = _texts(spark, bits, 11, 4000)
+    prefixes = "|".join(sorted(fv.STATE_CITATION_PREFIXES, key=len, reverse=True))
+    plain = rf"(?iU)\b({prefixes}){fv.STATE_CODE_TAIL}"
+    both = rows.select(F.regexp_extract_all("t", F.lit(plain)).alias("a"), F.regexp_extract_all("t", F.lit("(?iU)" + jurisdiction._code_pattern())).alias("b"))
+    assert both.where("NOT a <=> b").collect() == [] and both.where("size(a) > 0").count() > 200
+    low = rows.select("t", F.lower("t").alias("low"), F.col("t").rlike(plain).alias("a"))
+    assert low.where(F.col("a") & ~tx.holds_any(F.col("low"), "tat.", "code", "v.", "cplr", "adm")).collect() == []
+    # the tags of a text are made once, not once for each place that looks at them
+    assert _plan(rows.select(jurisdiction.primary_tag(jurisdiction.jurisdiction_tags("t")).alias("tag"))).count("cplr") == 1
+
+
+def test_plain_parts_of_definition_verbs(spark):
+    bits = ['"Fee"', '"Te\u212a"', " means ", " SHALL MEAN ", " refer\u017f to ", " \u0130s def\u0131ned as ", " is defined as ", " shall have the meaning set forth in ", " has the meaning given in ", " has the mean\u0131ng g\u0130ven in ", "part", ". A", "; "]
+    rows = _texts(spark, bits, 12, 3000)
+    for (lead, verb), parts in zip(fv.DEFINITION_VERBS, terms._VERB_PARTS):
+        fits = F.col("t").rlike(rf"(?isUd){lead}{fv.TERM_IN_QUOTES}\s+{verb}\s+")
+        assert rows.where(fits).count() > 100
+        assert rows.where(fits & ~tx.holds_any(F.lower("t"), *parts)).collect() == []
+
+
+def test_short_texts_are_cut_without_sentence_ends(monkeypatch):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice(["a b. ", "\f", "Page 3 ", "Page 12 Case ", "1. Terms and so on\n", "WHEREAS\n", "\n", " ", "Dr. No"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    for text in texts:
+        page = chunker._Page(text)
+        found = chunker.split_text(text, 100, 20)
+        assert [c["page_number"] for c in found] == [page.at(c["char_start"]) for c in found]
+    monkeypatch.setattr(chunker, "_Cutter", None)
+    monkeypatch.setattr(chunker, "_Page", None)
+    assert [c["text"] for c in chunker.split_text('"Service" means repair. It ends.', 600, 120)] == ['"Service" means repair. It ends.']
