@@ -268,7 +268,7 @@ def _decided(t):
           requires_review AND NOT hit AS requires_review FROM d""",
 )
 def decided_fields(t):
-    rows = review.apply_decisions(*_decided(t))
+    rows = review.apply_decisions(*_decided(t), asked=F.col("requires_review"))
     return rows.select("document_id", "name", "value", "confidence", "requires_review")
 
 
@@ -288,7 +288,7 @@ def documents_after_review(t):
     docs = review.status_after_scoring(scored).select(
         "document_id", "status", F.lit(None).cast("double").alias("document_confidence")
     )
-    rows = review.documents_after_review(docs, scored, tasks, decisions)
+    rows = review.documents_after_review(docs, scored, tasks, decisions, asked=F.col("requires_review"))
     return rows.select("document_id", "status", "document_confidence")
 
 
