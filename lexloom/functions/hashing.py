@@ -9,7 +9,9 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,25 +67,47 @@ def _hash_token(token: str) -> tuple[int, int]:
     return dim, -1 if digest[2] & 1 else 1
 
 
-@F.pandas_udf(SPARSE_TYPE)
-def sparse_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Row-local form: no shuffle; a per-worker cache spares the digest of frequent tokens."""
-    seen: dict[str, tuple[int, int]] = {}
+class _Codes(dict):
+    """Token to twice its dimension, plus one for a negative sign. Frequent tokens are digested once per worker."""
 
-    def encode(text: str | None) -> list[dict[str, int]]:
-        totals: dict[int, int] = {}
-        for token in (text or "").lower().split():
-            hit = seen.get(token)
-            if hit is None:
-                hit = _hash_token(token)
-                if len(seen) < _CACHE_LIMIT:
-                    seen[token] = hit
-            dim, sign = hit
-            totals[dim] = totals.get(dim, 0) + sign
-        return [{"dim": d, "w": w} for d, w in sorted(totals.items()) if w]
+    def __missing__(self, token: str) -> int:
+        dim, sign = _hash_token(token)
+        code = 2 * dim + (sign < 0)
+        if len(self) < _CACHE_LIMIT:
+            self[token] = code
+        return code
 
+
+#: Texts are encoded by slices of about so many characters.
+_SLICE_CHARS = 1 << 20
+
+
+def _encoded(tokens: list[list[str]], codes: _Codes) -> pa.Array:
+    """One list of (dim, w) per text, by dimension and without zeros."""
+    code = np.fromiter((codes[t] for row in tokens for t in row), np.int64)
+    row = np.repeat(np.arange(len(tokens)), [len(r) for r in tokens])
+    place, which = np.unique(row * fv.EMBEDDING_DIMENSIONS + (code >> 1), return_inverse=True)
+    weight = np.bincount(which, 1 - 2 * (code & 1), len(place)).astype(np.int32)
+    place, weight = place[weight != 0], weight[weight != 0]
+    ends = np.searchsorted(place, np.arange(len(tokens) + 1) * fv.EMBEDDING_DIMENSIONS).astype(np.int32)
+    dim = (place % fv.EMBEDDING_DIMENSIONS).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(dim), pa.array(weight)], ["dim", "w"]))
+
+
+@F.arrow_udf(SPARSE_TYPE)
+def sparse_embedding(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Row-local form: no shuffle. Counts are made by slices of a batch, however many texts it has, and never as objects."""
+    codes = _Codes()
     for batch in batches:
-        yield batch.map(encode)
+        done, tokens, chars = [], [], 0
+        for text in batch:
+            value = (text.as_py() or "").lower()
+            tokens.append(value.split())
+            chars += len(value)
+            if chars >= _SLICE_CHARS:
+                done.append(_encoded(tokens, codes))
+                tokens, chars = [], 0
+        yield pa.concat_arrays([*done, _encoded(tokens, codes)])
 
 
 def squared_norm(sparse: Column | str) -> Column:

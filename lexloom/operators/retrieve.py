@@ -164,6 +164,14 @@ def _first_k(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -score[places]))]
 
 
+#: A task makes matrices of so many rows at a time, however many rows a batch has.
+_MATRIX_ROWS = 1 << 12
+
+
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 class _Asked:
     """The queries of one key and the best k chunks of each so far."""
 
@@ -219,9 +227,10 @@ def _best_of_keys(k: int, block: int):
                     key, asked = tuple(parts[:2, at]), _Asked(k, block)
                 rows = batch.slice(at, stop - at)
                 handle = asked.see if parts[2, at] else asked.add
-                dims, weights = rows.column("dims"), rows.column("weights")
-                vectors = _filled(dims, dims.flatten(), weights.flatten(), fv.EMBEDDING_DIMENSIONS)
-                handle(rows.column("id").to_pylist(), vectors, rows.column("norm2").to_numpy().astype(np.float64))
+                for some in _slices(rows, _MATRIX_ROWS):
+                    dims, weights = some.column("dims"), some.column("weights")
+                    vectors = _filled(dims, dims.flatten(), weights.flatten(), fv.EMBEDDING_DIMENSIONS)
+                    handle(some.column("id").to_pylist(), vectors, some.column("norm2").to_numpy().astype(np.float64))
         yield from asked.found()
 
     return run
@@ -282,13 +291,16 @@ def _around_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             given = batch.column("pivots").slice(0, 1).flatten()
             pivots = _dense(given, fv.EMBEDDING_DIMENSIONS)
             pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), np.finfo(float).tiny)
-        x = _dense(batch.column("vec"), fv.EMBEDDING_DIMENSIONS)
-        norm = np.linalg.norm(x, axis=1)
-        angles = np.arccos(np.clip((x @ pivots.T) / np.maximum(norm, np.finfo(float).tiny)[:, None], -1, 1))
-        nearest = np.where(norm > 0, angles.argmin(1) if len(pivots) else 0, len(pivots))
-        kept = [batch.column(c) for c in ("id", "vec", "norm2")]
-        columns = [pa.array(nearest, pa.int32()), pa.array(np.append(angles, np.zeros((len(x), 1)), axis=1).tolist(), pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays([*kept, *columns], names=["id", "vec", "norm2", "list", "angles"])
+        for some in _slices(batch, _MATRIX_ROWS // 4):
+            x = _dense(some.column("vec"), fv.EMBEDDING_DIMENSIONS)
+            norm = np.linalg.norm(x, axis=1)
+            angles = np.arccos(np.clip((x @ pivots.T) / np.maximum(norm, np.finfo(float).tiny)[:, None], -1, 1))
+            nearest = np.where(norm > 0, angles.argmin(1) if len(pivots) else 0, len(pivots))
+            kept = [some.column(c) for c in ("id", "vec", "norm2")]
+            wide = np.append(angles, np.zeros((len(x), 1)), axis=1)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * wide.shape[1])
+            columns = [pa.array(nearest, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(wide.ravel()))]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names=["id", "vec", "norm2", "list", "angles"])
 
 
 def _placed(rows: DataFrame, pivots: Column) -> DataFrame:
