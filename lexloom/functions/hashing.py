@@ -8,10 +8,12 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,17 +80,18 @@ class _Codes(dict):
         return code
 
 
-#: Texts are encoded by slices of about so many characters.
-_SLICE_CHARS = 1 << 20
+#: Texts are encoded by slices of about so many characters, and so many texts at most.
+_SLICE_CHARS, _SLICE_TEXTS = 1 << 20, 1 << 11
 
 
 def _encoded(tokens: list[list[str]], codes: _Codes) -> pa.Array:
     """One list of (dim, w) per text, by dimension and without zeros."""
-    code = np.fromiter((codes[t] for row in tokens for t in row), np.int64)
-    row = np.repeat(np.arange(len(tokens)), [len(r) for r in tokens])
-    place, which = np.unique(row * fv.EMBEDDING_DIMENSIONS + (code >> 1), return_inverse=True)
-    weight = np.bincount(which, 1 - 2 * (code & 1), len(place)).astype(np.int32)
-    place, weight = place[weight != 0], weight[weight != 0]
+    lengths = [len(row) for row in tokens]
+    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(tokens)), np.int64, sum(lengths))
+    place = np.repeat(np.arange(len(tokens)), lengths) * fv.EMBEDDING_DIMENSIONS + (code >> 1)
+    counts = np.bincount(place, 1 - 2 * (code & 1), len(tokens) * fv.EMBEDDING_DIMENSIONS)
+    place = np.flatnonzero(counts)
+    weight = counts[place].astype(np.int32)
     ends = np.searchsorted(place, np.arange(len(tokens) + 1) * fv.EMBEDDING_DIMENSIONS).astype(np.int32)
     dim = (place % fv.EMBEDDING_DIMENSIONS).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(dim), pa.array(weight)], ["dim", "w"]))
@@ -104,7 +107,7 @@ def sparse_embedding(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             value = (text.as_py() or "").lower()
             tokens.append(value.split())
             chars += len(value)
-            if chars >= _SLICE_CHARS:
+            if chars >= _SLICE_CHARS or len(tokens) >= _SLICE_TEXTS:
                 done.append(_encoded(tokens, codes))
                 tokens, chars = [], 0
         yield pa.concat_arrays([*done, _encoded(tokens, codes)])
@@ -128,6 +131,39 @@ def sparse_dot(left: Column, right_map: Column) -> Column:
     )
 
 
+#: Pairs of vectors are multiplied by slices of so many.
+_PAIRS = 1 << 11
+
+
+def _places(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all elements: their row, row and dimension as one number, and weight."""
+    flat = vectors.flatten()
+    row = np.repeat(np.arange(len(vectors)), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy())
+    dim, weight = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "w"))
+    return row, row * fv.EMBEDDING_DIMENSIONS + dim, weight
+
+
+def _products(left: pa.Array, right: pa.Array) -> pa.Array:
+    row, place, weight = _places(left)
+    _, other, factor = _places(right)
+    order = np.argsort(other, kind="stable")
+    other, factor = np.append(other[order], -1), np.append(factor[order], 0)
+    at = np.searchsorted(other[:-1], place)
+    out = np.zeros(len(left), np.int64)
+    np.add.at(out, row, np.where(other[at] == place, weight * factor[at], 0))
+    return pa.array(out, mask=left.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(T.LongType())
+def sparse_products(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Exact dot products of two columns of sparse vectors, each dimension at most once on the right.
+
+    A map is searched from its beginning for each of the other side's dimensions; here a batch is merged at once.
+    """
+    parts = [_products(left.slice(at, _PAIRS), right.slice(at, _PAIRS)) for at in range(0, len(left), _PAIRS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.int64())
+
+
 def as_map(sparse: Column | str) -> Column:
     return F.map_from_entries(F.col(sparse) if isinstance(sparse, str) else sparse)
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from lexloom.functions import fixed_values as fv
 from lexloom.functions.hashing import (
-    as_map, query_text, sparse_dot, sparse_embedding, squared_norm,
+    query_text, sparse_embedding, sparse_products, squared_norm,
 )
 from lexloom.functions.text import join_expansion, round_even
 from lexloom.session import cut_lineage
@@ -77,11 +77,10 @@ def score_within_documents(
     if tags is not None:
         chunks = chunks.join(tags.select("document_id", "tags"), "document_id", "left")
         chunks = chunks.where(allowed_jurisdiction(F.col("tags"), F.col("jurisdiction"))).drop("tags")
-    asked = queries.withColumn("qmap", as_map("qvec")).select("query_id", on, "qmap", "qnorm2")
-    pairs = chunks.join(asked, on)
-    dot = sparse_dot(F.col("vec"), F.col("qmap"))
+    pairs = chunks.join(queries.select("query_id", on, "qvec", "qnorm2"), on)
+    dot = sparse_products("vec", "qvec")
     return pairs.withColumn("score", cosine_of(dot, F.col("norm2"), F.col("qnorm2"))).drop(
-        "qmap", "qnorm2"
+        "qvec", "qnorm2"
     )
 
 

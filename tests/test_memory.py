@@ -50,3 +50,21 @@ def test_matrices_hold_some_rows_of_a_batch(monkeypatch):
     assert max(seen) == 8 and parts.drop_columns("angles").equals(whole.drop_columns("angles"))
     assert np.allclose(np.stack(parts["angles"].to_pylist()), np.stack(whole["angles"].to_pylist()))
     assert parts["list"].to_pylist()[-1] == 3 and fv.EMBEDDING_DIMENSIONS == 768
+
+
+def test_pairs_are_multiplied_by_slices(monkeypatch):
+    rng = random.Random(8)
+    kind = pa.list_(pa.struct([("dim", pa.int32()), ("w", pa.int32())]))
+
+    def vectors(n, repeated):
+        some = [[{"dim": d, "w": rng.randint(-9, 9)} for d in (rng.choices if repeated else rng.sample)(range(40), k=rng.randint(0, 20))] for _ in range(n)]
+        return [rng.choice([None, []]) if rng.random() < 0.1 else v for v in some]
+
+    left, right = vectors(500, True), vectors(500, False)
+    want = [None if a is None else sum(x["w"] * y["w"] for x in a for y in b or [] if x["dim"] == y["dim"]) for a, b in zip(left, right)]
+    sizes, products = [], hashing._products
+    monkeypatch.setattr(hashing, "_PAIRS", 64)
+    monkeypatch.setattr(hashing, "_products", lambda a, b: sizes.append(len(a)) or products(a, b))
+    assert hashing.sparse_products.func(pa.array(left, kind), pa.array(right, kind)).to_pylist() == want
+    assert max(sizes) == 64 and len(sizes) == 8
+    assert hashing.sparse_products.func(pa.array([], kind), pa.array([], kind)).to_pylist() == []
